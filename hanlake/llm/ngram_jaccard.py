@@ -307,7 +307,8 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id (see the module's text) and k_text, a hash of the row's text."""
+    """doc_id, n_shingles, component_id (see the module's text), component (a number of it; null without shingles) and k_text,
+    a hash of the row's text."""
     spark = docs.sparkSession
     n = partitions(spark)
     rows = keyed(docs).select("doc_id", "text", "k_id", "k_text")
@@ -335,7 +336,7 @@ def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGL
     of_set = of_set.join(linked, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     of_set = stage(of_set, "sets")
     names = of_set.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = of_set.join(names, "root").select("node", "component_id")
-    found = texts.where("n_shingles > 0").join(named, "node").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "k_text")
-    alone = texts.where("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "k_text")
+    named = of_set.join(names, "root").select("node", "component_id", F.col("root").alias("component"))
+    found = texts.where("n_shingles > 0").join(named, "node").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "component", "k_text")
+    alone = texts.where("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"), "k_text")
     return found.unionByName(alone)
