@@ -138,14 +138,20 @@ def fold(values: str | Column) -> Column:
     return F.when(F.size(v) == 1, F.element_at(v, 1)).otherwise(F.concat(F.lit("["), F.array_join(v, " "), F.lit("]")))
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+def _form(name: str):
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize(name, x))
 
+    return form
 
-@F.pandas_udf("string")
-def nfd(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
+
+def nfc(c: str | Column) -> Column:
+    return _form("NFC")(col(c))
+
+
+def nfd(c: str | Column) -> Column:
+    return _form("NFD")(col(c))
 
 
 #: Vowels with the four tone marks of Pinyin, and the plain vowels.
@@ -160,4 +166,4 @@ def strip_pinyin_tone(c: str | Column) -> Column:
 def pinyin_tone(c: str | Column) -> Column:
     """1 to 4 by the first marked vowel, 5 without one."""
     mark = F.regexp_extract(col(c), f"([{MARKED_VOWELS}])", 1)
-    return F.when(mark == "", 5).otherwise(F.pmod(F.length(F.substring_index(F.lit(MARKED_VOWELS), mark, 1)), F.lit(4)) + 1)
+    return F.when(mark == "", 5).otherwise(F.pmod(F.instr(F.lit(MARKED_VOWELS), mark) - 1, F.lit(4)) + 1)

@@ -483,12 +483,13 @@ def dic07_search_everything(spark, d):
     return found._run(e).select("p_partkey", F.col("Headword").alias("headword"))
 
 
-@query(f"SELECT DISTINCT c1 || c2 AS headword, r1 || ' ' || r2 AS reading, c2 AS character, r2 AS entity FROM {_TWO}")
+@query(f"""
+WITH w AS (SELECT DISTINCT c1 || c2 AS headword, r1 || ' ' || r2 AS reading, unnest([c1, c2]) AS character, unnest([r1, r2]) AS entity FROM {_TWO})
+SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM {_READINGS} k WHERE k."{CH}" = character AND k."Reading" = entity)
+""")
 def dic10_unknown_readings(spark, d):
-    """The second characters have no known readings."""
-    known = character_readings(spark, d).select(CH, "Reading").where(text.codepoint(CH) < 0x5000).distinct()
     words = _words(spark, d).select("Headword", "Reading").distinct()
-    return dic.check_readings(words, known, "Headword", "Reading").toDF("headword", "reading", "character", "entity")
+    return dic.check_readings(words, character_readings(spark, d).select(CH, "Reading").distinct(), "Headword", "Reading").distinct().toDF("headword", "reading", "character", "entity")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type || '（' || p_brand || '）' END AS headword FROM part WHERE p_brand <> p_type")
