@@ -67,11 +67,11 @@ orders AS (
 fill AS (
   SELECT 0 AS turn, [NULL::BIGINT for x in range({size})] AS owner
   UNION ALL
-  SELECT turn + 1, owner[1:at] || [(turn % {shards})::BIGINT] || owner[at + 2:]
+  SELECT turn + 1, owner[1:spot] || [(turn % {shards})::BIGINT] || owner[spot + 2:{size}]
   FROM (
     SELECT turn, owner,
            list_filter([(start[turn % {shards} + 1] + j * skip[turn % {shards} + 1]) % {size} for j in range({size})],
-                       lambda p: owner[p + 1] IS NULL)[1] AS at
+                       lambda p: owner[p + 1] IS NULL)[1] AS spot
     FROM fill, orders WHERE turn < {size}
   )
 ),
