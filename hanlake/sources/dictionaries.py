@@ -105,10 +105,10 @@ def wenlin_entries(records: DataFrame) -> DataFrame:
     A headword 简体[繁-] gives both forms; - in brackets is the same character.
     """
     values = lambda key: F.transform(F.array_sort(F.filter(F.map_entries("fields"), lambda e: e["key"].rlike(rf"^\d*{key}\d*$"))), lambda e: e["value"])
-    head = F.element_at(values("char"), 1)
+    head = F.try_element_at(values("char"), F.lit(1))
     simple, full = F.regexp_extract(head, r"^([^\[]*)", 1), F.regexp_extract(head, r"\[(.*)\]", 1)
     merged = F.array_join(F.transform(F.split(full, ""), lambda c, i: F.when(c == "-", F.substring(simple, i + 1, 1)).otherwise(c)), "")
     return records.select(
         F.when(full == "", simple).otherwise(merged).alias("HeadwordTraditional"), simple.alias("HeadwordSimplified"),
-        F.element_at(values("pinyin"), 1).alias("Reading"), F.concat(F.lit("/"), F.array_join(values("(?:df|def)"), "/"), F.lit("/")).alias("Translation"),
+        F.try_element_at(values("pinyin"), F.lit(1)).alias("Reading"), F.concat(F.lit("/"), F.array_join(values("(?:df|def)"), "/"), F.lit("/")).alias("Translation"),
     ).where("HeadwordTraditional is not null")

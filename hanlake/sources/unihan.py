@@ -50,7 +50,7 @@ def read_kanjidic(spark: SparkSession, path: str, bmp_only: bool = False) -> Dat
     rows = spark.read.format("xml").option("rowTag", "character").schema(_KANJIDIC).load(path)
     group = F.col("reading_meaning.rmgroup")
     readings, meanings = F.flatten(group["reading"]), F.flatten(group["meaning"])
-    radical = lambda kind: F.element_at(F.filter("radical.rad_value", lambda x: x["_rad_type"] == kind), 1)["_VALUE"].cast("int")
+    radical = lambda kind: F.try_element_at(F.filter("radical.rad_value", lambda x: x["_rad_type"] == kind), F.lit(1))["_VALUE"].cast("int")
     some = lambda values, sep: F.when(F.size(values) > 0, F.array_join(values, sep))
     reading = lambda kind: some(F.transform(F.filter(readings, lambda x: x["_r_type"] == kind), lambda x: x["_VALUE"]), ",")
 
