@@ -3,12 +3,12 @@
 Jaccard distance is a metric, but texts without a common shingle all lie at distance 1 from each other, where no text
 can serve as a pivot. So there are two levels of regions:
 
-1. Corpus level. The pivots are small pieces of sets. The shingle universe is cut by hash into m parts (m follows the
-   size class, about 1.2 to 2.4 shingles a part). Two linked sets of sizes a and b differ in at most D = (a + b) / 7
-   shingles, so all but D parts are equal; with its D + 1 first parts in one fixed order (larger parts first) each set
-   is replicated to the regions of those parts, and every link meets in at least one region. Sets whose parts are too
-   few for this (|parts| <= D) are replicated by D + 1 single shingles too. Regions that share sets form blocks.
-2. Block level, with whole sets. Pivots are texts; each text belongs to its nearest pivot (Voronoi) and is replicated
+1. Corpus level. The pivots are sets of one shingle. A set of size a that links to another has at least 3a/4 of its
+   shingles in common with it, so a set whose shingles are shared by any others to a lesser extent is done. Each other
+   set belongs to the region of its rarest shingle and is replicated to those of its next ones, up to the (a/4 + 1)-th
+   from the rarest: two linked sets have one of these in common, in any order that is the same for all sets. Sets that
+   meet in a region form blocks; frequent passages, which many unlinked texts share, hardly make regions.
+2. Block level, with all shared shingles. Pivots are texts; each text belongs to its nearest pivot (Voronoi) and is replicated
    to each region whose pivot is within 2r of that (triangle inequality); what a region has not yet connected is joined
    recursively, and |d(x, p) - d(y, p)| > r rules pairs out. Links that would join texts already connected are skipped:
    the result is the components of all links.
@@ -34,7 +34,6 @@ from .components import connected
 
 SHINGLE_WORDS = 5
 BLOCK_SHINGLES = 8_000_000
-FLUSH_ROWS = 1_500_000
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -72,63 +71,237 @@ def set_hashes(values: np.ndarray, indptr: np.ndarray) -> np.ndarray:
     return mix(total[indptr[1:]] - total[indptr[:-1]] + np.diff(indptr).astype(U64))
 
 
-# ---------------------------------------------------------------- level 1: parts as pivots
-
-
-def _class_parts(size_class: np.ndarray) -> np.ndarray:
-    """Parts of the universe for sizes 2**c .. 2**(c+1)-1; small sets get single shingles."""
-    upper = U64(2) << size_class.astype(U64)
-    return np.where(size_class < 5, U64(1 << 24), (upper * U64(5) + U64(11)) // U64(12))
-
-
-def _part_keys(values, sizes, size_class, most_different):
-    """(key, row) of the first D + 1 parts of each set, and of single shingles where the parts are too few."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    part = ((values >> U64(32)) * _class_parts(size_class)[row]) >> U64(32)
-    fresh = np.ones(len(values), bool)
-    fresh[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(fresh)
-    count = np.diff(np.append(at, len(values)))
-    owner = row[at]
-    key = mix(np.add.reduceat(mix(values ^ U64(0x2545F4914F6CDD1D)), at) + (size_class[owner].astype(U64) << U64(40)))
-    rank_key = ((U64(3) - np.minimum(count, 3).astype(U64)) << U64(62)) | (key >> U64(2))
-    order = np.lexsort((rank_key, owner))
-    owner, key = owner[order], key[order]
-    first = np.searchsorted(owner, np.arange(len(sizes) + 1))
-    place = np.arange(len(owner)) - first[owner]
-    keep = place <= most_different[owner]
-    few = np.diff(first) <= most_different
-    single = few[row] & (np.arange(len(values)) - np.concatenate([[0], np.cumsum(sizes)])[row] <= most_different[row])
-    extra = mix(values[single] + (size_class[row[single]].astype(U64) << U64(48)) + U64(77))
-    return np.concatenate([key[keep], extra]), np.concatenate([owner[keep], row[single]])
-
-
-def region_keys(values: np.ndarray, indptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the regions that each non-empty set goes to, as (key, row). Linked sets have a key in common."""
-    sizes = np.diff(indptr)
-    own = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
-    largest = 4 * sizes // 3
-    upper = (2 << own) - 1
-    keys, rows = [], []
-    for chosen, size_class, partner in (
-        (np.flatnonzero(sizes > 0), own, np.minimum(largest, upper)),
-        (np.flatnonzero((sizes > 0) & (largest > upper)), own + 1, largest),
-    ):
-        if not len(chosen):
+# ---------------------------------------------------------------- level 1: shingles as pivots
+#
+# Rows of all stages are packed: a row holds many sets' shingles for one logical partition, so Spark moves bytes, not
+# rows. A packed row is a count of sets, their ids, sizes and numbers of shingles, then 6 bytes for each shingle (its
+# partition gives the rest of it), and in the way back a byte for its rank.
+
+ROUTED = "route int, kind int, node long, doc_id long, k_text long, n int, data binary"
+#: kinds of rows: a text and its set; shingles by partition; shingles known to be common, by set; which those are.
+TEXT, SHINGLES, COMMON, MARKS = 0, 1, 2, 3
+FLUSH_SHINGLES, LOCAL_COMMON, RANK_COMMON = 2_500_000, 64, 255
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+_NAMES = ["route", "kind", "node", "doc_id", "k_text", "n", "data"]
+
+
+def _rows(routes, kind: int, data: list[bytes]) -> pa.RecordBatch:
+    size = len(data)
+    arrays = [pa.array(routes, pa.int32()), pa.array([kind] * size, pa.int32()), *(pa.nulls(size, t) for t in _KINDS[2:6]), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+
+
+def _partition(shingles: np.ndarray, parts: int) -> np.ndarray:
+    return ((shingles >> U64(48)) * U64(parts) >> U64(16)).astype(np.int64)
+
+
+def _six(shingles: np.ndarray) -> bytes:
+    return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _pack(sets, sizes, owner, shingles, ranks=None) -> bytes:
+    """owner: for each shingle, its set's place in sets; in order. Only sets with shingles are written."""
+    places, counts = np.unique(owner, return_counts=True)
+    parts = [np.array([len(places)], "<i8"), sets[places].astype("<u8"), sizes[places].astype("<i4"), counts.astype("<i4")]
+    return b"".join([x.tobytes() for x in parts] + [_six(shingles)] + ([] if ranks is None else [ranks.astype(np.uint8).tobytes()]))
+
+
+def _unpack(data: bytes, route: int = 0, ranked: bool = False):
+    """(set, size, shingle, rank) of each packed shingle; the shingle's upper bytes are the partition's number."""
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sets = np.frombuffer(data, "<u8", n, 8)
+    sizes, counts = np.frombuffer(data, "<i4", 2 * n, 8 + 8 * n).reshape(2, n)
+    at, total = 8 + 16 * n, int(counts.sum())
+    low = np.zeros((total, 8), np.uint8)
+    low[:, :6] = np.frombuffer(data, np.uint8, 6 * total, at).reshape(total, 6)
+    shingles = low.view("<u8").ravel() | U64(route) << U64(48)
+    ranks = np.frombuffer(data, np.uint8, total, at + 6 * total) if ranked else np.zeros(total, np.uint8)
+    return np.repeat(sets, counts), np.repeat(sizes, counts), shingles, ranks
+
+
+def _flush(sets: list, sizes: list, shingles: list, parts: int, local_common: int) -> Iterator[pa.RecordBatch]:
+    sets, sizes, values = np.concatenate(sets), np.concatenate(sizes), np.concatenate(shingles)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    distinct, back, counts = np.unique(values, return_inverse=True, return_counts=True)
+    common = counts[back] > local_common
+    if common.any():
+        # what many sets of this task share isn't gathered in one place: its partition gets a mark, the sets know it
+        marked = distinct[counts > local_common]
+        to = _partition(marked, parts)
+        yield _rows(np.unique(to), MARKS, [_six(marked[to == p]) for p in np.unique(to)])
+        own = values[common]
+        tagged = (_partition(own, parts).astype("<u2").reshape(-1, 1).view(np.uint8), np.frombuffer(_six(own), np.uint8).reshape(-1, 6))
+        places, sums = np.unique(owner[common], return_counts=True)
+        head = [np.array([len(places)], "<i8"), sets[places].astype("<u8"), sizes[places].astype("<i4"), sums.astype("<i4")]
+        yield _rows([int(values[0] % U64(parts))], COMMON, [b"".join(x.tobytes() for x in head) + np.hstack(tagged).tobytes()])
+    owner, values = owner[~common], values[~common]
+    to = _partition(values, parts)
+    order = np.argsort(to, kind="stable")
+    to, owner, values = to[order], owner[order], values[order]
+    used, first = np.unique(to, return_index=True)
+    ends = np.append(first[1:], len(to))
+    for i in range(0, len(used), 64):
+        yield _rows(used[i : i + 64], SHINGLES, [_pack(sets, sizes, owner[a:b], values[a:b]) for a, b in zip(first[i : i + 64], ends[i : i + 64])])
+
+
+def _unpack_common(data: bytes):
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sets = np.frombuffer(data, "<u8", n, 8)
+    sizes, counts = np.frombuffer(data, "<i4", 2 * n, 8 + 8 * n).reshape(2, n)
+    both = np.frombuffer(data, np.uint8, 8 * int(counts.sum()), 8 + 16 * n).reshape(-1, 8)
+    shingles = np.ascontiguousarray(both[:, [2, 3, 4, 5, 6, 7, 0, 1]]).view("<u8").ravel()
+    return np.repeat(sets, counts), np.repeat(sizes, counts), shingles, np.full(len(shingles), RANK_COMMON, np.uint8)
+
+
+def _to_partitions(parts: int, local_common: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, sizes, shingles, held, serial = [], [], [], 0, 0
+        for batch in text_slices(batches, "text", 2 << 20):
+            values, indptr = shingle_sets(batch.column("text"))
+            own, n = set_hashes(values, indptr), np.diff(indptr)
+            count = batch.num_rows
+            route = (np.arange(serial, serial + count) % parts).astype(np.int32)
+            serial += count
+            arrays = [pa.array(route), pa.array(np.zeros(count, np.int32)), pa.array(own.astype(np.int64)), batch.column("doc_id"), batch.column("k_text"), pa.array(n.astype(np.int32)), pa.nulls(count, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+            _, once = np.unique(own, return_index=True)
+            once = once[n[once] > 0]
+            sets.append(own[once])
+            sizes.append(n[once])
+            shingles += [values[indptr[i] : indptr[i + 1]] for i in once]
+            held += int(n[once].sum())
+            if held >= FLUSH_SHINGLES:
+                yield from _flush(sets, sizes, shingles, parts, local_common)
+                sets, sizes, shingles, held = [], [], [], 0
+        if held:
+            yield from _flush(sets, sizes, shingles, parts, local_common)
+
+    return of
+
+
+def _by_route(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]], list[pa.RecordBatch]]]:
+    """Rows sorted by route: for each route its packed rows; rows of texts are passed on as they come."""
+    now, packed = None, []
+    for batch in batches:
+        kinds = longs(batch.column("kind"))
+        if (text := kinds == TEXT).any():
+            yield -1, [], [batch.filter(pa.array(text))]
+        routes = longs(batch.column("route"))
+        data = batch.column("data")
+        for i in np.flatnonzero(~text):
+            if routes[i] != now:
+                if packed:
+                    yield now, packed, []
+                now, packed = int(routes[i]), []
+            packed.append((int(kinds[i]), data[int(i)].as_py()))
+    if packed:
+        yield now, packed, []
+
+
+def _shared(parts: int):
+    """In a shingle's partition: how many sets have it. Those that two or more have go back to their sets, ranked by how many."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for route, packed, texts in _by_route(batches):
+            yield from texts
+            yield from (_rows([i % parts], COMMON, [d]) for i, (kind, d) in enumerate(packed) if kind == COMMON)
+            found = [_unpack(d, route) for kind, d in packed if kind == SHINGLES]
+            if not found:
+                continue
+            sets, sizes, shingles, _ = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((sets, shingles))
+            sets, sizes, shingles = sets[order], sizes[order], shingles[order]
+            new = np.ones(len(sets), bool)
+            new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
+            sets, sizes, shingles = sets[new], sizes[new], shingles[new]
+            distinct, back, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+            rank = np.minimum(8 * np.log2(counts), RANK_COMMON - 1).astype(np.uint8)
+            marks = [d for kind, d in packed if kind == MARKS]
+            if marks:
+                low = np.zeros((sum(map(len, marks)) // 6, 8), np.uint8)
+                low[:, :6] = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 6)
+                rank[np.isin(distinct, low.view("<u8").ravel() | U64(route) << U64(48))] = RANK_COMMON
+            rank = rank[back]
+            keep = rank > 0
+            sets, sizes, shingles, rank = sets[keep], sizes[keep], shingles[keep], rank[keep]
+            to = (sets % U64(parts)).astype(np.int64)
+            order = np.lexsort((sets, to))
+            to, sets, sizes, shingles, rank = to[order], sets[order], sizes[order], shingles[order], rank[order]
+            used, first = np.unique(to, return_index=True)
+            ends = np.append(first[1:], len(to))
+            for i in range(0, len(used), 64):
+                out = []
+                for a, b in zip(first[i : i + 64], ends[i : i + 64]):
+                    own, owner = np.unique(sets[a:b], return_inverse=True)
+                    size = np.zeros(len(own), np.int64)
+                    size[owner] = sizes[a:b]
+                    out.append(int(route).to_bytes(2, "little") + _pack(own, size, owner, shingles[a:b], rank[a:b]))
+                yield _rows(used[i : i + 64], SHINGLES, out)
+
+    return of
+
+
+MEMBERS = "kind int, node long, doc_id long, k_text long, n int, quota int, shingles binary"
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a set's partition: its shared shingles, rarest first. A set that shares under 3/4 of its own links to none."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["kind", "node", "doc_id", "k_text", "n", "quota", "shingles"]
+    for _, packed, texts in _by_route(batches):
+        for t in texts:
+            size = t.num_rows
+            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names[:5]), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
+        if not packed:
             continue
-        take = np.concatenate([np.arange(indptr[i], indptr[i + 1]) for i in chosen])
-        k, r = _part_keys(values[take], sizes[chosen], size_class[chosen], (sizes + partner)[chosen] // 7)
-        keys.append(k)
-        rows.append(chosen[r])
-    return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, U64), np.zeros(0, np.int64))
-
-
-ROUTED = "route long, kind int, a long, b long, k_text long, n int"
-#: kinds of routed rows: a region's key and a set; a text and its set; two sets that share a region.
-KEY, TEXT, EDGE = 0, 1, 2
-
-
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        found = [_unpack(d[2:], int.from_bytes(d[:2], "little"), True) if kind == SHINGLES else _unpack_common(d) for kind, d in packed]
+        sets, sizes, shingles, rank = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((shingles, rank, sets))
+        sets, sizes, shingles = sets[order], sizes[order], shingles[order]
+        new = np.ones(len(sets), bool)
+        new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
+        sets, sizes, shingles = sets[new], sizes[new], shingles[new]
+        own, first, counts = np.unique(sets, return_index=True, return_counts=True)
+        size = sizes[first].astype(np.int64)
+        keep = np.flatnonzero(4 * counts >= 3 * size)
+        quota = size // 4 + 1 - (size - counts)
+        raw = shingles.astype("<u8").tobytes()
+        for i in range(0, len(keep), 2_000):
+            k = keep[i : i + 2_000]
+            data = [raw[8 * first[j] : 8 * (first[j] + counts[j])] for j in k]
+            arrays = [np.full(len(k), MEMBER, np.int32), own[k].astype(np.int64), None, None, size[k], quota[k], data]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), t) if x is None else pa.array(x, t) for x, t in zip(arrays, kinds)], names=names)
+
+
+MEMBER = 1
+
+
+def _by_set(parts: int):
+    """COMMON rows hold sets of several partitions; they are dealt to the sets' ones."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common = longs(batch.column("kind")) == COMMON
+            if (~common).any():
+                yield batch.filter(pa.array(~common))
+            for data in batch.filter(pa.array(common)).column("data").to_pylist():
+                sets, sizes, shingles, _ = _unpack_common(data)
+                to = (sets % U64(parts)).astype(np.int64)
+                for p in np.unique(to):
+                    at = np.flatnonzero(to == p)
+                    places, first, counts = np.unique(sets[at], return_index=True, return_counts=True)
+                    order = at[np.argsort(sets[at], kind="stable")]
+                    head = [np.array([len(places)], "<i8"), places.astype("<u8"), sizes[at][first].astype("<i4"), counts.astype("<i4")]
+                    own = shingles[order].astype("<u8").view(np.uint8).reshape(-1, 8)
+                    yield _rows([int(p)], COMMON, [b"".join(x.tobytes() for x in head) + np.ascontiguousarray(own[:, [6, 7, 0, 1, 2, 3, 4, 5]]).tobytes()])
+
+    return of
+
+
+REGIONS = "route long, u long, v long"
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One (key, smallest node) for each key, and edges from each other node of a key to that one."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
@@ -137,73 +310,47 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.flatnonzero(fresh)
     smallest = np.repeat(nodes[at], np.diff(np.append(at, len(keys))))
     differ = nodes != smallest
-    edges = np.unique(np.stack([nodes[differ], smallest[differ]], 1), axis=0)
-    return keys[at], nodes[at], edges[:, 0], edges[:, 1]
-
-
-def _routed(kind, route, a, b, k_text=None, n=None, a_valid=None) -> pa.RecordBatch:
-    size = len(route)
-    a = pa.array(a.astype(np.int64), mask=None if a_valid is None else ~a_valid)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(route.astype(np.int64)), pa.array(np.full(size, kind, np.int32)), a, pa.array(b.astype(np.int64)),
-            pa.array(k_text if k_text is not None else np.zeros(size, np.int64)),
-            pa.array(n.astype(np.int32) if n is not None else np.zeros(size, np.int32)),
-        ],
-        names=["route", "kind", "a", "b", "k_text", "n"],
-    )
+    return keys[at], nodes[at], np.unique(np.stack([nodes[differ], smallest[differ]], 1), axis=0)
 
 
-def _emit(keys, nodes) -> Iterator[pa.RecordBatch]:
-    k, node, x, y = _stars(np.concatenate(keys), np.concatenate(nodes))
-    yield _routed(KEY, k, node, node)
-    if len(x):
-        yield _routed(EDGE, mix(x), x, y)
+def _region_rows(route, u, v=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(route.astype(np.int64)), pa.array(u.astype(np.int64)), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v.astype(np.int64))], names=["route", "u", "v"])
 
 
 def _to_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, set) for the first shingles of each set; what meets in the task already is one row and edges."""
     keys, nodes, held = [], [], 0
-    for batch in text_slices(batches, "text", 4 << 20):
-        values, indptr = shingle_sets(batch.column("text"))
-        sets = set_hashes(values, indptr)
-        sizes = np.diff(indptr)
-        ids = batch.column("doc_id")
-        k_text = longs(batch.column("k_text"))
-        route = mix(longs(ids).astype(U64) + np.arange(len(ids)).astype(U64) * U64(0x9E3779B97F4A7C15))
-        yield _routed(TEXT, route, longs(ids), np.where(sizes > 0, sets, U64(0)), k_text, sizes,
-                      ids.is_valid().to_numpy(zero_copy_only=False))
-        _, once = np.unique(sets, return_index=True)
-        once = once[sizes[once] > 0]
-        if not len(once):
-            continue
-        take = np.concatenate([np.arange(indptr[i], indptr[i + 1]) for i in once])
-        key, row = region_keys(values[take], np.concatenate([[0], np.cumsum(sizes[once])]))
-        keys.append(key)
-        nodes.append(sets[once][row])
-        held += len(key)
-        if held >= FLUSH_ROWS:
-            yield from _emit(keys, nodes)
+
+    def emit():
+        k, node, edges = _stars(np.concatenate(keys), np.concatenate(nodes))
+        yield _region_rows(k, node)
+        if len(edges):
+            yield _region_rows(mix(edges[:, 0].astype(U64)), edges[:, 0], edges[:, 1])
+
+    for batch in batches:
+        for node, quota, data in zip(*(batch.column(c).to_pylist() for c in ("node", "quota", "shingles"))):
+            keys.append(mix(np.frombuffer(data, "<u8", quota)))
+            nodes.append(np.full(quota, node, np.int64))
+            held += quota
+        if held >= 1_000_000:
+            yield from emit()
             keys, nodes, held = [], [], 0
-    if keys:
-        yield from _emit(keys, nodes)
+    if held:
+        yield from emit()
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What meets in a region, as stars; all else passes."""
-    keys, nodes, xs, ys = [np.zeros(0, U64)], [np.zeros(0, U64)], [], []
+    """What meets in a region, as stars."""
+    keys, nodes, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for batch in batches:
-        kind = longs(batch.column("kind"))
-        if (text := kind == TEXT).any():
-            yield batch.filter(pa.array(text))
-        a, b, route = (longs(batch.column(c)).astype(U64) for c in ("a", "b", "route"))
-        keys.append(route[kind == KEY])
-        nodes.append(a[kind == KEY])
-        xs.append(a[kind == EDGE])
-        ys.append(b[kind == EDGE])
-    _, _, x, y = _stars(np.concatenate(keys), np.concatenate(nodes))
-    edges = np.unique(np.stack([np.concatenate([x, *xs]), np.concatenate([y, *ys])], 1), axis=0)
-    if len(edges):
-        yield _routed(EDGE, edges[:, 0], edges[:, 0], edges[:, 1])
+        edge = batch.column("v").is_valid().to_numpy(zero_copy_only=False)
+        route, u, v = (longs(batch.column(c)) for c in ("route", "u", "v"))
+        keys.append(route[~edge])
+        nodes.append(u[~edge])
+        edges.append(np.stack([u[edge], v[edge]], 1))
+    _, _, found = _stars(np.concatenate(keys), np.concatenate(nodes))
+    edges = np.unique(np.concatenate([found, *edges]), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].astype(np.int64)), pa.array(edges[:, 1].astype(np.int64))], names=["u", "v"])
 
 
 # ---------------------------------------------------------------- level 2: texts as pivots
@@ -212,12 +359,16 @@ LEAF, PIVOTS, NEAR = 64, 24, 0.25
 
 
 class _Block:
-    """The sets of a block, joined into components. Intersections with a set are counts over a marked universe."""
+    """The sets of a block, joined into components. Intersections with a set are counts over a marked universe.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
+    sets: of each at least its shingles that another one has, and at least one; sizes: of the whole sets.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.sizes = sizes
+        self.lengths = np.array([len(s) for s in sets])
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        self.indptr = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.indptr = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = flat
         self.mark = np.zeros(flat.max() + 1, np.int64)
         self.label = np.arange(len(sets))
@@ -228,8 +379,9 @@ class _Block:
         if len(members) == len(self.sizes):
             out = np.add.reduceat(self.mark[self.flat], self.indptr[:-1])
         else:
-            take = np.repeat(self.indptr[members] - np.concatenate([[0], np.cumsum(self.sizes[members])[:-1]]), self.sizes[members])
-            out = np.add.reduceat(self.mark[self.flat[take + np.arange(len(take))]], np.concatenate([[0], np.cumsum(self.sizes[members])[:-1]]))
+            first = np.concatenate([[0], np.cumsum(self.lengths[members])[:-1]])
+            take = np.repeat(self.indptr[members] - first, self.lengths[members])
+            out = np.add.reduceat(self.mark[self.flat[take + np.arange(len(take))]], first)
         self.mark[own] = 0
         return out
 
@@ -272,69 +424,69 @@ class _Block:
                 self.link(members[i], members[window])
 
 
-def block_components(sets: list[np.ndarray]) -> np.ndarray:
+def block_components(sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
     """For each set, the index of some set of its component."""
-    block = _Block(sets)
+    block = _Block(sets, sizes)
     block.join(np.arange(len(sets)))
     return block.label
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block; out: each set of a block and one set of its component."""
-    held: dict[int, np.ndarray] = {}
+    held: dict[int, tuple[np.ndarray, int]] = {}
     now = None
 
     def closed():
-        nodes = list(held)
-        label = block_components([held[x] for x in nodes]) if len(nodes) > 1 else np.zeros(len(nodes), int)
-        nodes = np.array(nodes, np.int64)
+        nodes = np.array(list(held), np.int64)
+        label = block_components([x for x, _ in held.values()], np.array([n for _, n in held.values()]))
         return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["u", "v"])
 
-    for batch in text_slices(batches, "text", 4 << 20):
-        values, indptr = shingle_sets(batch.column("text"))
-        blocks, nodes = longs(batch.column("block")), longs(batch.column("node"))
-        for i in range(batch.num_rows):
-            if blocks[i] != now:
-                if held:
+    for batch in batches:
+        for block, node, n, data in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "n", "shingles"))):
+            if block != now:
+                if len(held) > 1:
                     yield closed()
-                now, held = blocks[i], {}
-            held[int(nodes[i])] = values[indptr[i] : indptr[i + 1]]
-    if held:
+                now, held = block, {}
+            held[node] = np.frombuffer(data, "<u8"), n
+    if len(held) > 1:
         yield closed()
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _deal(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartitionById(parts, F.col("route")).sortWithinPartitions("route")
+
+
+def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES, local_common: int = LOCAL_COMMON) -> DataFrame:
     """doc_id, n_shingles, component_id (see the module's text), component (a number of it; null without shingles) and k_text,
     a hash of the row's text."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    rows = keyed(docs).select("doc_id", "text", "k_id", "k_text")
-    routed = rows.select("doc_id", "text", "k_text").mapInArrow(_to_regions, ROUTED)
-    met = stage(routed.repartition(n, "route").mapInArrow(_meet, ROUTED), "regions")
-    texts = met.where(F.col("kind") == TEXT).select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "k_text", F.col("n").alias("n_shingles"))
-    blocks = connected(met.where(F.col("kind") == EDGE).select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node"), F.col("root").alias("block"))
-
-    one_text = texts.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("k_id"), "k_text", "n_shingles")).alias("at"))
-    members = stage(one_text.join(blocks, "node").select("node", "block", "at.k_id", "at.k_text", "at.n_shingles"), "members")
-    tiles = members.groupBy("block").agg(F.ceil(2 * F.sum("n_shingles") / block_shingles).cast("long").alias("tiles"))
-    tiles = tiles.select("block", F.when(F.col("tiles") <= 2, 1).otherwise(F.col("tiles")).alias("tiles"))
+    parts = min(partitions(spark), 1 << 16)
+    rows = keyed(docs).select("doc_id", "text", "k_text")
+    shared = _deal(rows.mapInArrow(_to_partitions(parts, local_common), ROUTED), parts).mapInArrow(_shared(parts), ROUTED)
+    found = _deal(shared.mapInArrow(_by_set(parts), ROUTED), parts).mapInArrow(_members, MEMBERS)
+    found = stage(found, "members")
+    texts = found.where(F.col("kind") == TEXT).select("doc_id", "node", "k_text", F.col("n").alias("n_shingles"))
+    members = found.where(F.col("kind") == MEMBER).select("node", "n", "quota", "shingles")
+
+    edges = members.select("node", "quota", "shingles").mapInArrow(_to_regions, REGIONS).repartition(parts, "route").mapInArrow(_meet, "u long, v long")
+    blocks = connected(edges).select("node", F.col("root").alias("block"))
+    placed = members.select("node", "n", "shingles").join(blocks, "node")
+    tiles = members.select("node", F.length("shingles").alias("bytes")).join(blocks, "node").groupBy("block").agg(F.ceil(F.sum("bytes") / (4 * block_shingles)).cast("long").alias("tiles"))
+    tiles = tiles.select("block", F.when(F.col("tiles") <= 2, F.lit(1)).otherwise(F.col("tiles")).alias("tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    placed = members.join(tiles, "block").select("*", own.alias("own"), other.alias("other")).select(
-        "node", "k_id", "k_text",
-        F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
+    placed = placed.join(tiles, "block").select("*", own.alias("own"), other.alias("other")).select(
+        "node", "n", "shingles", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
     )
-    sets = rows.select("k_id", "k_text", "text").join(placed, ["k_id", "k_text"]).select("block", "node", "text")
-    joined = sets.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_join_blocks, "u long, v long")
-    linked = connected(stage(joined.where("u != v"), "links"))
+    joined = placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_join_blocks, "u long, v long")
+    linked = connected(joined.where("u != v"))
 
     # the components' names: the smallest doc_id over all texts of all their sets
     of_set = texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     of_set = of_set.join(linked, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    of_set = stage(of_set, "sets")
     names = of_set.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = of_set.join(names, "root").select("node", "component_id", F.col("root").alias("component"))
     found = texts.where("n_shingles > 0").join(named, "node").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "component", "k_text")
