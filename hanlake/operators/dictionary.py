@@ -239,7 +239,7 @@ class MixedSearch:
                 ways = [[*w, ("char", p)] for w in ways]
             elif p:
                 try:
-                    own = [[e for e in way if e.strip()] for way in s.reading.decompositions(p)]
+                    own = [[x for e in way if e.strip() for x in ([e] if s.reading.is_entity(e) else e)] for way in s.reading.decompositions(p)]
                 except ReadingError:
                     return None
                 ways = [[*w, *(("entity", e) for e in o)] for w in ways for o in own]
