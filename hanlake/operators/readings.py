@@ -452,17 +452,33 @@ class CantoneseYale(Numbered):
         return (re.sub("((?:[aeiou]|^h?m|^h?ng))h", r"\1", bare, count=1, flags=re.I) if low else bare), tone[0]
 
 
+_BARS, _SUPERSCRIPTS = str.maketrans("12345", "˩˨˧˦˥"), str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+
+
 class Toned(Reading):
-    """IPA: a tone mark behind each syllable, a point between syllables. The marks are given by tone name."""
+    """IPA: a tone mark behind each syllable, a point between syllables. Tones have names, and contours of digits from 1 (low) to 5."""
 
-    marks: Mapping[str, str] = {}
-    defaults = {"missingToneMark": "noinfo", "marks": None}
+    contours: Mapping[str, str] = {}
+    #: Tone name -> number, for the mark types that write numbers.
+    numbers: Mapping[str, str] = {}
+    defaults = {"toneMarkType": "ipaToneBar", "missingToneMark": "noinfo", "marks": None}
     separator = "."
 
     def _marks(self) -> Mapping[str, str]:
-        return self.options["marks"] or self.marks
+        if self.options["marks"]:
+            return self.options["marks"]
+        kind = self.options["toneMarkType"]
+        if kind in ("numbers", "superscriptNumbers"):
+            plain = {t: self.numbers.get(t, "") for t in self.contours}
+            return {t: m.translate(_SUPERSCRIPTS) if kind == "superscriptNumbers" else m for t, m in plain.items()}
+        if kind not in ("ipaToneBar", "chaoDigits", "superscriptChaoDigits", "none"):
+            raise ValueError(f"no tone marks of type {kind!r}")
+        by = {"ipaToneBar": _BARS, "superscriptChaoDigits": _SUPERSCRIPTS}.get(kind)
+        return {t: "" if kind == "none" else c.translate(by) if by else c for t, c in self.contours.items()}
 
     def tones(self) -> list:
+        if self.options["toneMarkType"] == "none":
+            return [None]
         return [*self._marks(), *([None] if self.options["missingToneMark"] == "noinfo" else [])]
 
     def tonal(self, plain: str, tone) -> str:
@@ -471,8 +487,12 @@ class Toned(Reading):
         return plain + (self._marks()[tone] if tone is not None else "")
 
     def split(self, entity: str) -> tuple[str, object]:
-        best = max(((len(m), t) for t, m in self._marks().items() if m and entity.endswith(m)), default=None)
-        return (entity[: -best[0]], best[1]) if best else (entity, next((t for t, m in self._marks().items() if not m), None))
+        """The longest mark at the end counts; of tones with equal marks the first."""
+        found = [(len(m), t) for t, m in self._marks().items() if m and entity.endswith(m)]
+        if found:
+            longest = max(n for n, _ in found)
+            return entity[:-longest], next(t for n, t in found if n == longest)
+        return entity, None if self.options["toneMarkType"] == "none" else next((t for t, m in self._marks().items() if not m), None)
 
     def decompositions(self, text: str) -> list[list[str]]:
         return [self.decompose(text)]
@@ -483,20 +503,59 @@ class Toned(Reading):
 
 class MandarinIPA(Toned):
     name = "MandarinIPA"
-    #: Tone bars of the tones.
-    marks = {"1stTone": "˥˥", "2ndTone": "˧˥", "3rdToneRegular": "˨˩˦", "3rdToneLow": "˨˩", "4thTone": "˥˩", "5thTone": "", "5thToneHalfHigh": "˦", "5thToneMiddle": "˧", "5thToneHalfLow": "˨", "5thToneLow": "˩"}
+    #: Contours and numbers of the tones.
+    contours = {"1stTone": "55", "2ndTone": "35", "3rdToneRegular": "214", "3rdToneLow": "21", "4thTone": "51", "5thTone": "", "5thToneHalfHigh": "4", "5thToneMiddle": "3", "5thToneHalfLow": "2", "5thToneLow": "1"}
+    numbers = {"1stTone": "1", "2ndTone": "2", "3rdToneRegular": "3", "3rdToneLow": "3", "4thTone": "4", "5thTone": "", "5thToneHalfHigh": "5", "5thToneMiddle": "5", "5thToneHalfLow": "5", "5thToneLow": "5"}
 
 
 class CantoneseIPA(Toned):
+    """Syllables on p, t, k have the level tones only; explicit: their tones are written short."""
+
     name = "CantoneseIPA"
-    #: Tone bars of the tones.
-    marks = {"HighLevel": "˥˥", "HighFalling": "˥˨", "MiddleRising": "˨˥", "MiddleLevel": "˧˧", "LowFalling": "˨˩", "LowRising": "˨˧", "LowLevel": "˨˨"}
+    defaults = dict(Toned.defaults) | {"stopTones": "none"}
+    #: Contours and numbers of the tones; tones of stops.
+    contours = {"HighLevel": "55", "HighFalling": "52", "MiddleRising": "25", "MiddleLevel": "33", "LowFalling": "21", "LowRising": "23", "LowLevel": "22"}
+    numbers = {"HighLevel": "1", "HighFalling": "1", "MiddleRising": "2", "MiddleLevel": "3", "LowFalling": "4", "LowRising": "5", "LowLevel": "6"}
+    stops = {"HighLevel": "5", "MiddleLevel": "3", "LowLevel": "2"}
+
+    def tone_fits(self, plain: str, tone) -> bool:
+        return tone in self.tones() and (not self.has_stop(plain) or tone in (None, *self.stops))
+
+    def has_stop(self, plain: str) -> bool:
+        return plain.rstrip("̚")[-1:] in "ptk"
+
+    def tonal(self, plain: str, tone) -> str:
+        if self.options["stopTones"] == "explicit" and tone in self.stops and self.has_stop(plain) and self.options["toneMarkType"] == "ipaToneBar":
+            return plain + self.stops[tone].translate(_BARS)
+        return super().tonal(plain, tone)
+
+    def split(self, entity: str) -> tuple[str, object]:
+        if self.options["stopTones"] == "explicit" and self.options["toneMarkType"] == "ipaToneBar":
+            for tone, mark in self.stops.items():
+                plain = entity.removesuffix(mark.translate(_BARS))
+                if plain != entity and self.has_stop(plain):
+                    return plain, tone
+        return super().split(entity)
 
 
 class ShanghaineseIPA(Toned):
+    """flags: plain syllable -> V (voiced initial), U (unvoiced), G (glottal stop), which the tones then must fit."""
+
     name = "ShanghaineseIPA"
-    #: Chao digits of the tones.
-    marks = {"HighLevel": "⁵³", "MiddleRising": "³⁴", "LowRising": "²³", "HighEntering": "⁵⁵", "LowEntering": "¹²"}
+    defaults = dict(Toned.defaults) | {"toneMarkType": "superscriptChaoDigits", "constrainEntering": False, "constrainToneCategories": False, "flags": None}
+    #: Contours of the tones.
+    contours = {"HighLevel": "53", "MiddleRising": "34", "LowRising": "23", "HighEntering": "55", "LowEntering": "12"}
+    numbers = {t: str(i + 1) for i, t in enumerate(contours)}
+
+    def tone_fits(self, plain: str, tone) -> bool:
+        flags = (self.options["flags"] or {}).get(plain, "")
+        if tone is None or tone not in self.tones():
+            return tone in self.tones()
+        if self.options["constrainEntering"] and ("G" in flags) != tone.endswith("Entering"):
+            return False
+        if self.options["constrainToneCategories"] and ("V" in flags and not tone.startswith("Low") or "U" in flags and tone.startswith("Low")):
+            return False
+        return True
 
 
 class MandarinBraille(Reading):
@@ -638,18 +697,50 @@ class Bridge:
         return self.second.convert(self.first.convert(text))
 
 
+class ErhuaConverter(Converter):
+    """Between Pinyin with r as a syllable of its own and Pinyin with r in the syllable before it."""
+
+    #: Syllables that don't take an r.
+    never = ("e", "er", "r", "n", "ng", "hng", "hm", "m", "ê")
+
+    def convert_entities(self, entities: list[str]) -> list[str]:
+        joined = self.target.options["erhua"] == "oneSyllable"
+        out: list[str] = []
+        for e in entities:
+            if not self.source.is_entity(e):
+                out.append(e)
+                continue
+            plain, tone = self.source.split(e)
+            low = plain.lower()
+            if joined and low == "r" and out and self.source.is_entity(out[-1]) and self.source.split(out[-1])[0].lower() not in self.never:
+                before, own = self.source.split(out.pop())
+                out.append(self.source.tonal(before + plain, own) if self.source.tones() != [None] else before + plain)
+            elif not joined and low.endswith("r") and low not in ("r", "er"):
+                out += [self.source.tonal(plain[:-1], tone), self.source.tonal(plain[-1], 5 if 5 in self.source.tones() else None)]
+            else:
+                out.append(e)
+        return super().convert_entities(out)
+
+
 def respelling(source: Reading, target: Reading) -> Converter:
     """Between two spellings of one reading: plain syllables by their common origin."""
     if type(source) is not type(target):
         raise UnsupportedError(f"{source.name} and {target.name} are different readings")
-    neutral = type(source)
     spelled = lambda r: {r.respelled(p): p for p in INVENTORY.get(source.name, ())} or {p: p for p in r.plain}
     back, there = spelled(source), {p: s for s, p in spelled(target).items()}
-    _ = neutral
-    if isinstance(source, Pinyin):
-        back |= {"r": "r"}
-        there |= {"r": "r"}
-    return Converter(source, target, {s: there[p] for s, p in back.items() if p in there})
+    syllables = {s: there[p] for s, p in back.items() if p in there}
+    if not isinstance(source, Pinyin):
+        return Converter(source, target, syllables)
+    syllables |= {"r": "r"} | {f"{s}r": f"{t}r" for s, t in syllables.items()}
+    differ = {source.options["erhua"], target.options["erhua"]} == {"oneSyllable", "twoSyllables"}
+    if differ:  # the source must read what stands between the two forms
+        source = _remake(Pinyin, source.plain | {p + "r" for p in source.plain if p not in ErhuaConverter.never} | {"r"}, source.options)
+    return (ErhuaConverter if differ else Converter)(source, target, syllables)
+
+
+def onset_and_rhyme(rows, parts, column: str):
+    """rows with the columns of parts (plain syllable in the column of that name, initial, final) by their plain syllables."""
+    return rows.join(parts, column, "left")
 
 
 #: Plain syllables of readings, as register_inventory() was told.

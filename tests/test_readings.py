@@ -121,6 +121,31 @@ def test_braille_and_ipa():
     assert rd.READINGS["Hangul"]().decompose("ab한국어c") == ["ab", "한", "국", "어", "c"]
 
 
+def test_erhua():
+    def made(text, source, target):
+        return rd.respelling(rd.reading("Pinyin", **source), rd.reading("Pinyin", **target)).convert(text)
+
+    one, two = {"erhua": "oneSyllable"}, {"erhua": "twoSyllables"}
+    assert made("mār", two, one) == "mār" == made("mār", one, two) and made("nǚhái", one, two) == "nǚhái"
+    numbers = {"toneMarkType": "numbers"}
+    assert made("xian1r5", numbers | two, numbers | one) == "xianr1" and made("xianr1", numbers | one, numbers | two) == "xian1r5"
+    assert made("er2", numbers | two, numbers | one) == "er2"
+
+
+def test_ipa_marks():
+    styles = {"ipaToneBar": "ma˧˥", "chaoDigits": "ma35", "superscriptChaoDigits": "ma³⁵", "numbers": "ma2", "superscriptNumbers": "ma²"}
+    for kind, want in styles.items():
+        r = rd.MandarinIPA(["ma"], toneMarkType=kind)
+        assert r.tonal("ma", "2ndTone") == want and r.split(want) == ("ma", "2ndTone")
+    c = rd.CantoneseIPA(["sɪk", "waː"], stopTones="explicit")
+    assert c.tonal("sɪk", "HighLevel") == "sɪk˥" and c.split("sɪk˥") == ("sɪk", "HighLevel") and c.split("waː˥˥") == ("waː", "HighLevel")
+    assert not c.tone_fits("sɪk", "LowRising") and c.tone_fits("waː", "LowRising")
+    s = rd.ShanghaineseIPA(["gəˀ", "ɦi"], flags={"gəˀ": "VG", "ɦi": "V"}, constrainEntering=True, constrainToneCategories=True)
+    assert s.is_entity("gəˀ¹²") and not s.is_entity("gəˀ⁵³") and not s.is_entity("ɦi⁵³") and s.is_entity("ɦi²³")
+    with pytest.raises(ValueError):
+        rd.MandarinIPA(["ma"], toneMarkType="colours").tones()
+
+
 def test_registry_and_guess():
     ways = rd.Conversions()
     rows = [(w, p, 0) for w, p in WG.items() if w != "ho"]
