@@ -249,21 +249,21 @@ def encoder(path: str, pattern: str | None = None) -> Encoder:
     return Encoder(vocabulary(path, pattern))
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, encoder_: Encoder | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, encoder_=None, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches of rows with column text, and the ids of each row."""
     enc = encoder_ or encoder(path)
-    for batch in text_slices(_grouped(batches), "text", GROUP_BYTES):
+    for batch in text_slices(_grouped(batches, group_bytes), "text", group_bytes):
         texts = batch.column("text").fill_null("")
         enc.learn(x.as_py() for x in texts)
         yield batch, [enc.encode(x.as_py()) for x in texts]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Small batches put together, to about GROUP_BYTES."""
+def _grouped(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, to about group_bytes."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.nbytes for b in held) >= GROUP_BYTES:
+        if sum(b.nbytes for b in held) >= group_bytes:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held = []
     if held:

@@ -15,6 +15,7 @@ ignored. An empty table gives no pieces.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,25 +27,56 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import U64, mix, partitions, stage
 
-CAPACITY, PART, ROUNDS = 2048, 20_000, 4
+CAPACITY, PART, ROUNDS, WORDS = 2048, 20_000, 4, 250_000
 
 
-class _FastEncoder(bpe.Encoder):
-    """The same ids by the compiled library; its merges of single pieces follow the same ranks."""
+class _Words(dict):
+    """Word -> ids of the word behind ``before``, in two tables: a full one is kept for a while for words that come again."""
 
-    def __init__(self, v: bpe.Vocabulary):
+    def __init__(self, encode, before: str):
+        super().__init__()
+        self.encode, self.before, self.older = encode, before, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > WORDS:
+            self.older = dict(self)
+            self.clear()
+        found = self[word] = self.older.get(word) or array("I", self.encode(self.before + word)).tobytes()
+        return found
+
+
+class _FastEncoder:
+    """The ids of the tokenizer's library, by a compiled library of the same ranks for words that aren't known yet."""
+
+    def __init__(self, path: str):
         import tiktoken
 
-        super().__init__(v)
-        self.library = tiktoken.Encoding("own", pat_str=v.pieces.pattern, mergeable_ranks=v.ranks, special_tokens={})
+        v = bpe.vocabulary(path)
+        self.encode_text = tiktoken.Encoding("own", pat_str=v.pieces.pattern, mergeable_ranks=v.ranks, special_tokens={}).encode_ordinary
+        self.first, self.later = _Words(self.encode_text, ""), _Words(self.encode_text, " ")
+
+    def learn(self, texts) -> None:
+        pass
+
+    def forget(self) -> None:
+        """Gives the tables' memory back; workers outlive their tasks."""
+        for words in (self.first, self.later):
+            words.clear()
+            words.older = {}
 
-    def pieces_of(self, new: list[str]) -> list[bytes]:
-        return [np.array(self.library.encode_ordinary(p), "<u4").tobytes() for p in new]
+    def encode(self, text: str) -> bytes:
+        if "  " in text:
+            return array("I", self.encode_text(text)).tobytes()
+        head, space, tail = text.partition(" ")
+        if not space:
+            return self.first[head]
+        later = self.later
+        return self.first[head] + b"".join([later[w] for w in tail.split(" ")])
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> _FastEncoder:
-    return _FastEncoder(bpe.vocabulary(path))
+    return _FastEncoder(path)
 
 
 # ---------------------------------------------------------------- bounds and packing of one partition
@@ -107,7 +139,7 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         enc, serial = _encoder(path), bpe.task_number() << 40
-        for batch, all_ids in bpe.encoded(batches, path, encoder_=enc):
+        for batch, all_ids in bpe.encoded(batches, path, encoder_=enc, group_bytes=4 << 20):
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for i, ids in enumerate(all_ids):
                 ids += end
@@ -132,6 +164,7 @@ def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
             if keep_ids:
                 arrays, names = [*arrays, pa.array(own, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        enc.forget()
 
     return of
 

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage
-from .linear import fit_logistic
+from .linear import fit_shrunk
 
-BUCKETS, SAMPLE, WORDS = 1 << 14, 8_000, 200_000
+BUCKETS, SAMPLE, WORDS = 1 << 14, 8_000, 100_000
 #: What a vote is written as in a pattern.
 BAD, ABSTAIN, GOOD = 0, 1, 2
 LABELLERS = ("upper case", "signs", "repeated neighbours", "repeated triples", "sentence ends", "exclamations", "bars")
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     ballots = stage(drawn.mapInArrow(_ballots(share), "k_text long, pattern int, buckets array<int>, shares array<double>"), "ballots")
     posterior = posteriors({r["pattern"]: r["count"] for r in ballots.groupBy("pattern").count().collect()})
     taught = sorted(tuple(r) for r in ballots.where("buckets is not null").dropDuplicates(["k_text"]).drop("k_text").collect())
-    weights, intercept = fit_logistic([r[1] for r in taught], [r[2] for r in taught], np.array([posterior[r[0]] for r in taught]), BUCKETS, l2=1e-5, steps=600)
+    weights, intercept = fit_shrunk([r[1] for r in taught], [r[2] for r in taught], np.array([posterior[r[0]] for r in taught]), BUCKETS, l2=1e-5, steps=600)
     return Model(posterior, {int(i): float(weights[i]) for i in np.flatnonzero(weights)}, intercept)
 
 

@@ -86,7 +86,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
 
 def _runs_of(length: int, gram: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", 2 << 20):
             c, f, text, p1, p2, a = runs(*text_bytes(batch.column("text")), length, gram)
             k_id, k_text = longs(batch.column("k_id")), longs(batch.column("k_text"))
             yield pa.RecordBatch.from_arrays(
@@ -106,7 +106,7 @@ def _spans_of(length: int):
     """The bytes that each chosen run covers."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", 2 << 20):
             data, offsets = text_bytes(batch.column("text"))
             raw = data.tobytes()
             rows = []
@@ -204,6 +204,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     rows = keyed(docs).select("text", "k_id", "k_text")
     all_runs = stage(rows.mapInArrow(_runs_of(length, gram), RUNS), "runs")
     buckets = all_runs.groupBy("c").agg(F.count("*").alias("in_bucket"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("in_bucket > 1")
+    buckets = stage(buckets, "buckets")  # so the join below has a plain shuffle on both sides, whose hot buckets can be split
     shared = stage(all_runs.join(buckets, "c").withColumn("mixed", F.col("f1") != F.col("f2")).drop("f1", "f2", "in_bucket"), "shared")
     as_interval = ["k_id", "k_text", "start", (F.col("stop") + length).cast("int").alias("stop")]
 
@@ -249,7 +250,7 @@ def _cut(raw: bytes, merged: list[tuple[int, int]]) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text", 4 << 20):
+    for batch in text_slices(batches, "text", 2 << 20):
         data, offsets = text_bytes(batch.column("text"))
         raw = data.tobytes()
         out = []

@@ -2,7 +2,7 @@
 
 Features are hashed n-grams of 3 to 5 characters inside the lower-cased words, with marks at the words' ends; a text
 has a feature or not. All labelled rows are counted: the log-count ratio of a feature compares how often distinct words
-of toxic and of other texts have it. The ``FEATURES`` of the most certain ratios are kept, scaled by them, and weighted
+of toxic and of other texts have it. The most certain ratios, at most ``FEATURES``, are kept, scale their features, and are weighted
 by logistic regression on a sample of at most about ``SAMPLE`` different labelled texts, chosen by hash.
 
 Defined results: null and empty texts have the score of a text without features; rows with null labels or texts teach nothing;
@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 
 from .linear import bounded_sample, fit_logistic
 
-BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 4096, 20_000, 300_000
+BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 4096, 20_000, 120_000
+#: Ratios under so many standard errors are left out, as they come by chance.
+CERTAIN = 3.0
 SIZES = (3, 4, 5)
 
 
@@ -100,6 +102,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) ->
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
     best = np.lexsort((bucket, -certain))[:features]
+    best = best[certain[best] >= CERTAIN]
     bucket, ratio = bucket[best], ratio[best]
     place = {int(b): i for i, b in enumerate(bucket)}
 
