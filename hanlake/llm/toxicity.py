@@ -12,7 +12,6 @@ they come. All columns stay; ``score`` and ``predicted`` replace columns of thes
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import U64, RollingHash, mix, text_slices
 from .linear import bounded_sample, fit_logistic
 
 BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 4096, 20_000, 120_000
@@ -31,9 +31,19 @@ CERTAIN = 3.0
 SIZES = (3, 4, 5)
 
 
-def word_buckets(word: str) -> set[int]:
-    raw = f"\x02{word}\x03".encode()
-    return {zlib.crc32(raw[i : i + n]) % BUCKETS for n in SIZES for i in range(len(raw) - n + 1)}
+def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word's place, bucket) of all n-grams of some words, with a mark at either end."""
+    raws = [b"\x02" + w.encode() + b"\x03" for w in words]
+    ends = np.cumsum([len(r) for r in raws]) if raws else np.zeros(0, np.int64)
+    data = np.frombuffer(b"".join(raws), np.uint8)
+    own = np.repeat(np.arange(len(raws)), np.diff(np.append(0, ends)))
+    hashes = RollingHash(data)
+    places, buckets = [], []
+    for n in SIZES:
+        at = np.flatnonzero(np.arange(len(data)) + n <= ends[own]) if len(data) else np.zeros(0, np.int64)
+        places.append(own[at])
+        buckets.append((mix(hashes.spans(at, at + n) + U64(n)) % U64(BUCKETS)).astype(np.int64))
+    return np.concatenate(places), np.concatenate(buckets)
 
 
 @dataclass
@@ -44,48 +54,54 @@ class Model:
     intercept: float = 0.0
 
 
-class _Chosen(dict):
-    """word -> its chosen buckets, in a table that starts anew when it is full."""
+class _Chosen:
+    """Words with chosen buckets -> those, in a table that starts anew when it knows WORDS words."""
 
     def __init__(self, chosen):
-        super().__init__()
-        self.chosen = chosen
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > WORDS:
-            self.clear()
-        found = self[word] = tuple(b for b in word_buckets(word) if b in self.chosen)
-        return found
-
-
-def _active(texts: pa.Array, table: _Chosen) -> Iterator[set[int]]:
-    for text in texts:
-        found: set[int] = set()
-        for word in set((text.as_py() or "").lower().split()):
-            if buckets := table[word]:
-                found.update(buckets)
-        yield found
+        self.is_chosen = np.zeros(BUCKETS, bool)
+        self.is_chosen[list(chosen)] = True
+        self.known: set[str] = set()
+        self.table: dict[str, set[int]] = {}
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > WORDS:
+            self.known, self.table = set(), {}
+        new = list(words - self.known)
+        place, bucket = gram_buckets(new)
+        hit = self.is_chosen[bucket]
+        for p, b in zip(place[hit].tolist(), bucket[hit].tolist()):
+            self.table.setdefault(new[p], set()).add(b)
+        self.known.update(new)
+
+
+def _active(batches: Iterator[pa.RecordBatch], table: _Chosen) -> Iterator[tuple[pa.RecordBatch, list[set[int]]]]:
+    """Batches, and the chosen buckets of each text."""
+    for batch in text_slices(batches, "text", 2 << 20):
+        texts = [set((x or "").lower().split()) for x in batch.column("text").to_pylist()]
+        table.learn(set().union(*texts))
+        known = table.table
+        yield batch, [set().union(*(known[w] for w in words & known.keys())) for words in texts]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many distinct words of toxic and of other texts have each bucket, summed over the task."""
-    total = np.zeros((2, BUCKETS), np.int64)
+    """How many n-grams of distinct words of toxic and of other texts are in each bucket, summed over the task."""
+    total = np.zeros((2, BUCKETS))
     words: tuple[Counter, Counter] = (Counter(), Counter())
 
     def spread():
         for kind in (0, 1):
-            for word, times in words[kind].items():
-                total[kind][list(word_buckets(word))] += times
+            place, bucket = gram_buckets(list(words[kind]))
+            total[kind] += np.bincount(bucket, np.array(list(words[kind].values()), float)[place] if len(place) else None, BUCKETS)
             words[kind].clear()
 
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
             words[label].update(set(text.as_py().lower().split()))
-        if len(words[0]) + len(words[1]) > WORDS:
-            spread()
+            if len(words[0]) + len(words[1]) > WORDS:
+                spread()
     spread()
     at = np.flatnonzero(total.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], names=["bucket", "others", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[k][at].astype(np.int64)) for k in (0, 1))], names=["bucket", "others", "toxic"])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
@@ -107,10 +123,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) ->
     place = {int(b): i for i, b in enumerate(bucket)}
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Chosen(place.keys())
-        for batch in batches:
-            found = [sorted(x) for x in _active(batch.column("text"), table)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "buckets"])
+        for batch, found in _active(batches, _Chosen(place.keys())):
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([sorted(x) for x in found], pa.list_(pa.int32()))], names=["label", "buckets"])
 
     taught = bounded_sample(rows, sample, "text").dropDuplicates(["text", "label"]).mapInArrow(chosen, "label int, buckets array<int>").toArrow()
     indices = [[place[b] for b in x] for x in taught.column("buckets").to_pylist()]
@@ -127,9 +141,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights
-        table = _Chosen(weights.keys())
-        for batch in batches:
-            z = np.array([model.intercept + sum(weights[b] for b in sorted(x)) for x in _active(batch.column("text"), table)])
+        for batch, found in _active(batches, _Chosen(weights.keys())):
+            z = np.array([model.intercept + sum(weights[b] for b in sorted(x)) for x in found])
             scores = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
