@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .functions import ids, text
 from .operators import characters as ch
 from .operators import dictionary as dic
+from .operators import gr
 from .operators import readings as rd
-from .plans import derive
+from .plans import derive, radicals
 from .plans.catalog import Catalog
 from .sources import dictionaries, unihan
 
@@ -601,3 +602,63 @@ def cnv12_bridge(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.concat(wg, (F.col("p_partkey") % 4 + 1).cast("string")).alias("w"))
     rows = rows.withColumn("x", rd.convert(F.col("w"), all_ways.get(rd.reading("WadeGiles", toneMarkType="numbers"), rd.reading("MandarinIPA"))))
     return rows.select("p_partkey", F.col("x.value").alias("value"), F.col("x.error").alias("error"))
+
+
+#: Gwoyeu Romatzyh of the syllables, plain and in four tones.
+GR_FORMS = {
+    "ma": ("ma", "mha ma maa mah"), "bei": ("bei", "bei beir beei bey"), "jing": ("jing", "jing jyng jiing jinq"), "zhong": ("jong", "jong jorng joong jonq"),
+    "guo": ("guo", "guo gwo guoo guoh"), "xie": ("shie", "shie shye shiee shieh"), "qian": ("chian", "chian chyan chean chiann"), "lü": ("liu", "lhiu liu leu liuh"),
+    "shu": ("shu", "shu shwu shuu shuh"), "dao": ("dau", "dau daur dao daw"), "ren": ("ren", "rhen ren reen renn"), "tai": ("tai", "tai tair tae tay"),
+    "nan": ("nan", "nhan nan naan nann"), "hou": ("hou", "hou hour hoou how"), "san": ("san", "san sarn saan sann"), "gui": ("guei", "guei gwei goei guey"),
+}
+_GR_ROWS = [(p, g) for p, (g, _) in GR_FORMS.items()]
+
+
+@query(_mapped(lambda s, t: GR_FORMS[s[0]][1].split()[t - 1]))
+def cnv07_pinyin_to_gr(spark, d):
+    return _converted(spark, d, gr.GRPinyin(_GR_ROWS, rd.reading("Pinyin", toneMarkType="numbers", erhua="ignore"), gr.GR([g for _, g in _GR_ROWS])))
+
+
+@query(_mapped(lambda s, t: s[0] + str(t)))
+def cnv07_gr_to_pinyin(spark, d):
+    forms = spark.createDataFrame([(p + str(t + 1), form) for p, (_, forms) in GR_FORMS.items() for t, form in enumerate(forms.split())], "Reading string, form string")
+    back = gr.GRPinyin(_GR_ROWS, gr.GR([g for _, g in _GR_ROWS]), rd.reading("Pinyin", toneMarkType="numbers", erhua="ignore"))
+    rows = character_readings(spark, d).join(F.broadcast(forms), "Reading").withColumn("x", rd.convert(F.col("form"), back))
+    return rows.select("p_partkey", F.col("x.value").alias("value"), F.col("x.error").alias("error"))
+
+
+@query("SELECT * FROM " + _values(("g", "˳geh", None), ("x", None, "ConversionError"), ("guoh .x", "guoh .guoh", None), ("maa shu vx", "maa shu maa shu", None)) + " t(text, value, error)")
+def cnv06_gr_full_forms(spark, d):
+    own = gr.GR([*(g for _, g in _GR_ROWS), "ge"], abbreviated=[("˳geh", "g", "")])
+    rows = spark.createDataFrame([("g",), ("x",), ("guoh .x",), ("maa shu vx",)], "text string").withColumn("x", rd.convert(F.col("text"), gr.GRToGR(own, own, True)))
+    return rows.select("text", F.col("x.value").alias("value"), F.col("x.error").alias("error"))
+
+
+def _decompositions(spark):
+    rows = [("他", "⿰亻也"), ("休", "⿰亻木"), ("鸺", "⿰休鸟"), ("林", "⿰木木"), ("森", "⿱木林"), ("回", "⿴囗口"), ("凶", "⿶凵乂")]
+    return spark.createDataFrame([(c, s, 0, 0) for c, s in rows], f"{CH} string, Decomposition string, Glyph int, SubIndex int")
+
+
+@query("SELECT * FROM " + _values(("他", "亻", "⿰", 0, 3), ("休", "亻", "⿰", 0, 4), ("休", "木", "⿰", 1, 2), ("鸺", "鸟", "⿰", 1, 6), ("鸺", "亻", "⿰", 0, 9), ("鸺", "木", "⿻", 0, 7), ("林", "木", "⿰", 0, 4), ("林", "木", "⿰", 1, 4), ("森", "木", "⿱", 0, 8), ("森", "木", "⿻", 0, 8)) + " t(character, form, layout, position, residual)")
+def der16_radical_residuals(spark, d):
+    forms = spark.createDataFrame([("亻", 9), ("木", 75), ("鸟", 196)], "Form string, RadicalIndex int")
+    counts = spark.createDataFrame([("亻", 0, 2), ("也", 0, 3), ("木", 0, 4), ("鸟", 0, 5), ("休", 0, 6), ("林", 0, 8)], f"{CH} string, Glyph int, StrokeCount int")
+    out = radicals.radical_residuals(_decompositions(spark), forms, counts)
+    return out.select(F.col(CH).alias("character"), F.col("RadicalForm").alias("form"), F.col("MainCharacterLayout").alias("layout"), F.col("RadicalRelativePosition").alias("position"), F.col("ResidualStrokeCount").alias("residual"))
+
+
+@query("SELECT * FROM " + _values(("木", "H-S-P-N"), ("囗", "S-HZ-H"), ("口", "S-HZ-H"), ("凵", "SZ-S"), ("乂", "P-N"), ("林", "H-S-P-N H-S-P-N"), ("森", "H-S-P-N H-S-P-N H-S-P-N"), ("回", "S-HZ S-HZ-H H"), ("凶", "P-N SZ-S")) + " t(character, strokes)")
+def trv02_stroke_orders(spark, d):
+    own = spark.createDataFrame([("木", "H-S-P-N", 0), ("囗", "S-HZ-H", 0), ("口", "S-HZ-H", 0), ("凵", "SZ-S", 0), ("乂", "P-N", 0)], f"{CH} string, StrokeOrder string, Glyph int")
+    return ch.synthesise_stroke_orders(own, _decompositions(spark)).select(F.col(CH).alias("character"), F.col("StrokeOrder").alias("strokes"))
+
+
+@query("SELECT * FROM " + _values(("鸺", "休"), ("鸺", "亻"), ("鸺", "木"), ("鸺", "鸟"), ("休", "亻"), ("休", "木"), ("森", "木"), ("森", "林"), ("林", "木"), ("他", "亻"), ("他", "也"), ("回", "囗"), ("回", "口"), ("凶", "凵"), ("凶", "乂")) + " t(character, component)")
+def trv03_component_closure(spark, d):
+    return derive.component_lookup(_decompositions(spark)).select(F.col(CH).alias("character"), F.col("Component").alias("component"))
+
+
+@query("SELECT * FROM " + _values(("乂",), ("也",), ("亻",), ("凵",), ("口",), ("囗",), ("木",), ("鸟",)) + " t(component)")
+def trv04_basic_components(spark, d):
+    rows = _decompositions(spark)
+    return ch.basic_components(rows, rows.select(CH)).select(F.col("Component").alias("component"))
