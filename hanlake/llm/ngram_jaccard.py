@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, RollingHash, keyed, longs, mix, partitions, stage, text_bytes, text_slices, word_spans
+from .common import LOWER, U64, RollingHash, keyed, longs, mix, partitions, small_batches, stage, text_bytes, text_slices, word_spans
 from .components import connected
 
 SHINGLE_WORDS = 5
@@ -463,6 +463,7 @@ def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGL
     """doc_id, n_shingles, component_id (see the module's text), component (a number of it; null without shingles) and k_text,
     a hash of the row's text."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = min(partitions(spark), 1 << 16)
     rows = keyed(docs).select("doc_id", "text", "k_text")
     shared = _deal(rows.mapInArrow(_to_partitions(parts, local_common), ROUTED), parts).mapInArrow(_shared(parts), ROUTED)

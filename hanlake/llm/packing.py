@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import U64, mix, partitions, stage
+from .common import U64, mix, partitions, small_batches, stage
 
 CAPACITY, PART, ROUNDS, WORDS = 2048, 20_000, 4, 250_000
 
@@ -189,6 +189,7 @@ def _pack_part(capacity: int, last: bool):
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, part: int = PART, keep_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified (its bins were proven
     to be as few as its partition allows), and with keep_ids also its ids."""
+    small_batches(docs.sparkSession)
     fields = PIECES + (", ids array<int>" if keep_ids else "")
     rows = docs.select("doc_id", "text").mapInArrow(_cut(path, end_id, capacity, keep_ids), fields)
     pieces = stage(rows, "pieces")

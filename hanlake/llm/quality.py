@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import small_batches, stage
 from .linear import fit_shrunk
 
 BUCKETS, SAMPLE, WORDS = 1 << 14, 8_000, 100_000
@@ -146,6 +146,7 @@ def _ballots(share: int):
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Votes of all rows, as counts of patterns, and features of a bounded sample reach the driver."""
+    small_batches(docs.sparkSession)
     count = docs.count()
     share = 1 << 30 if count <= sample else int(sample / count * (1 << 30))
     drawn = docs.select("text", F.xxhash64("text").alias("k_text"), F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)).alias("draw"))
@@ -158,6 +159,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with ``weak_label`` (posterior of the votes), ``score`` (the scorer's) and ``kept`` (score from 0.5 up)."""
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name not in ("weak_label", "score", "kept")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

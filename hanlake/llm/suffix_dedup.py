@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, RollingHash, keyed, longs, mix, partitions, stage, text_bytes, text_slices
+from .common import U64, RollingHash, keyed, longs, mix, partitions, small_batches, stage, text_bytes, text_slices
 
 LENGTH, GRAM = 400, 64
 BUCKET_RUNS = 50_000
@@ -200,6 +200,7 @@ def _by_offset(length: int):
 def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
     """(k_id, k_text, intervals): for each text with repeats, intervals of bytes that cover them; they may overlap."""
     spark = docs.sparkSession
+    small_batches(spark)
     n = partitions(spark)
     rows = keyed(docs).select("text", "k_id", "k_text")
     all_runs = stage(rows.mapInArrow(_runs_of(length, gram), RUNS), "runs")

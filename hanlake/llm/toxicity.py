@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, RollingHash, mix, text_slices
+from .common import U64, RollingHash, mix, small_batches, text_slices
 from .linear import bounded_sample, fit_logistic
 
 BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 4096, 20_000, 120_000
+AT_ONCE = 16_000
 #: Ratios under so many standard errors are left out, as they come by chance.
 CERTAIN = 3.0
 SIZES = (3, 4, 5)
@@ -67,16 +68,17 @@ class _Chosen:
         if len(self.known) > WORDS:
             self.known, self.table = set(), {}
         new = list(words - self.known)
-        place, bucket = gram_buckets(new)
-        hit = self.is_chosen[bucket]
-        for p, b in zip(place[hit].tolist(), bucket[hit].tolist()):
-            self.table.setdefault(new[p], set()).add(b)
+        for i in range(0, len(new), AT_ONCE):
+            place, bucket = gram_buckets(new[i : i + AT_ONCE])
+            hit = self.is_chosen[bucket]
+            for p, b in zip(place[hit].tolist(), bucket[hit].tolist()):
+                self.table.setdefault(new[i + p], set()).add(b)
         self.known.update(new)
 
 
 def _active(batches: Iterator[pa.RecordBatch], table: _Chosen) -> Iterator[tuple[pa.RecordBatch, list[set[int]]]]:
     """Batches, and the chosen buckets of each text."""
-    for batch in text_slices(batches, "text", 2 << 20):
+    for batch in text_slices(batches, "text", 1 << 20):
         texts = [set((x or "").lower().split()) for x in batch.column("text").to_pylist()]
         table.learn(set().union(*texts))
         known = table.table
@@ -90,8 +92,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def spread():
         for kind in (0, 1):
-            place, bucket = gram_buckets(list(words[kind]))
-            total[kind] += np.bincount(bucket, np.array(list(words[kind].values()), float)[place] if len(place) else None, BUCKETS)
+            known = list(words[kind].items())
+            for i in range(0, len(known), AT_ONCE):
+                some = known[i : i + AT_ONCE]
+                place, bucket = gram_buckets([w for w, _ in some])
+                total[kind] += np.bincount(bucket, np.array([n for _, n in some], float)[place], BUCKETS)
             words[kind].clear()
 
     for batch in batches:
@@ -106,6 +111,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """labelled: text, label (0 or 1). Only counts of at most BUCKETS rows and the sample's features reach the driver."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
     per_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(per_label.values())
@@ -137,6 +143,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) ->
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 up)."""
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name not in ("score", "predicted")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
