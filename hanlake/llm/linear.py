@@ -15,14 +15,14 @@ def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) < int(most / count * (1 << 30)))
 
 
-def fit_logistic(indices: list, values: list, targets: np.ndarray, width: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and intercept for soft targets in [0, 1]: full-batch Adam steps on the mean loss, with a falling rate."""
+def fit_logistic(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, targets: np.ndarray, width: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weights and intercept for soft targets in [0, 1]: full-batch Adam steps on the mean loss, with a falling rate.
+
+    sizes: how many of the columns and values, one row's after another's, each row has.
+    """
     if not len(targets):
         return np.zeros(width), 0.0
-    sizes = np.array([len(x) for x in indices])
     row = np.repeat(np.arange(len(sizes)), sizes)
-    col = np.concatenate([np.asarray(x, np.int64) for x in indices]) if sizes.sum() else np.zeros(0, np.int64)
-    val = np.concatenate([np.asarray(x, float) for x in values]) if sizes.sum() else np.zeros(0)
     mean = float(np.clip(targets.mean(), 1e-3, 1 - 1e-3))
     w = np.append(np.zeros(width), np.log(mean / (1 - mean)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)

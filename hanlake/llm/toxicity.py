@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import U64, RollingHash, mix, small_batches, text_slices
 from .linear import bounded_sample, fit_logistic
 
-BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 4096, 20_000, 120_000
+BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 2048, 8_000, 120_000
 AT_ONCE = 16_000
 #: Ratios under so many standard errors are left out, as they come by chance.
 CERTAIN = 3.0
@@ -133,11 +133,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) ->
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([sorted(x) for x in found], pa.list_(pa.int32()))], names=["label", "buckets"])
 
     taught = bounded_sample(rows, sample, "text").dropDuplicates(["text", "label"]).mapInArrow(chosen, "label int, buckets array<int>").toArrow()
-    indices = [[place[b] for b in x] for x in taught.column("buckets").to_pylist()]
-    order = sorted(range(len(indices)), key=lambda i: indices[i])
-    targets = np.array(taught.column("label").to_pylist(), float)[order]
-    indices = [indices[i] for i in order]
-    weights, intercept = fit_logistic(indices, [ratio[x] for x in indices], targets, len(bucket))
+    lists = taught.column("buckets").combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    at = np.zeros(BUCKETS, np.int32)
+    at[bucket] = np.arange(len(bucket))
+    col = at[lists.values.to_numpy()[offsets[0] : offsets[-1]]]
+    sizes, targets = np.diff(offsets), taught.column("label").to_numpy().astype(float)
+    sums = np.concatenate([[0], np.cumsum(col.astype(np.int64) ** 2)])[offsets - offsets[0]]
+    order = np.lexsort((targets, np.diff(sums), sizes))  # the same on every run, whatever task came first
+    col = np.concatenate([col[a : a + n] for a, n in zip((offsets[:-1] - offsets[0])[order], sizes[order])]) if len(order) else col
+    weights, intercept = fit_logistic(sizes[order], col, ratio[col], targets[order], len(bucket))
     return Model({int(b): float(w) for b, w in zip(bucket, weights * ratio)}, intercept)
 
 
