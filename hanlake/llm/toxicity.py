@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, RollingHash, mix, small_batches, text_slices
+from .common import U64, RollingHash, mix, small_batches, stage, text_slices
 from .linear import bounded_sample, fit_logistic
 
 BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 2048, 8_000, 120_000
@@ -113,6 +113,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) ->
     """labelled: text, label (0 or 1). Only counts of at most BUCKETS rows and the sample's features reach the driver."""
     small_batches(labelled.sparkSession)
     rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
+    rows = stage(rows, "labelled")  # three passes read it
     per_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(per_label.values())
     share = (per_label.get(1, 0) + 0.5) / (total + 1)
