@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,23 +17,41 @@ def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) < int(most / count * (1 << 30)))
 
 
-def fit_logistic(sizes: np.ndarray, col: np.ndarray, val: np.ndarray, targets: np.ndarray, width: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], scale: np.ndarray, targets: np.ndarray, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and intercept for soft targets in [0, 1]: full-batch Adam steps on the mean loss, with a falling rate.
 
-    sizes: how many of the columns and values, one row's after another's, each row has.
+    rows: the columns that each row has; a column's value is its scale. Rows are emptied as they are put together, some hundred at once.
     """
+    width = len(scale)
     if not len(targets):
         return np.zeros(width), 0.0
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    parts = []
+    for i in range(0, len(rows), 512):
+        some = rows[i : i + 512]
+        rows[i : i + 512] = [None] * len(some)
+        sizes = np.array([len(x) for x in some])
+        parts.append((np.concatenate(some), sizes, np.flatnonzero(sizes), targets[i : i + 512]))
+
+    def pushed(part: tuple) -> tuple[np.ndarray, float]:
+        col, sizes, some, target = part
+        z = np.full(len(sizes), w[-1])
+        if len(some):
+            z[some] += np.add.reduceat(scaled[col], (np.cumsum(sizes) - sizes)[some])
+        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / len(targets)
+        return np.bincount(col, np.repeat(g, sizes), width), g.sum()
+
     mean = float(np.clip(targets.mean(), 1e-3, 1 - 1e-3))
     w = np.append(np.zeros(width), np.log(mean / (1 - mean)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
-    for step in range(1, steps + 1):
-        z = np.bincount(row, val * w[col], len(sizes)) + w[-1]
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - targets) / len(targets)
-        gradient = np.append(np.bincount(col, val * g[row], width) + l2 * w[:-1], g.sum())
-        m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        w = w - rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    with ThreadPoolExecutor(4) as pool:
+        for step in range(1, steps + 1):
+            scaled, gradient = w[:-1] * scale, np.zeros(width + 1)
+            for columns, constant in pool.map(pushed, parts):
+                gradient[:-1] += columns
+                gradient[-1] += constant
+            gradient[:-1] = gradient[:-1] * scale + l2 * w[:-1]
+            m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
+            w = w - rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 

@@ -1,17 +1,18 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams of 3 to 5 characters inside the lower-cased words, with marks at the words' ends; a text
-has a feature or not. All labelled rows are counted: the log-count ratio of a feature compares how often distinct words
-of toxic and of other texts have it. The most certain ratios, at most ``FEATURES``, are kept, scale their features, and are weighted
-by logistic regression on a sample of at most about ``SAMPLE`` different labelled texts, chosen by hash.
+has a feature or not. All different labelled texts are counted: the log-count ratio of a feature compares how often distinct
+words of toxic and of other texts have it. The ratios of all counted features, shrunk where they are uncertain, scale them,
+and they are weighted by logistic regression on a sample of at most about ``SAMPLE`` different labelled texts, chosen by hash.
 
 Defined results: null and empty texts have the score of a text without features; rows with null labels or texts teach nothing;
-without labelled rows of both kinds all scores are the (smoothed) share of toxic ones. Repeated rows count as often as
-they come. All columns stay; ``score`` and ``predicted`` replace columns of these names.
+without labelled texts of both kinds all scores are the (smoothed) share of toxic ones. Labelled rows of the same text and
+label count once. All columns stay; ``score`` and ``predicted`` replace columns of these names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,9 +26,9 @@ from pyspark.sql import types as T
 from .common import U64, RollingHash, mix, small_batches, stage, text_slices
 from .linear import bounded_sample, fit_logistic
 
-BUCKETS, FEATURES, SAMPLE, WORDS = 1 << 18, 2048, 8_000, 120_000
+BUCKETS, SAMPLE, WORDS = 1 << 18, 20_000, 120_000
 AT_ONCE = 16_000
-#: Ratios under so many standard errors are left out, as they come by chance.
+#: Ratios are shrunk the more the less certain they are, by half at so many standard errors; none is left out.
 CERTAIN = 3.0
 SIZES = (3, 4, 5)
 
@@ -49,40 +50,48 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """weights: by chosen bucket, its weight times its ratio."""
+    """weights: of each bucket, its weight times its ratio."""
 
-    weights: dict[int, float] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
     intercept: float = 0.0
 
 
-class _Chosen:
-    """Words with chosen buckets -> those, in a table that starts anew when it knows WORDS words."""
+class _Table:
+    """Words -> their buckets, in a table that starts anew when it knows WORDS words."""
 
-    def __init__(self, chosen):
-        self.is_chosen = np.zeros(BUCKETS, bool)
-        self.is_chosen[list(chosen)] = True
-        self.known: set[str] = set()
-        self.table: dict[str, set[int]] = {}
+    def __init__(self):
+        self.known: dict[str, np.ndarray] = {}
+        self.last = np.zeros(BUCKETS, np.int32)
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > WORDS:
-            self.known, self.table = set(), {}
-        new = list(words - self.known)
+            self.known = {}
+        new = list(words - self.known.keys())
         for i in range(0, len(new), AT_ONCE):
-            place, bucket = gram_buckets(new[i : i + AT_ONCE])
-            hit = self.is_chosen[bucket]
-            for p, b in zip(place[hit].tolist(), bucket[hit].tolist()):
-                self.table.setdefault(new[i + p], set()).add(b)
-        self.known.update(new)
-
-
-def _active(batches: Iterator[pa.RecordBatch], table: _Chosen) -> Iterator[tuple[pa.RecordBatch, list[set[int]]]]:
-    """Batches, and the chosen buckets of each text."""
+            some = new[i : i + AT_ONCE]
+            place, bucket = gram_buckets(some)
+            flat = bucket[np.argsort(place, kind="stable")].astype(np.int32)
+            ends = np.cumsum(np.bincount(place, minlength=len(some))).tolist()
+            self.known.update((w, flat[a:b]) for w, a, b in zip(some, [0, *ends], ends))
+
+    def active(self, words: dict[str, None]) -> np.ndarray:
+        """The different buckets of some known words."""
+        if not words:
+            return np.zeros(0, np.int32)
+        found = np.concatenate([self.known[w] for w in words])
+        at = np.arange(len(found), dtype=np.int32)
+        self.last[found] = at
+        return found[self.last[found] == at]
+
+
+def _active(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[np.ndarray]]]:
+    """Batches, and the buckets of each text."""
+    table = _Table()
     for batch in text_slices(batches, "text", 1 << 20):
-        texts = [set((x or "").lower().split()) for x in batch.column("text").to_pylist()]
+        # dicts keep the order of words, so sums over them are the same on every run
+        texts = [dict.fromkeys((x or "").lower().split()) for x in batch.column("text").to_pylist()]
         table.learn(set().union(*texts))
-        known = table.table
-        yield batch, [set().union(*(known[w] for w in words & known.keys())) for words in texts]
+        yield batch, map(table.active, texts)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,42 +118,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[k][at].astype(np.int64)) for k in (0, 1))], names=["bucket", "others", "toxic"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels, digests and buckets of texts."""
+    for batch, found in _active(batches):
+        digests = [hashlib.md5(x.as_py().encode()).digest() for x in batch.column("text")]
+        arrays = [batch.column("label"), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["label", "digest", "buckets"])
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled: text, label (0 or 1). Only counts of at most BUCKETS rows and the sample's features reach the driver."""
-    small_batches(labelled.sparkSession)
     rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
+    return _fit_distinct(rows.dropDuplicates(["text", "label"]), sample)
+
+
+def _fit_distinct(rows: DataFrame, sample: int) -> Model:
+    """rows: different pairs of text and label."""
+    small_batches(rows.sparkSession)
     rows = stage(rows, "labelled")  # three passes read it
     per_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(per_label.values())
     share = (per_label.get(1, 0) + 0.5) / (total + 1)
     if len(per_label) < 2:
-        return Model({}, float(np.log(share / (1 - share))))
+        return Model(intercept=float(np.log(share / (1 - share))))
     counts = rows.mapInArrow(_count, "bucket long, others long, toxic long").groupBy("bucket").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic")).toArrow()
     bucket = counts.column("bucket").to_numpy()
     q, p = counts.column("others").to_numpy() + 1.0, counts.column("toxic").to_numpy() + 1.0
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    certain = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
-    best = np.lexsort((bucket, -certain))[:features]
-    best = best[certain[best] >= CERTAIN]
-    bucket, ratio = bucket[best], ratio[best]
-    place = {int(b): i for i, b in enumerate(bucket)}
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _active(batches, _Chosen(place.keys())):
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([sorted(x) for x in found], pa.list_(pa.int32()))], names=["label", "buckets"])
-
-    taught = bounded_sample(rows, sample, "text").dropDuplicates(["text", "label"]).mapInArrow(chosen, "label int, buckets array<int>").toArrow()
-    lists = taught.column("buckets").combine_chunks()
-    offsets = lists.offsets.to_numpy()
-    at = np.zeros(BUCKETS, np.int32)
-    at[bucket] = np.arange(len(bucket))
-    col = at[lists.values.to_numpy()[offsets[0] : offsets[-1]]]
-    sizes, targets = np.diff(offsets), taught.column("label").to_numpy().astype(float)
-    sums = np.concatenate([[0], np.cumsum(col.astype(np.int64) ** 2)])[offsets - offsets[0]]
-    order = np.lexsort((targets, np.diff(sums), sizes))  # the same on every run, whatever task came first
-    col = np.concatenate([col[a : a + n] for a, n in zip((offsets[:-1] - offsets[0])[order], sizes[order])]) if len(order) else col
-    weights, intercept = fit_logistic(sizes[order], col, ratio[col], targets[order], len(bucket))
-    return Model({int(b): float(w) for b, w in zip(bucket, weights * ratio)}, intercept)
+    ratio = np.zeros(BUCKETS)
+    ratio[bucket] = np.log(p / p.sum()) - np.log(q / q.sum())
+    certain = (ratio[bucket] ** 2 / (1 / p + 1 / q)) ** 2
+    ratio[bucket] *= certain / (certain + CERTAIN**4)
+    # a part at a time, so that the driver's JVM never holds the whole sample
+    taught = stage(bounded_sample(rows, sample, "text").mapInArrow(_sampled, "label int, digest binary, buckets binary"), "sample")
+    texts = [(bytes(r["digest"]), r["label"], np.frombuffer(r["buckets"], np.int32)) for r in taught.toLocalIterator()]
+    texts.sort(key=lambda x: x[:2])  # the same on every run, whatever task came first
+    found, targets = [x for _, _, x in texts], np.array([y for _, y, _ in texts], float)
+    del texts  # fit_logistic empties the list of rows as it goes
+    weights, intercept = fit_logistic(found, ratio, targets)
+    return Model(weights * ratio, intercept)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -154,8 +165,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights
-        for batch, found in _active(batches, _Chosen(weights.keys())):
-            z = np.array([model.intercept + sum(weights[b] for b in sorted(x)) for x in found])
+        for batch, found in _active(batches):
+            z = np.array([model.intercept + weights[x].sum() for x in found])
             scores = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in kept] + [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
@@ -170,10 +181,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose key the task has not met yet: copies of one text don't meet in one task."""
+    met: set[str] = set()
+    for batch in batches:
+        keep = []
+        for key in batch.column("key").to_pylist():
+            keep.append(key not in met)
+            met.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the labelled documents that are not held out."""
-    taught = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"))
-    return fit(docs.select("doc_id", "text").join(taught, "doc_id"))
+    """Learns from the labelled documents that are not held out. Texts are shuffled once, by their digest, without copies."""
+    small_batches(docs.sparkSession)
+    taught = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    texts = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("key"))
+    pairs = texts.select("doc_id", "key").join(taught.hint("merge"), "doc_id").select("key", "label").distinct()
+    different = texts.select("text", "key").mapInArrow(_first_of_each, "text string, key string")
+    rows = different.join(pairs.hint("merge"), "key")
+    return _fit_distinct(rows.dropDuplicates(["key", "label"]).select("text", "label"), SAMPLE)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

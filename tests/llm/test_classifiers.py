@@ -40,6 +40,18 @@ def test_toxicity_learns_and_holds_out(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in out)
 
 
+def test_toxicity_weighs_every_counted_bucket_and_different_texts(spark):
+    rng = random.Random(2)
+    bad = ["".join(rng.choice("bdgkpzjv") for _ in range(12)) for _ in range(150)]
+    rows = [(plain(rng, 40) + " " + " ".join(rng.sample(bad, 15)), 1) for _ in range(150)] + [(plain(rng, 40), 0) for _ in range(450)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    counted = {b for text, _ in rows for b in toxicity.gram_buckets(text.lower().split())[1].tolist()}
+    assert len(counted) > 3000 and (model.weights != 0).sum() >= 0.99 * len(counted)
+    again = toxicity.fit(spark.createDataFrame(rows + rows[:150] * 3, "text string, label int"))
+    assert abs(again.weights - model.weights).max() < 1e-9 and abs(again.intercept - model.intercept) < 1e-9
+    assert toxicity.SAMPLE == 20_000
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
