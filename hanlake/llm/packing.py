@@ -8,16 +8,18 @@ decreasing and bounds its number of bins from below by dual feasible functions;
 done. From partitions with a gap, full bins are done, and all other pieces are exchanged: dealt anew to fewer
 partitions, and packed again, for ``ROUNDS`` rounds at most. Only lengths move; ids stay where they were made.
 
-Defined results: null text is empty, so only the end id. Repeated rows are documents of their own. Other columns are
+Defined results: ids are those of the tokenizer's library with its default settings, so an added token in a text is
+one id. Null text is empty, so only the end id. Repeated rows are documents of their own. Other columns are
 ignored. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,10 @@ CAPACITY, PART, ROUNDS, WORDS = 2048, 20_000, 4, 250_000
 
 
 class _Words(dict):
-    """Word -> ids of the word behind ``before``, in two tables: a full one is kept for a while for words that come again."""
+    """Word -> ids of the word behind ``before``, in two tables: a full one is kept for a while for words that come again.
+
+    None for words with white space at an end: together with the space beside it, it may be one token.
+    """
 
     def __init__(self, encode, before: str):
         super().__init__()
@@ -41,19 +46,36 @@ class _Words(dict):
         if len(self) > WORDS:
             self.older = dict(self)
             self.clear()
-        found = self[word] = self.older.get(word) or array("I", self.encode(self.before + word)).tobytes()
+        if word[:1].isspace() or word[-1:].isspace():
+            found = None
+        else:
+            found = self.older.get(word) or array("I", self.encode(self.before + word)).tobytes()
+        self[word] = found
         return found
 
 
 class _FastEncoder:
-    """The ids of the tokenizer's library, by a compiled library of the same ranks for words that aren't known yet."""
+    """The ids of the tokenizer's library, by a compiled library of the same ranks for words that aren't known yet.
 
-    def __init__(self, path: str):
+    Texts with one of the tokenizer's added tokens go to its own library, unless ``encode_special_tokens`` (as the
+    library calls it) has these spelled out as ordinary text.
+    """
+
+    def __init__(self, path: str, encode_special_tokens: bool):
         import tiktoken
 
         v = bpe.vocabulary(path)
         self.encode_text = tiktoken.Encoding("own", pat_str=v.pieces.pattern, mergeable_ranks=v.ranks, special_tokens={}).encode_ordinary
         self.first, self.later = _Words(self.encode_text, ""), _Words(self.encode_text, " ")
+        with open(path, encoding="utf-8") as file:
+            self.added = [] if encode_special_tokens else [x["content"] for x in json.load(file).get("added_tokens", ())]
+        self.path = path
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def learn(self, texts) -> None:
         pass
@@ -65,18 +87,22 @@ class _FastEncoder:
             words.older = {}
 
     def encode(self, text: str) -> bytes:
-        if "  " in text:
-            return array("I", self.encode_text(text)).tobytes()
-        head, space, tail = text.partition(" ")
-        if not space:
-            return self.first[head]
-        later = self.later
-        return self.first[head] + b"".join([later[w] for w in tail.split(" ")])
+        if any(token in text for token in self.added):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if "  " not in text:
+            head, space, tail = text.partition(" ")
+            parts = [self.first[head]]
+            if space:
+                later = self.later
+                parts += [later[w] for w in tail.split(" ")]
+            if None not in parts:
+                return b"".join(parts)
+        return array("I", self.encode_text(text)).tobytes()
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> _FastEncoder:
-    return _FastEncoder(path)
+def _encoder(path: str, encode_special_tokens: bool = True) -> _FastEncoder:
+    return _FastEncoder(path, encode_special_tokens)
 
 
 # ---------------------------------------------------------------- bounds and packing of one partition
@@ -138,7 +164,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal
 def _cut(path: str, end_id: int, capacity: int, keep_ids: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        enc, serial = _encoder(path), bpe.task_number() << 40
+        enc, serial = _encoder(path, encode_special_tokens=False), bpe.task_number() << 40
         for batch, all_ids in bpe.encoded(batches, path, encoder_=enc, group_bytes=4 << 20):
             row, piece, start, length, crc, own = [], [], [], [], [], []
             for i, ids in enumerate(all_ids):

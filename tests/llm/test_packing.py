@@ -84,5 +84,24 @@ def test_pieces(spark, part, capacity):
     assert least <= len(placed) <= least * 1.02 + 2
 
 
+def test_ids_are_those_of_the_librarys_default_settings():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    t, enc = Tokenizer.from_file(PATH), packing._encoder(PATH, encode_special_tokens=False)
+    some = ["a \u00a0 \u00a0", "a \u00a0 \u00a0 b", "x\u00a0 \u00a0 y", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b  c", "\n \n b", "a \n \n", "a b\n", "\u3000 \u3000 a"]
+    some += ["".join(rng.choice(["a", "bc", " ", "\u00a0", "\n", "\t", "\u3000", "<|endoftext|>", " word"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for text in some:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packed_ids_of_added_tokens_and_white_space(spark):
+    from tokenizers import Tokenizer
+
+    t, rows = Tokenizer.from_file(PATH), [(1, "a \u00a0 \u00a0"), (2, "a <|endoftext|> b")]
+    out = packing.pack(documents(spark, rows), PATH, keep_ids=True).collect()
+    assert {r.doc_id: r.ids for r in out} == {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in rows}
+
+
 def test_empty_table(spark):
     assert packing.pack(documents(spark, []), PATH).collect() == []
