@@ -5,8 +5,9 @@ eight magnitude bits are b (b from 128 up, else b - 255), 64 a block, in zigzag
 with a restart after each block the DC predictor is 0, so the stream is a proper baseline scan of 72 bytes a block
 (before stuffing). The payload's length stands in a comment segment; blocks that fill the last row are zero bytes.
 
-The reader is general for baseline grey-scale files: it parses markers and tables, removes stuffing, and Huffman-decodes the
-scan. Restart intervals of all files of a batch are decoded side by side, one symbol of each at a time. The thumbnail is the DC
+The reader is general for baseline files, grey or of several components (interleaved with any sampling factors, or a scan each):
+it parses markers and tables, removes stuffing, and Huffman-decodes the scan that has the first component, whose coefficients
+(luminance in the usual colour files) it keeps. Restart intervals of all files of a batch are decoded side by side, one symbol of each at a time. The thumbnail is the DC
 coefficient of each block, dequantised, level-shifted and clamped; its hash compares cells of an 8 x 8 mean-pooled thumbnail with
 their mean.
 
@@ -84,6 +85,10 @@ class Image:
     width: int = 0
     height: int = 0
     quantiser: np.ndarray | None = None
+    factors: tuple[int, int, int, int] = (1, 1, 1, 1)  # of the first component, across and down, and the largest ones
+    slots: tuple[int, ...] = (0,)  # the place in tables of each block of a scan's unit
+    first: tuple[int, ...] = (0,)  # which blocks of a unit are the first component's
+    tables: tuple[tuple[bytes, bytes], ...] = ()  # DC and AC, of each component of the scan
     restart: int = 0
     dc: bytes = b""
     ac: bytes = b""
@@ -93,11 +98,22 @@ class Image:
 
     @property
     def across(self) -> int:
-        return -(-self.width // 8)
+        return -(-self.width * self.factors[0] // (8 * self.factors[2]))
+
+    @property
+    def down(self) -> int:
+        return -(-self.height * self.factors[1] // (8 * self.factors[3]))
 
     @property
     def blocks(self) -> int:
-        return self.across * -(-self.height // 8)
+        return self.across * self.down
+
+    @property
+    def units(self) -> tuple[int, int]:
+        """How many units the scan has, down and across; a scan of one component has single blocks as units."""
+        if len(self.tables) == 1:
+            return self.down, self.across
+        return -(-self.height // (8 * self.factors[3])), -(-self.width // (8 * self.factors[2]))
 
 
 class Damaged(ValueError):
@@ -105,13 +121,13 @@ class Damaged(ValueError):
 
 
 def parse(raw: bytes) -> Image:
-    """Markers and tables of a baseline grey-scale file; the scan's bytes are not decoded yet."""
+    """Markers and tables of a baseline file; the scan's bytes are not decoded yet."""
     if raw[:2] != b"\xff\xd8":
         raise Damaged("no start of image")
     image, at = Image(), 2
     quantisers: dict[int, np.ndarray] = {}
     tables: dict[int, bytes] = {}
-    used = 0
+    frame: list[tuple[int, int, int, int]] = []  # identifier, factors across and down, quantiser
     while True:
         if at + 4 > len(raw) or raw[at] != 0xFF:
             raise Damaged("no marker where one should be")
@@ -139,9 +155,11 @@ def parse(raw: bytes) -> Image:
                     body = body[17 + n :]
             elif marker == 0xC0:
                 depth, image.height, image.width, parts = struct.unpack_from(">BHHB", body)
-                if depth != 8 or parts != 1 or not image.height or not image.width:
-                    raise Damaged("not a grey-scale image of 8 bits")
-                used = body[8]
+                if depth != 8 or not 1 <= parts <= 4 or not image.height or not image.width:
+                    raise Damaged("not an image of 8 bits and one to four components")
+                frame = [(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * parts, 3)]
+                if any(not 1 <= h <= 4 or not 1 <= v <= 4 for _, h, v, _ in frame):
+                    raise Damaged("wrong sampling factors")
             elif 0xC1 <= marker <= 0xCF and marker != 0xCC and marker != 0xC8:
                 raise Damaged("not baseline")
             elif marker == 0xDD:
@@ -149,17 +167,39 @@ def parse(raw: bytes) -> Image:
             elif marker == 0xFE:
                 image.comment = body
             elif marker == 0xDA:
-                if body[0] != 1 or not image.width:
-                    raise Damaged("not a scan of one component")
-                image.dc, image.ac = tables[body[2] >> 4], tables[0x10 | body[2] & 15]
-                image.quantiser = quantisers[used]
+                own = [(body[i], body[i + 1]) for i in range(1, 1 + 2 * body[0], 2)]
+                if not frame or not own or not {c for c, _ in own} <= {c for c, *_ in frame}:
+                    raise Damaged("a scan of unknown components")
+                if frame[0][0] not in (c for c, _ in own):
+                    at = _scan_end(raw, at)
+                    continue
+                image.tables = tuple((tables[t >> 4], tables[0x10 | t & 15]) for _, t in own)
+                image.dc, image.ac = image.tables[0]
+                image.quantiser = quantisers[frame[0][3]]
+                image.factors = (*frame[0][1:3], max(h for _, h, _, _ in frame), max(v for _, _, v, _ in frame))
+                if len(own) > 1:
+                    sizes = {c: h * v for c, h, v, _ in frame}
+                    image.slots = tuple(i for i, (c, _) in enumerate(own) for _ in range(sizes[c]))
+                    image.first = tuple(i for i, slot in enumerate(image.slots) if own[slot][0] == frame[0][0])
                 break
         except (IndexError, KeyError, struct.error, ValueError) as error:
             raise Damaged(str(error)) from error
-    image.scan = np.frombuffer(raw, np.uint8)[at:]
+    if len(image.tables) < len(frame):  # other scans follow
+        image.scan = np.frombuffer(raw[at : _scan_end(raw, at)] + b"\xff\xd9", np.uint8)
+    else:
+        image.scan = np.frombuffer(raw, np.uint8)[at:]
     return image
 
 
+def _scan_end(raw: bytes, at: int) -> int:
+    """Where the first marker behind a scan is that is no restart."""
+    while (at := raw.find(b"\xff", at)) >= 0 and at + 1 < len(raw):
+        if raw[at + 1] and not 0xD0 <= raw[at + 1] <= 0xD7:
+            return at
+        at += 2
+    raise Damaged("a scan is cut")
+
+
 def _intervals(scan: np.ndarray) -> list[np.ndarray]:
     """Restart intervals without stuffing, up to the end of the image."""
     marks = np.flatnonzero(scan[:-1] == 0xFF)
@@ -197,9 +237,10 @@ def _lookup(table: bytes) -> np.ndarray:
     return out
 
 
-def _decode_lanes(dc: bytes, ac: bytes, lanes: list[np.ndarray], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (blocks of all lanes x 64, DC as differences summed up in each lane), and which lanes are whole."""
-    tables = np.concatenate([_lookup(dc), _lookup(ac)])
+def _decode_lanes(pairs: tuple[tuple[bytes, bytes], ...], slots: tuple[int, ...], lanes: list[np.ndarray], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (blocks of all lanes x 64, DC as differences summed up for each component of a lane), and which lanes are whole."""
+    tables = np.concatenate([_lookup(x) for pair in pairs for x in pair])
+    slot = np.array(slots)
     sizes = np.array([len(x) for x in lanes], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes + 8)])
     data = np.zeros(begin[-1], np.int64)
@@ -210,12 +251,14 @@ def _decode_lanes(dc: bytes, ac: bytes, lanes: list[np.ndarray], blocks: np.ndar
     lane = np.arange(len(lanes))
     bit, limit = begin[:-1] * 8, (begin[:-1] + sizes) * 8
     block, k = first[:-1].copy(), np.zeros(len(lanes), np.int64)
-    predictor = np.zeros(len(lanes), np.int64)
+    predictor = np.zeros((len(lanes), len(pairs)), np.int64)
     while len(lane):
+        of = slot[(block - first[lane]) % len(slot)] if len(slot) > 1 else 0
+        rows = np.arange(len(lane)) if len(slot) > 1 else slice(None)
         at = bit >> 3
         window = data[at] << 32 | data[at + 1] << 24 | data[at + 2] << 16 | data[at + 3] << 8 | data[at + 4]
         shift = bit & 7
-        found = tables[(window >> (24 - shift) & 0xFFFF) + np.where(k == 0, 0, 1 << 16)]
+        found = tables[(window >> (24 - shift) & 0xFFFF) + np.where(k == 0, 0, 1 << 16) + of * (1 << 17)]
         length, symbol = found >> 8, found & 0xFF
         size = symbol & 15
         run = np.where(k == 0, 0, symbol >> 4)
@@ -224,12 +267,13 @@ def _decode_lanes(dc: bytes, ac: bytes, lanes: list[np.ndarray], blocks: np.ndar
         bit = bit + length + size
         bad = (length == 0) | (bit > limit) | ((k == 0) & (symbol > 11)) | ((k > 0) & (size > 10))
         is_dc = k == 0
-        predictor = np.where(is_dc, predictor + value, predictor)
+        level = predictor[rows, of] + np.where(is_dc, value, 0)
+        predictor[rows, of] = level
         end = ~is_dc & (symbol == 0)
         place = k + run
         bad |= ~end & (place > 63)
         write = ~bad & ~end & ((size > 0) | is_dc)
-        out[block[write], place[write]] = np.where(is_dc, predictor, value)[write]
+        out[block[write], place[write]] = np.where(is_dc, level, value)[write]
         k = np.where(end, 64, place + 1)
         over = k >= 64
         block = block + over
@@ -244,24 +288,25 @@ def _decode_lanes(dc: bytes, ac: bytes, lanes: list[np.ndarray], blocks: np.ndar
 def read(files: list[bytes | None]) -> list[Image | None]:
     """Decoded images, null where a file is null or damaged. Files with equal tables are decoded together."""
     images: list[Image | None] = []
-    groups: dict[tuple[bytes, bytes], list] = defaultdict(list)
+    groups: dict[tuple, list] = defaultdict(list)
     for i, raw in enumerate(files):
         try:
             image = parse(raw or b"")
             parts = _intervals(image.scan)
-            each = image.restart or image.blocks
-            if len(parts) != -(-image.blocks // each):
+            units = image.units[0] * image.units[1]
+            each = image.restart or units
+            if len(parts) != -(-units // each):
                 raise Damaged("restart intervals are missing")
             counts = np.full(len(parts), each)
-            counts[-1] = image.blocks - each * (len(parts) - 1)
-            groups[image.dc, image.ac].append((i, parts, counts))
+            counts[-1] = units - each * (len(parts) - 1)
+            groups[image.tables, image.slots].append((i, parts, counts * len(image.slots)))
             images.append(image)
         except Damaged:
             images.append(None)
-    for (dc, ac), group in groups.items():
+    for (pairs, slots), group in groups.items():
         try:
             blocks = np.concatenate([c for _, _, c in group])
-            out, good = _decode_lanes(dc, ac, [p for _, parts, _ in group for p in parts], blocks)
+            out, good = _decode_lanes(pairs, slots, [p for _, parts, _ in group for p in parts], blocks)
         except Damaged:
             for i, _, _ in group:
                 images[i] = None
@@ -269,7 +314,7 @@ def read(files: list[bytes | None]) -> list[Image | None]:
         row = lane = 0
         for i, parts, counts in group:
             image = images[i]
-            image.coefficients = out[row : row + image.blocks]
+            image.coefficients = _first_component(image, out[row : row + int(counts.sum())])
             image.scan = np.zeros(0, np.uint8)
             if not good[lane : lane + len(parts)].all():
                 images[i] = None
@@ -278,6 +323,15 @@ def read(files: list[bytes | None]) -> list[Image | None]:
     return images
 
 
+def _first_component(image: Image, blocks: np.ndarray) -> np.ndarray:
+    """The first component's blocks row by row, without those that only fill units."""
+    if len(image.tables) == 1:
+        return blocks
+    (high, wide), (h, v) = image.units, image.factors[:2]
+    own = blocks.reshape(-1, len(image.slots), 64)[:, image.first].reshape(high, wide, v, h, 64)
+    return own.transpose(0, 2, 1, 3, 4).reshape(high * v, wide * h, 64)[: image.down, : image.across].reshape(-1, 64)
+
+
 def thumbnail(image: Image) -> np.ndarray:
     """One luminance sample a block, from its DC coefficient."""
     dc = image.coefficients[:, 0].astype(np.int64) * int(image.quantiser[0])

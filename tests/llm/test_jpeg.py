@@ -140,6 +140,63 @@ def test_usual_files(restart):
     assert cells.shape == (3, 4) and cells.ravel().tolist() == [min(255, max(0, (b[0] * 1 + 4) // 8 + 128)) for b in blocks]
 
 
+def colour_file(planes, factors, width, height, restart, together):
+    """planes: of each component its blocks by (row, column); DC and AC codes of one length, another for later components."""
+    def coded(block, last, long):
+        out = ""
+        for k, v in enumerate(block):
+            v -= last if not k else 0
+            n = abs(v).bit_length()
+            if k and not any(block[k:]):
+                return out + f"{0:0{long}b}"
+            assert v or not k
+            out += f"{n:0{long}b}" + (f"{v if v > 0 else v + (1 << n) - 1:0{n}b}" if n else "")
+        return out
+
+    def scan(units):
+        out, run, last, count = b"", "", {}, 0
+        def close(run):
+            run += "1" * (-len(run) % 8)
+            return bytes(int(run[j : j + 8], 2) for j in range(0, len(run), 8)).replace(b"\xff", b"\xff\0")
+        for i, unit in enumerate(units):
+            if restart and i and i % restart == 0:
+                out += close(run) + bytes([0xFF, 0xD0 + count % 8])
+                run, last, count = "", {}, count + 1
+            for c, block in unit:
+                run += coded(block, last.get(c, 0), 4 if c == 0 else 5)
+                last[c] = block[0]
+        return out + close(run)
+
+    seg, most = jpeg._segment, [max(f[i] for f in factors) for i in (0, 1)]
+    tables = b"".join(bytes([kind | place]) + bytes(11 if n == long else 0 for n in range(1, 17)) + bytes(range(11)) for place, long in ((0, 4), (1, 5)) for kind in (0, 16))
+    head = (b"\xff\xd8" + seg(0xDB, b"\0" + bytes([3] * 64) + b"\1" + bytes([9] * 64)) + seg(0xC0, struct.pack(">BHHB", 8, height, width, len(planes))
+            + b"".join(bytes([c + 1, h << 4 | v, min(c, 1)]) for c, (h, v) in enumerate(factors))) + seg(0xC4, tables) + (seg(0xDD, struct.pack(">H", restart)) if restart else b""))
+    own = [bytes([c + 1, min(c, 1) * 17]) for c in range(len(planes))]
+    if together:
+        units = [[(c, planes[c][y * v + b, x * h + a]) for c, (h, v) in enumerate(factors) for b in range(v) for a in range(h)]
+                 for y in range(-(-height // (8 * most[1]))) for x in range(-(-width // (8 * most[0])))]
+        return head + seg(0xDA, bytes([len(planes)]) + b"".join(own) + b"\0\x3f\0") + scan(units) + b"\xff\xd9"
+    for c in reversed(range(len(planes))):  # the first component comes last but one
+        h, v = factors[c]
+        units = [[(c, planes[c][y, x])] for y in range(-(-height * v // (8 * most[1]))) for x in range(-(-width * h // (8 * most[0])))]
+        head += seg(0xDA, b"\1" + own[c] + b"\0\x3f\0") + scan(units)
+    return head + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("factors", [[(2, 2), (1, 1), (1, 1)], [(1, 1)] * 3, [(2, 1), (1, 1), (1, 1)], [(1, 1), (2, 2), (1, 1)], [(1, 2), (1, 1), (1, 1), (1, 2)]])
+@pytest.mark.parametrize("restart, together", [(0, True), (1, True), (2, True), (0, False), (3, False)])
+def test_colour_files(factors, restart, together):
+    rng = random.Random(restart)
+    planes = [{(y, x): [rng.randrange(-100, 100), *(rng.choice([-7, 2, 90]) for _ in range(rng.randrange(64)))] for y in range(12) for x in range(12)} for _ in factors]
+    planes = [{at: b + [0] * (64 - len(b)) for at, b in plane.items()} for plane in planes]
+    width, height, most = 37, 50, [max(f[i] for f in factors) for i in (0, 1)]
+    image, damaged = jpeg.read([raw := colour_file(planes, factors, width, height, restart, together), raw[:-60]])
+    across, down = -(-width * factors[0][0] // (8 * most[0])), -(-height * factors[0][1] // (8 * most[1]))
+    assert (image.width, image.height) == (width, height) and damaged is None
+    assert image.coefficients.tolist() == [planes[0][y, x] for y in range(down) for x in range(across)]
+    assert jpeg.thumbnail(image).ravel().tolist() == [min(255, max(0, (planes[0][y, x][0] * 3 + 4) // 8 + 128)) for y in range(down) for x in range(across)]
+
+
 def test_digests(spark):
     rows = [*enumerate(texts()), (99, None), (None, "a"), (1, "a")]
     out = jpeg.media_digests(documents(spark, rows)).collect()
