@@ -23,14 +23,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id; rows repeated whole count as one."""
+    """Of each component of near copies the document with the smallest id, once; all rows of texts that are in none."""
     found = ngram_jaccard.ngram_jaccard_components(docs)
     key = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("first_id"), F.col("k_text").alias("first_hash"))
     first = found.where("component is not null").groupBy("component").agg(F.min(key).alias("key")).select("key.*")
     lone = found.where("component is null").select(key.alias("key")).select("key.*")
-    chosen = first.unionByName(lone)
+    chosen = first.withColumn("copy", F.lit(False)).unionByName(lone.distinct().withColumn("copy", F.lit(True)))
     rows = docs.withColumns({"first_id": F.coalesce("doc_id", F.lit(2**63 - 1)), "first_hash": F.xxhash64("text")})
-    return rows.join(chosen, ["first_id", "first_hash"], "left_semi").dropDuplicates(["first_id", "first_hash"]).select(docs.columns)
+    # rows of texts without a component get numbers of their own, so none of them counts as a copy of another
+    kept = rows.join(chosen, ["first_id", "first_hash"]).withColumn("copy", F.when(F.col("copy"), F.monotonically_increasing_id()).otherwise(-1))
+    return kept.dropDuplicates(["first_id", "first_hash", "copy"]).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

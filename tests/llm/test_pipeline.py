@@ -76,6 +76,13 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert out.count() > 100 and set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
 
 
+def test_texts_without_words_all_stay(spark):
+    rows = [(None, "", "en"), (None, "", "de"), (None, "", "de"), (7, " ", "en"), (7, " ", "fr"), (8, None, "en"), (8, None, "en"), (9, "some words that come here twice", "en"), (9, "some words that come here twice", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "src0", None) for i, t, lang in rows], COLUMNS)
+    left = [(r.doc_id, r.text, r.lang) for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted(rows[:-1], key=str)
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
