@@ -46,7 +46,7 @@ def votes(text: str, words: list[str]) -> int:
         return sum(ABSTAIN * 3**i for i in range(len(LABELLERS)))
     lower = text.lower()
     letters = len(text)
-    upper = sum(map(operator.ne, text, lower)) if len(lower) == letters else 0
+    upper = sum(map(operator.ne, text, lower)) if len(lower) == letters else sum(c != c.lower() for c in text)
     triples = list(zip(words, words[1:], words[2:]))
     ends = sum(map(text.count, (". ", ".\n", "? ", "! "))) + text.endswith((".", "!", "?"))
     found = (

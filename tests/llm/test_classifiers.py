@@ -59,6 +59,11 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity_scores(documents(spark, []), none).collect() == []
 
 
+def test_quality_counts_upper_case_where_lower_case_is_longer():
+    text = "\u0130STANBUL IS SHOUTED HERE"
+    assert quality.votes(text, text.split()) % 3 == quality.BAD == quality.votes(text.replace("\u0130", "I"), text.split()) % 3
+
+
 def test_quality(spark):
     rng = random.Random(3)
     rows, truth = [], {}
