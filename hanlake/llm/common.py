@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary folder is set for the session, in local mode only: on a cluster that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="hanlake-")
@@ -52,6 +58,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sized(rows: DataFrame, most: int) -> DataFrame:
+    """rows with a hint for joins: broadcast where they are at most ``most`` (counted), else merged by shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("merge")
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """of, with its memory given back at the task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from of(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def _libc():
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text and a key of the row's content: (k_id, k_text) is never null, so rows with null ids join too."""
     return docs.select(
@@ -86,6 +127,15 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def binaries(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a binary column without nulls, and where each begins (one more than rows)."""
+    array = array.cast(pa.binary()) if not pa.types.is_binary(array.type) else array
+    _, offsets, data = array.buffers()
+    offs = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
 def longs(array: pa.Array) -> np.ndarray:
     return array.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 

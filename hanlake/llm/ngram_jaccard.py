@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, RollingHash, keyed, longs, mix, partitions, small_batches, stage, text_bytes, text_slices, word_spans
+from .common import LOWER, U64, RollingHash, keyed, longs, mix, partitions, small_batches, stage, text_bytes, text_slices, trimmed, word_spans
 from .components import connected
 
 SHINGLE_WORDS = 5
@@ -80,7 +80,9 @@ def set_hashes(values: np.ndarray, indptr: np.ndarray) -> np.ndarray:
 ROUTED = "route int, kind int, node long, doc_id long, k_text long, n int, data binary"
 #: kinds of rows: a text and its set; shingles by partition; shingles known to be common, by set; which those are.
 TEXT, SHINGLES, COMMON, MARKS = 0, 1, 2, 3
-FLUSH_SHINGLES, LOCAL_COMMON, RANK_COMMON = 2_500_000, 64, 255
+FLUSH_SHINGLES, LOCAL_COMMON, RANK_COMMON = 500_000, 64, 255
+#: How many shingles are sorted at once where a partition's rows meet; the others wait in their packed form.
+AT_ONCE = 1_000_000
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 _NAMES = ["route", "kind", "node", "doc_id", "k_text", "n", "data"]
 
@@ -198,6 +200,41 @@ def _by_route(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, packed, []
 
 
+def _shared_slice(own: list[bytes], route: int, i: int, slices: int, marked: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    found = []
+    for data in own:
+        sets, sizes, shingles, _ = _unpack(data, route)
+        some = (shingles >> U64(8)) % U64(slices) == U64(i) if slices > 1 else slice(None)
+        found.append((sets[some], sizes[some], shingles[some]))
+    sets, sizes, shingles = (np.concatenate(x) for x in zip(*found))
+    del found
+    order = np.lexsort((sets, shingles))
+    sets, sizes, shingles = sets[order], sizes[order], shingles[order]
+    new = np.ones(len(sets), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
+    sets, sizes, shingles = sets[new], sizes[new], shingles[new]
+    distinct, back, counts = np.unique(shingles, return_inverse=True, return_counts=True)
+    rank = np.minimum(8 * np.log2(counts), RANK_COMMON - 1).astype(np.uint8)
+    if len(marked):
+        rank[np.isin(distinct, marked)] = RANK_COMMON
+    rank = rank[back]
+    keep = rank > 0
+    sets, sizes, shingles, rank = sets[keep], sizes[keep], shingles[keep], rank[keep]
+    to = (sets % U64(parts)).astype(np.int64)
+    order = np.lexsort((sets, to))
+    to, sets, sizes, shingles, rank = to[order], sets[order], sizes[order], shingles[order], rank[order]
+    used, first = np.unique(to, return_index=True)
+    ends = np.append(first[1:], len(to))
+    for i in range(0, len(used), 64):
+        out = []
+        for a, b in zip(first[i : i + 64], ends[i : i + 64]):
+            one, owner = np.unique(sets[a:b], return_inverse=True)
+            size = np.zeros(len(one), np.int64)
+            size[owner] = sizes[a:b]
+            out.append(int(route).to_bytes(2, "little") + _pack(one, size, owner, shingles[a:b], rank[a:b]))
+        yield _rows(used[i : i + 64], SHINGLES, out)
+
+
 def _shared(parts: int):
     """In a shingle's partition: how many sets have it. Those that two or more have go back to their sets, ranked by how many."""
 
@@ -205,38 +242,16 @@ def _shared(parts: int):
         for route, packed, texts in _by_route(batches):
             yield from texts
             yield from (_rows([i % parts], COMMON, [d]) for i, (kind, d) in enumerate(packed) if kind == COMMON)
-            found = [_unpack(d, route) for kind, d in packed if kind == SHINGLES]
-            if not found:
+            own = [d for kind, d in packed if kind == SHINGLES]
+            if not own:
                 continue
-            sets, sizes, shingles, _ = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((sets, shingles))
-            sets, sizes, shingles = sets[order], sizes[order], shingles[order]
-            new = np.ones(len(sets), bool)
-            new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
-            sets, sizes, shingles = sets[new], sizes[new], shingles[new]
-            distinct, back, counts = np.unique(shingles, return_inverse=True, return_counts=True)
-            rank = np.minimum(8 * np.log2(counts), RANK_COMMON - 1).astype(np.uint8)
             marks = [d for kind, d in packed if kind == MARKS]
-            if marks:
-                low = np.zeros((sum(map(len, marks)) // 6, 8), np.uint8)
-                low[:, :6] = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 6)
-                rank[np.isin(distinct, low.view("<u8").ravel() | U64(route) << U64(48))] = RANK_COMMON
-            rank = rank[back]
-            keep = rank > 0
-            sets, sizes, shingles, rank = sets[keep], sizes[keep], shingles[keep], rank[keep]
-            to = (sets % U64(parts)).astype(np.int64)
-            order = np.lexsort((sets, to))
-            to, sets, sizes, shingles, rank = to[order], sets[order], sizes[order], shingles[order], rank[order]
-            used, first = np.unique(to, return_index=True)
-            ends = np.append(first[1:], len(to))
-            for i in range(0, len(used), 64):
-                out = []
-                for a, b in zip(first[i : i + 64], ends[i : i + 64]):
-                    own, owner = np.unique(sets[a:b], return_inverse=True)
-                    size = np.zeros(len(own), np.int64)
-                    size[owner] = sizes[a:b]
-                    out.append(int(route).to_bytes(2, "little") + _pack(own, size, owner, shingles[a:b], rank[a:b]))
-                yield _rows(used[i : i + 64], SHINGLES, out)
+            low = np.zeros((sum(map(len, marks)) // 6, 8), np.uint8)
+            low[:, :6] = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, 6)
+            marked = low.view("<u8").ravel() | U64(route) << U64(48)
+            slices = 1 + sum(map(len, own)) // (6 * AT_ONCE)
+            for i in range(slices):
+                yield from _shared_slice(own, route, i, slices, marked, parts)
 
     return of
 
@@ -254,23 +269,34 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names[:5]), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names=names)
         if not packed:
             continue
-        found = [_unpack(d[2:], int.from_bytes(d[:2], "little"), True) if kind == SHINGLES else _unpack_common(d) for kind, d in packed]
-        sets, sizes, shingles, rank = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((shingles, rank, sets))
-        sets, sizes, shingles = sets[order], sizes[order], shingles[order]
-        new = np.ones(len(sets), bool)
-        new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
-        sets, sizes, shingles = sets[new], sizes[new], shingles[new]
-        own, first, counts = np.unique(sets, return_index=True, return_counts=True)
-        size = sizes[first].astype(np.int64)
-        keep = np.flatnonzero(4 * counts >= 3 * size)
-        quota = size // 4 + 1 - (size - counts)
-        raw = shingles.astype("<u8").tobytes()
-        for i in range(0, len(keep), 2_000):
-            k = keep[i : i + 2_000]
-            data = [raw[8 * first[j] : 8 * (first[j] + counts[j])] for j in k]
-            arrays = [np.full(len(k), MEMBER, np.int32), own[k].astype(np.int64), None, None, size[k], quota[k], data]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), t) if x is None else pa.array(x, t) for x, t in zip(arrays, kinds)], names=names)
+        slices = 1 + sum(len(d) for _, d in packed) // (7 * AT_ONCE)
+        for i in range(slices):
+            yield from _members_slice(packed, i, slices, kinds, names)
+
+
+def _members_slice(packed: list[tuple[int, bytes]], i: int, slices: int, kinds: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    found = []
+    for kind, d in packed:
+        columns = _unpack(d[2:], int.from_bytes(d[:2], "little"), True) if kind == SHINGLES else _unpack_common(d)
+        some = (columns[0] >> U64(32)) % U64(slices) == U64(i) if slices > 1 else slice(None)
+        found.append([x[some] for x in columns])
+    sets, sizes, shingles, rank = (np.concatenate(x) for x in zip(*found))
+    del found
+    order = np.lexsort((shingles, rank, sets))
+    sets, sizes, shingles = sets[order], sizes[order], shingles[order]
+    new = np.ones(len(sets), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
+    sets, sizes, shingles = sets[new], sizes[new], shingles[new]
+    own, first, counts = np.unique(sets, return_index=True, return_counts=True)
+    size = sizes[first].astype(np.int64)
+    keep = np.flatnonzero(4 * counts >= 3 * size)
+    quota = size // 4 + 1 - (size - counts)
+    raw = shingles.astype("<u8").tobytes()
+    for j in range(0, len(keep), 2_000):
+        k = keep[j : j + 2_000]
+        data = [raw[8 * first[x] : 8 * (first[x] + counts[x])] for x in k]
+        arrays = [np.full(len(k), MEMBER, np.int32), own[k].astype(np.int64), None, None, size[k], quota[k], data]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(k), t) if x is None else pa.array(x, t) for x, t in zip(arrays, kinds)], names=names)
 
 
 MEMBER = 1
@@ -466,13 +492,14 @@ def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGL
     small_batches(spark)
     parts = min(partitions(spark), 1 << 16)
     rows = keyed(docs).select("doc_id", "text", "k_text")
-    shared = _deal(rows.mapInArrow(_to_partitions(parts, local_common), ROUTED), parts).mapInArrow(_shared(parts), ROUTED)
-    found = _deal(shared.mapInArrow(_by_set(parts), ROUTED), parts).mapInArrow(_members, MEMBERS)
+    shared, by_set = _shared(parts), _by_set(parts)
+    dealt = _deal(rows.mapInArrow(trimmed(_to_partitions(parts, local_common)), ROUTED), parts)
+    found = _deal(dealt.mapInArrow(trimmed(lambda batches: by_set(shared(batches))), ROUTED), parts).mapInArrow(trimmed(_members), MEMBERS)
     found = stage(found, "members")
     texts = found.where(F.col("kind") == TEXT).select("doc_id", "node", "k_text", F.col("n").alias("n_shingles"))
     members = found.where(F.col("kind") == MEMBER).select("node", "n", "quota", "shingles")
 
-    edges = members.select("node", "quota", "shingles").mapInArrow(_to_regions, REGIONS).repartition(parts, "route").mapInArrow(_meet, "u long, v long")
+    edges = members.select("node", "quota", "shingles").mapInArrow(trimmed(_to_regions), REGIONS).repartition(parts, "route").mapInArrow(trimmed(_meet), "u long, v long")
     blocks = connected(edges).select("node", F.col("root").alias("block"))
     placed = members.select("node", "n", "shingles").join(blocks, "node")
     tiles = members.select("node", F.length("shingles").alias("bytes")).join(blocks, "node").groupBy("block").agg(F.ceil(F.sum("bytes") / (4 * block_shingles)).cast("long").alias("tiles"))
@@ -482,7 +509,7 @@ def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGL
     placed = placed.join(tiles, "block").select("*", own.alias("own"), other.alias("other")).select(
         "node", "n", "shingles", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
     )
-    joined = placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_join_blocks, "u long, v long")
+    joined = placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(trimmed(_join_blocks), "u long, v long")
     linked = connected(joined.where("u != v"))
 
     # the components' names: the smallest doc_id over all texts of all their sets
