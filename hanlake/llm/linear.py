@@ -1,58 +1,53 @@
-"""Logistic regression over sparse rows, in numpy, on a bounded sample."""
+"""Logistic regression over sparse rows, on a bounded sample."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+def bounded_sample(rows: DataFrame, most: int, *key: str, count: int | None = None) -> DataFrame:
     """About ``most`` rows (all if there are fewer), chosen by a hash of the key, alike on every run."""
-    count = rows.count()
+    count = rows.count() if count is None else count
     if count <= most:
         return rows
     return rows.where(F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) < int(most / count * (1 << 30)))
 
 
-def fit_logistic(rows: list[np.ndarray], scale: np.ndarray, targets: np.ndarray, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and intercept for soft targets in [0, 1]: full-batch Adam steps on the mean loss, with a falling rate.
-
-    rows: the columns that each row has; a column's value is its scale. Rows are emptied as they are put together, some hundred at once.
-    """
-    width = len(scale)
-    if not len(targets):
-        return np.zeros(width), 0.0
-    parts = []
-    for i in range(0, len(rows), 512):
-        some = rows[i : i + 512]
-        rows[i : i + 512] = [None] * len(some)
-        sizes = np.array([len(x) for x in some])
-        parts.append((np.concatenate(some), sizes, np.flatnonzero(sizes), targets[i : i + 512]))
-
-    def pushed(part: tuple) -> tuple[np.ndarray, float]:
-        col, sizes, some, target = part
-        z = np.full(len(sizes), w[-1])
-        if len(some):
-            z[some] += np.add.reduceat(scaled[col], (np.cumsum(sizes) - sizes)[some])
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / len(targets)
-        return np.bincount(col, np.repeat(g, sizes), width), g.sum()
-
-    mean = float(np.clip(targets.mean(), 1e-3, 1 - 1e-3))
-    w = np.append(np.zeros(width), np.log(mean / (1 - mean)))
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
-    with ThreadPoolExecutor(4) as pool:
-        for step in range(1, steps + 1):
-            scaled, gradient = w[:-1] * scale, np.zeros(width + 1)
-            for columns, constant in pool.map(pushed, parts):
-                gradient[:-1] += columns
-                gradient[-1] += constant
-            gradient[:-1] = gradient[:-1] * scale + l2 * w[:-1]
-            m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-            w = w - rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+def least_loss(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int = 60, memory: int = 6, enough: float = 3e-3) -> np.ndarray:
+    """Where a smooth convex loss is least: limited-memory BFGS steps, halved until the loss falls, until a step gains
+    less than ``enough`` of it. loss gives its value and slopes."""
+    w, (value, slopes) = start, loss(start)
+    past: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=memory)
+    for _ in range(steps):
+        way, pulls = slopes.copy(), []
+        for s, y, r in reversed(past):
+            pulls.append(r * float(s @ way))
+            way -= pulls[-1] * y
+        way *= 1 / (past[-1][2] * float(past[-1][1] @ past[-1][1])) if past else min(1.0, 1 / max(1e-12, float(np.abs(slopes).sum())))
+        for (s, y, r), pull in zip(past, reversed(pulls)):
+            way += (pull - r * float(y @ way)) * s
+        gain, length = float(slopes @ way), 1.0
+        for _ in range(20):
+            then = w - length * way
+            found, slopes_then = loss(then)
+            if found <= value - 1e-4 * length * gain:
+                break
+            length /= 2
+        else:
+            return w
+        s, y = then - w, slopes_then - slopes
+        if (curved := float(s @ y)) > 0:
+            past.append((s, y, 1 / curved))
+        done = value - found <= enough * max(abs(found), 1e-12)
+        w, value, slopes = then, found, slopes_then
+        if done:
+            return w
+    return w
 
 
 def fit_shrunk(indices: list, values: list, targets: np.ndarray, width: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:

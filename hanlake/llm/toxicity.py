@@ -1,9 +1,12 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams of 3 to 5 characters inside the lower-cased words, with marks at the words' ends; a text
-has a feature or not. All different labelled texts are counted: the log-count ratio of a feature compares how often distinct
-words of toxic and of other texts have it. The ratios of all counted features, shrunk where they are uncertain, scale them,
-and they are weighted by logistic regression on a sample of at most about ``SAMPLE`` different labelled texts, chosen by hash.
+has a feature or not. The classifier learns from all labelled rows up to ``LABELLED`` of them, beyond that from about as
+many, chosen by a hash of doc_id; their keys alone are broadcast, so no text moves to meet its label. All different texts
+among them are counted: the log-count ratio of a feature compares how often distinct words of toxic and of other texts
+have it. The ratios of all counted features, shrunk where they are uncertain, scale them, and they are weighted by
+logistic regression on about ``SAMPLE`` of these texts, chosen by hash. Each step of the fit is a job over the sample's
+features, which stay on the executors; the driver holds vectors as wide as the features.
 
 Defined results: null and empty texts have the score of a text without features; rows with null labels or texts teach nothing;
 without labelled texts of both kinds all scores are the (smoothed) share of toxic ones. Labelled rows of the same text and
@@ -12,7 +15,6 @@ label count once. All columns stay; ``score`` and ``predicted`` replace columns
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, RollingHash, mix, small_batches, stage, text_slices
-from .linear import bounded_sample, fit_logistic
+from .common import U64, RollingHash, binaries, mix, sized, small_batches, stage, text_slices, trimmed
+from .linear import bounded_sample, least_loss
 
-BUCKETS, SAMPLE, WORDS = 1 << 18, 20_000, 120_000
+BUCKETS, SAMPLE, LABELLED, WORDS = 1 << 18, 20_000, 200_000, 120_000
 AT_ONCE = 16_000
 #: Ratios are shrunk the more the less certain they are, by half at so many standard errors; none is left out.
 CERTAIN = 3.0
 SIZES = (3, 4, 5)
+#: Of the squared weights, in the loss.
+DECAY = 1e-3
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,43 +123,65 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labels, digests and buckets of texts."""
+    """Labels and buckets of texts."""
     for batch, found in _active(batches):
-        digests = [hashlib.md5(x.as_py().encode()).digest() for x in batch.column("text")]
-        arrays = [batch.column("label"), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["label", "digest", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "buckets"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: text, label (0 or 1). Only counts of at most BUCKETS rows and the sample's features reach the driver."""
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    return _fit_distinct(rows.dropDuplicates(["text", "label"]), sample)
+def _slopes(weights: np.ndarray, intercept: float):
+    """Of a task's texts: the summed logistic loss, its derivative by the intercept, and by the weight of each bucket."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, constant, slopes = 0.0, 0.0, np.zeros(len(weights))
+        for batch in batches:
+            raw, offsets = binaries(batch.column("buckets"))
+            column, sizes = raw.view("<i4"), np.diff(offsets) // 4
+            some = np.flatnonzero(sizes)
+            z = np.full(len(sizes), intercept)
+            if len(some):
+                z[some] += np.add.reduceat(weights[column], offsets[some] // 4)
+            label = batch.column("label").to_numpy()
+            loss += float((np.logaddexp(0, z) - label * z).sum())
+            g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - label
+            constant += float(g.sum())
+            slopes += np.bincount(column, np.repeat(g, sizes), len(weights))
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([constant]), pa.array([slopes.tobytes()], pa.binary())], names=["loss", "constant", "slopes"])
+
+    return of
 
 
-def _fit_distinct(rows: DataFrame, sample: int) -> Model:
-    """rows: different pairs of text and label."""
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
+    """labelled: text, label (0 or 1). Only counts of at most BUCKETS rows and vectors as long reach the driver."""
+    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
     small_batches(rows.sparkSession)
-    rows = stage(rows, "labelled")  # three passes read it
+    rows = stage(rows.withColumns({"key": F.md5(F.col("text").cast("binary")), "row": F.monotonically_increasing_id()}), "labelled")
+    once = stage(rows.groupBy("key", "label").agg(F.min("row").alias("row")), "different").select("row")
+    rows = rows.join(sized(once, 2 * LABELLED), "row", "left_semi").select("text", "label", "key")
     per_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(per_label.values())
     share = (per_label.get(1, 0) + 0.5) / (total + 1)
     if len(per_label) < 2:
         return Model(intercept=float(np.log(share / (1 - share))))
-    counts = rows.mapInArrow(_count, "bucket long, others long, toxic long").groupBy("bucket").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic")).toArrow()
+    counts = rows.mapInArrow(trimmed(_count), "bucket long, others long, toxic long").groupBy("bucket").agg(F.sum("others").alias("others"), F.sum("toxic").alias("toxic")).toArrow()
     bucket = counts.column("bucket").to_numpy()
     q, p = counts.column("others").to_numpy() + 1.0, counts.column("toxic").to_numpy() + 1.0
     ratio = np.zeros(BUCKETS)
     ratio[bucket] = np.log(p / p.sum()) - np.log(q / q.sum())
     certain = (ratio[bucket] ** 2 / (1 / p + 1 / q)) ** 2
     ratio[bucket] *= certain / (certain + CERTAIN**4)
-    # a part at a time, so that the driver's JVM never holds the whole sample
-    taught = stage(bounded_sample(rows, sample, "text").mapInArrow(_sampled, "label int, digest binary, buckets binary"), "sample")
-    texts = [(bytes(r["digest"]), r["label"], np.frombuffer(r["buckets"], np.int32)) for r in taught.toLocalIterator()]
-    texts.sort(key=lambda x: x[:2])  # the same on every run, whatever task came first
-    found, targets = [x for _, _, x in texts], np.array([y for _, y, _ in texts], float)
-    del texts  # fit_logistic empties the list of rows as it goes
-    weights, intercept = fit_logistic(found, ratio, targets)
-    return Model(weights * ratio, intercept)
+    taught = stage(bounded_sample(rows, sample, "key", count=total).mapInArrow(trimmed(_sampled), "label int, buckets binary"), "sample")
+    taught = taught.coalesce(min(6, rows.sparkSession.sparkContext.defaultParallelism))
+    count = taught.count()
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The mean loss and its slopes; w: a weight for each scaled bucket, and the intercept."""
+        parts = taught.mapInArrow(_slopes(w[:-1] * ratio, float(w[-1])), "loss double, constant double, slopes binary").toArrow()
+        slopes = np.append(sum(np.frombuffer(x.as_buffer()) for x in parts.column("slopes")) * ratio, sum(parts.column("constant").to_pylist())) / max(1, count)
+        slopes[:-1] += DECAY * w[:-1]
+        return sum(parts.column("loss").to_pylist()) / max(1, count) + DECAY / 2 * float(w[:-1] @ w[:-1]), slopes
+
+    w = least_loss(loss, np.append(np.zeros(BUCKETS), np.log(share / (1 - share))))
+    return Model(w[:-1] * ratio, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -174,33 +200,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select([f.name for f in kept]).mapInArrow(of, schema)
+    return docs.select([f.name for f in kept]).mapInArrow(trimmed(of), schema)
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key the task has not met yet: copies of one text don't meet in one task."""
-    met: set[str] = set()
-    for batch in batches:
-        keep = []
-        for key in batch.column("key").to_pylist():
-            keep.append(key not in met)
-            met.add(key)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def labelled_texts(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
+    """(text, label) of labelled documents that are not held out, of at most about ``most`` ids, chosen by hash.
+
+    The ids with labels are broadcast, which is why they are bounded; no text is shuffled. A null id has no label.
+    """
+    marks = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    marks = stage(marks.groupBy("doc_id").agg(F.sort_array(F.collect_set("label")).alias("label")), "marks")
+    marks = bounded_sample(marks, most, "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    return rows.select("text", F.explode("label").alias("label"))
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the labelled documents that are not held out. Texts are shuffled once, by their digest, without copies."""
-    small_batches(docs.sparkSession)
-    taught = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    texts = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("key"))
-    pairs = texts.select("doc_id", "key").join(taught.hint("merge"), "doc_id").select("key", "label").distinct()
-    different = texts.select("text", "key").mapInArrow(_first_of_each, "text string, key string")
-    rows = different.join(pairs.hint("merge"), "key")
-    return _fit_distinct(rows.dropDuplicates(["key", "label"]).select("text", "label"), SAMPLE)
+    """Learns from the labelled documents that are not held out."""
+    return fit(labelled_texts(docs, labels))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
