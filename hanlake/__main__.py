@@ -69,7 +69,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> DataFrame | list[str]:
         entries = catalog[args.dictionary]
         found = dic.Dictionary(entries, [c for c in entries.columns if c.startswith("Headword")], headword_search=dic.Wildcard(True), reading_search=dic.Wildcard(True))
         return found.get_for(args.query).limit(args.limit)
-    look = CharacterLookup(catalog, args.locale, args.domain)
+    look = CharacterLookup(catalog, args.locale, args.domain, ordered=True)
     if args.command == "radical":
         return reports.characters_by_residual(look, spark.range(1).select(F.lit(args.index).alias("RadicalIndex")), False)
     if args.command == "components":

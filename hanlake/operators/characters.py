@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from ..functions import ids, text
 from ..plans.catalog import CHARACTER as CH
 from ..plans.catalog import Catalog, unicode_domain
-from ..plans.derive import closure, first_per_group
+from ..plans.derive import closure, first_per_group, stroke_count_of
+from ..plans.rounds import fixpoint, written
+from .readings import convert
 
 LOCALES = "TCJKV"
 
@@ -49,13 +51,19 @@ def three_step(keys: DataFrame, on: str, value: str, *steps: DataFrame) -> DataF
 
 
 class CharacterLookup:
-    """Queries for one locale and character domain over a catalog's tables."""
+    """Queries for one locale and character domain over a catalog's tables.
 
-    def __init__(self, catalog: Catalog, locale: str = "T", domain: str = "Unicode"):
+    ordered: answers are sorted as each method says. A table needs no order and its sort is a shuffle, so it is off unless asked for.
+    """
+
+    def __init__(self, catalog: Catalog, locale: str = "T", domain: str = "Unicode", ordered: bool = False):
         if len(locale) != 1 or locale.upper() not in LOCALES:
             raise ValueError(f"no locale {locale!r}")
         catalog.domain(domain)
-        self.catalog, self.locale, self.domain = catalog, locale.upper(), domain
+        self.catalog, self.locale, self.domain, self.ordered = catalog, locale.upper(), domain, ordered
+
+    def _sorted(self, rows: DataFrame, *order) -> DataFrame:
+        return rows.orderBy(*order) if self.ordered else rows
 
     def _within(self, rows: DataFrame, column: str = CH) -> DataFrame:
         return self.catalog.within(rows, self.domain, column)
@@ -72,14 +80,26 @@ class CharacterLookup:
 
     # readings
 
-    def readings(self, keys: DataFrame, reading: str) -> DataFrame:
-        """ChineseCharacter, Reading as stored, sorted."""
-        return self.catalog[f"Character{reading}"].select(CH, "Reading").join(keys.select(CH).distinct(), CH, "left_semi").orderBy(CH, "Reading")
+    def readings(self, keys: DataFrame, reading: str, converter=None) -> DataFrame:
+        """ChineseCharacter, Reading as stored, sorted; with a converter from the stored form as it makes them, each once, and error.
 
-    def characters_for_reading(self, keys: DataFrame, reading: str) -> DataFrame:
-        """keys: Reading in the stored form. (Reading, ChineseCharacter) in the domain, sorted."""
-        found = self.catalog[f"Character{reading}"].select(CH, "Reading").join(keys.select("Reading").distinct(), "Reading", "left_semi")
-        return self._within(found).select("Reading", CH).orderBy("Reading", CH)
+        A character one of whose readings can't be converted has one row: no reading, and the error.
+        """
+        stored = self.catalog[f"Character{reading}"].select(CH, "Reading").join(keys.select(CH).distinct(), CH, "left_semi")
+        if converter is None:
+            return self._sorted(stored, CH, "Reading")
+        made = stored.select(CH, convert(F.col("Reading"), converter).alias("x"))
+        each = made.groupBy(CH).agg(F.collect_set("x.value").alias("values"), F.min("x.error").alias("error"))
+        shown = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("string"))).otherwise(F.col("values"))
+        return self._sorted(each.select(CH, F.explode(shown).alias("Reading"), "error"), CH, "Reading")
+
+    def characters_for_reading(self, keys: DataFrame, reading: str, converter=None) -> DataFrame:
+        """keys: Reading, in the stored form or in that which converter makes it of. (Reading as asked for, ChineseCharacter) in the
+        domain, sorted. What can't be converted has no characters."""
+        asked = keys.select("Reading").distinct()
+        wanted = asked.withColumn("_stored", F.col("Reading") if converter is None else convert(F.col("Reading"), converter)["value"])
+        found = self.catalog[f"Character{reading}"].select(CH, F.col("Reading").alias("_stored")).join(wanted.where("_stored is not null"), "_stored")
+        return self._sorted(self._within(found.select("Reading", CH).distinct()), "Reading", CH)
 
     # variants and glyphs
 
@@ -90,7 +110,7 @@ class CharacterLookup:
             if kind.upper() not in ("C", "M", "P", "S", "T", "Z"):
                 raise ValueError(f"no variant type {kind!r}")
             rows = rows.where(F.col("Type") == kind.upper())
-        return self._within(rows.join(keys.select(CH).distinct(), CH, "left_semi"), "Variant").select(CH, "Variant", "Type").orderBy(CH, "Variant", "Type")
+        return self._sorted(self._within(rows.join(keys.select(CH).distinct(), CH, "left_semi"), "Variant").select(CH, "Variant", "Type"), CH, "Variant", "Type")
 
     def simplified_or_traditional(self, keys: DataFrame, kind: str) -> DataFrame:
         """Variants of type S or T, with the character itself where it is a semantic variant of one of them; itself where there are none."""
@@ -103,7 +123,7 @@ class CharacterLookup:
         return typed.union(itself).union(none).distinct()
 
     def glyphs(self, keys: DataFrame) -> DataFrame:
-        return self.catalog["Glyphs"].select(CH, "Glyph").join(keys.select(CH).distinct(), CH, "left_semi").orderBy(CH, "Glyph")
+        return self._sorted(self.catalog["Glyphs"].select(CH, "Glyph").join(keys.select(CH).distinct(), CH, "left_semi"), CH, "Glyph")
 
     def default_glyphs(self, keys: DataFrame, locale: str | None = None) -> DataFrame:
         """The smallest glyph of the locale, else of all."""
@@ -115,10 +135,17 @@ class CharacterLookup:
 
     # strokes
 
-    def stroke_counts(self, keys: DataFrame | None = None) -> DataFrame:
-        """ChineseCharacter, Glyph, StrokeCount; a count of 0 is unknown."""
+    def stroke_counts(self, keys: DataFrame | None = None, from_orders: bool = False) -> DataFrame:
+        """ChineseCharacter, Glyph, StrokeCount; a count of 0 is unknown. from_orders: what the table doesn't know is the
+        length of the stroke order, as it is known or made from components."""
+        wanted = None if keys is None else self._with_glyph(keys).select(CH, "Glyph").distinct()
         rows = self._within(self.catalog["StrokeCount"].select(CH, "Glyph", "StrokeCount").where("StrokeCount <> 0"))
-        return rows if keys is None else rows.join(self._with_glyph(keys).select(CH, "Glyph").distinct(), [CH, "Glyph"], "left_semi")
+        rows = rows if wanted is None else rows.join(wanted, [CH, "Glyph"], "left_semi")
+        if from_orders:
+            orders = self._within(self.stroke_orders())
+            orders = orders if wanted is None else orders.join(wanted, [CH, "Glyph"], "left_semi")
+            rows = rows.unionByName(orders.join(rows, [CH, "Glyph"], "left_anti").select(CH, "Glyph", stroke_count_of("StrokeOrder").alias("StrokeCount")))
+        return rows
 
     def stroke_for_abbreviation(self, keys: DataFrame, column: str = "StrokeAbbrev") -> DataFrame:
         return keys.join(self.catalog["Strokes"].select("StrokeAbbrev", "Name", "Stroke"), column, "left")
@@ -147,7 +174,17 @@ class CharacterLookup:
             rows = rows.join(self._with_glyph(keys).select(CH, "Glyph").distinct(), [CH, "Glyph"], "left_semi")
         if kangxi_only:
             rows = rows.join(self.catalog["CharacterKangxiRadical"].select(CH, "RadicalIndex"), [CH, "RadicalIndex"], "left_semi")
-        return rows.orderBy(CH, "Glyph", "RadicalIndex", "ResidualStrokeCount", "RadicalGlyph", "RadicalForm", "MainCharacterLayout", "RadicalRelativePosition")
+        return self._sorted(rows, CH, "Glyph", "RadicalIndex", "ResidualStrokeCount", "RadicalGlyph", "RadicalForm", "MainCharacterLayout", "RadicalRelativePosition")
+
+    def radical_residual_maps(self, keys: DataFrame | None = None) -> DataFrame:
+        """ChineseCharacter, Glyph, radicals: radical index -> its forms with layout, position and residual strokes, in order."""
+        entry = F.struct("ResidualStrokeCount", "RadicalGlyph", "RadicalForm", "MainCharacterLayout", "RadicalRelativePosition")
+        each = self.radical_residuals(keys).groupBy(CH, "Glyph", "RadicalIndex").agg(F.array_sort(F.collect_set(entry)).alias("forms"))
+        return each.groupBy(CH, "Glyph").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("RadicalIndex", "forms")))).alias("radicals"))
+
+    def residual_maps(self, keys: DataFrame | None = None) -> DataFrame:
+        """ChineseCharacter, Glyph, residuals: radical index -> residual strokes."""
+        return self.residuals(keys).groupBy(CH, "Glyph").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("RadicalIndex", "ResidualStrokeCount")))).alias("residuals"))
 
     def residuals(self, keys: DataFrame | None = None, kangxi_only: bool = False) -> DataFrame:
         """ChineseCharacter, Glyph, RadicalIndex, ResidualStrokeCount in the domain; 0 is a count."""
@@ -172,7 +209,7 @@ class CharacterLookup:
         rows = self._radical_forms().where(F.col("Type") == kind).join(keys.select("RadicalIndex").distinct(), "RadicalIndex", "left_semi")
         if kind == "R":
             return first_per_group(rows.select("RadicalIndex", "SubIndex", "Form"), ["RadicalIndex"], ["SubIndex"]).select("RadicalIndex", "Form")
-        return rows.orderBy("RadicalIndex", "SubIndex").select("RadicalIndex", "Form")
+        return self._sorted(rows, "RadicalIndex", "SubIndex").select("RadicalIndex", "Form")
 
     def _equivalents(self) -> DataFrame:
         return self.catalog["RadicalEquivalentCharacter"].where(has_locale("Locale", self.locale))
@@ -190,7 +227,12 @@ class CharacterLookup:
         through = forms.join(self._equivalents().select("Form", "EquivalentForm"), "Form").select("RadicalIndex", F.col("EquivalentForm").alias("Form"))
         isolated = self.catalog["KangxiRadicalIsolatedCharacter"].where(has_locale("Locale", self.locale)).select("RadicalIndex", F.col("EquivalentForm").alias("Form"))
         every = forms.select("RadicalIndex", "Form").union(through).union(isolated).distinct()
-        return every.join(keys.select("RadicalIndex").distinct(), "RadicalIndex", "left_semi").orderBy("RadicalIndex", "Form")
+        return self._sorted(every.join(keys.select("RadicalIndex").distinct(), "RadicalIndex", "left_semi"), "RadicalIndex", "Form")
+
+    def is_radical_form(self, keys: DataFrame) -> DataFrame:
+        """keys: Form. The same forms with is_form (a form of a radical, or equivalent to one) and is_radical_char (by code point)."""
+        known = self.radical_indices(keys).select("Form", F.col("RadicalIndex").isNotNull().alias("is_form"))
+        return keys.join(known, "Form", "left").select(*keys.columns, F.coalesce("is_form", F.lit(False)).alias("is_form"), text.is_radical_form("Form").alias("is_radical_char"))
 
     def equivalent_of_form(self, keys: DataFrame) -> DataFrame:
         """Form, EquivalentForm: the first of the seed's rows."""
@@ -199,7 +241,7 @@ class CharacterLookup:
 
     def forms_of_equivalent(self, keys: DataFrame) -> DataFrame:
         """EquivalentForm, Form, in the seed's order."""
-        return self._equivalents().join(keys.select("EquivalentForm").distinct(), "EquivalentForm", "left_semi").orderBy("seed_row_id").select("EquivalentForm", "Form")
+        return self._sorted(self._equivalents().join(keys.select("EquivalentForm").distinct(), "EquivalentForm", "left_semi"), "seed_row_id").select("EquivalentForm", "Form")
 
     # components
 
@@ -211,20 +253,29 @@ class CharacterLookup:
         ordered = F.array_sort(F.collect_list(F.struct("SubIndex", ids.parse("Decomposition").alias("parts"))))
         return rows.groupBy(CH, "Glyph").agg(F.transform(ordered, lambda x: x["parts"]).alias("entries"))
 
-    def decomposition_rows(self, keys: DataFrame, depth: int = 16) -> DataFrame:
-        """The trees of all decompositions as rows: root, path (positions of ways and parts from the root), depth, part and part_glyph."""
+    def decomposition_rows(self, keys: DataFrame) -> DataFrame:
+        """The trees of all decompositions as rows: root, path (positions of ways and parts from the root), depth, part and part_glyph.
+
+        A character that comes again among its own parts is an error.
+        """
         table = self.catalog["CharacterDecomposition"]
         part = F.posexplode(ids.parse("Decomposition")).alias("pos", "c")
         step = table.select(F.col(CH).alias("_ch"), F.col("Glyph").alias("_g"), "SubIndex", part).select("_ch", "_g", "SubIndex", "pos", F.col("c.op").alias("op"), F.col("c.char").alias("part"), F.col("c.glyph").alias("part_glyph"))
+        named = F.concat_ws("/", "part", F.col("part_glyph").cast("string"))
         level = self._with_glyph(keys).select(CH, "Glyph", F.lit(None).cast("string").alias("op"), F.col(CH).alias("part"), F.col("Glyph").alias("part_glyph"), F.array().cast("array<int>").alias("path"))
+        level = written(level.withColumn("_above", F.array(named)))
         levels = [level]
-        for _ in range(depth):
-            down = level.select(CH, "Glyph", F.col("part").alias("_ch"), F.col("part_glyph").alias("_g"), "path").where("_ch is not null")
-            level = down.join(step, ["_ch", "_g"]).select(CH, "Glyph", "op", "part", "part_glyph", F.concat("path", F.array("SubIndex", "pos")).alias("path"))
-            levels.append(level)
+        while True:
+            down = level.select(CH, "Glyph", F.col("part").alias("_ch"), F.col("part_glyph").alias("_g"), "path", "_above").where("_ch is not null")
+            below = down.join(step, ["_ch", "_g"]).select(CH, "Glyph", "op", "part", "part_glyph", F.concat("path", F.array("SubIndex", "pos")).alias("path"), "_above")
+            again = F.col("part").isNotNull() & F.array_contains("_above", named)
+            level = written(below.withColumn("_circle", again).withColumn("_above", F.when(F.col("part").isNotNull(), F.concat("_above", F.array(named))).otherwise(F.col("_above"))))
             if level.isEmpty():
                 break
-        return reduce(DataFrame.unionAll, levels).withColumn("depth", F.size("path") / 2)
+            if circle := level.where("_circle").limit(1).collect():
+                raise ValueError(f"the decomposition of {circle[0][CH]!r} goes round in a circle")
+            levels.append(level.drop("_circle"))
+        return reduce(DataFrame.unionAll, levels).drop("_above").withColumn("depth", F.size("path") / 2)
 
     def is_component(self, keys: DataFrame) -> DataFrame:
         """keys: ChineseCharacter, Glyph, Component, ComponentGlyph. The same rows with is_component."""
@@ -254,12 +305,17 @@ class CharacterLookup:
             found = found.where(~text.is_radical_form(CH))
         found = self._within(found.distinct())
         counts = self.catalog["StrokeCount"].select(CH, "Glyph", "StrokeCount")
-        return found.join(counts, [CH, "Glyph"], "left").orderBy(F.col("StrokeCount").asc_nulls_first(), CH, "Glyph").select(CH, "Glyph")
+        return self._sorted(found.join(counts, [CH, "Glyph"], "left"), F.col("StrokeCount").asc_nulls_first(), CH, "Glyph").select(CH, "Glyph")
 
 
 # ---------------------------------------------------------------- stroke order synthesis
 
 
+#: What a whole frame is drawn as before and behind its inside; parts that are drawn last though they come first.
+FRAMES = {"⿴": {"S-HZ-H": ("S-HZ", "H")}, "⿷": {"H-SZ": ("H", "SZ"), "H-SW": ("H", "SW")}}
+DRAWN_LAST = ("辶", "廴", "乙")
+
+
 def _compose(parts: list, orders: dict) -> str | None:
     """The stroke order of one parsed sequence, given the orders of its components; null where there is none."""
 
@@ -274,14 +330,12 @@ def _compose(parts: list, orders: dict) -> str | None:
             if own is None:
                 return None, at
             found.append(own)
-        strokes = [x.replace(" ", "-").split("-") for x in found[0]]
         if op == "⿻":
             return None, at
-        if op == "⿴":
-            return (["S-HZ", *found[1], "H"] if strokes == [["S", "HZ", "H"]] else None), at
-        if op == "⿷":
-            return ([strokes[0][0], *found[1], strokes[0][1]] if strokes in ([["H", "SZ"]], [["H", "SW"]]) else None), at
-        turned = op == "⿶" or op == "⿺" and parts[first]["char"] in ("辶", "廴", "乙")
+        if op in FRAMES:
+            frame = FRAMES[op].get(found[0][0].replace(" ", "-")) if len(found[0]) == 1 else None
+            return (frame and [frame[0], *found[1], frame[1]]), at
+        turned = op == "⿶" or op == "⿺" and parts[first]["char"] in DRAWN_LAST
         return [x for own in (found[::-1] if turned else found) for x in own], at
 
     try:
@@ -291,44 +345,36 @@ def _compose(parts: list, orders: dict) -> str | None:
     return " ".join(order) if order and end == len(parts) else None
 
 
-def synthesise_stroke_orders(own: DataFrame, decomposition: DataFrame, counts: DataFrame | None = None, rounds: int = 40) -> DataFrame:
+def synthesise_stroke_orders(own: DataFrame, decomposition: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """ChineseCharacter, Glyph, StrokeOrder: own entries, and orders put together from components, level by level.
 
     A character takes its first decomposition all of whose components have an order. A surrounding operator draws the frame
     around what is inside; some draw the second part first; overlaid parts have no known order. With counts, a component that
     has no order gets one ? for each stroke, once all that can be known is.
     """
-    parsed = decomposition.select(CH, "Glyph", "SubIndex", ids.parse("Decomposition").alias("parts"))
+    parsed = written(decomposition.select(CH, "Glyph", "SubIndex", ids.parse("Decomposition").alias("parts")))
+    each = parsed.select(CH, "Glyph", "SubIndex", F.explode(F.array_distinct(F.filter("parts", lambda x: x["char"].isNotNull()))).alias("c"))
+    each = written(each.select(CH, "Glyph", "SubIndex", F.col("c.char").alias("part"), F.col("c.glyph").alias("part_glyph")))
     known = own.select(CH, "Glyph", "StrokeOrder").where("StrokeOrder <> ''")
-    part = T.StructType.fromDDL(f"{CH} string, Glyph int, SubIndex int, StrokeOrder string")
-
-    def compose(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[0]
-        orders = {(r.part, r.part_glyph): r.StrokeOrder for r in rows.itertuples() if isinstance(r.StrokeOrder, str)}
-        return pd.DataFrame([(first[CH], first.Glyph, first.SubIndex, _compose(list(first.parts), orders))], columns=part.names)
-
-    def grown(known: DataFrame) -> DataFrame:
-        todo = parsed.join(known, [CH, "Glyph"], "left_anti")
-        each = todo.select("*", F.explode(F.array_distinct(F.filter("parts", lambda x: x["char"].isNotNull()))).alias("c")).select(CH, "Glyph", "SubIndex", "parts", F.col("c.char").alias("part"), F.col("c.glyph").alias("part_glyph"))
-        have = each.join(known.select(F.col(CH).alias("part"), F.col("Glyph").alias("part_glyph"), "StrokeOrder"), ["part", "part_glyph"], "left")
-        made = have.groupBy(CH, "Glyph", "SubIndex").applyInPandas(compose, part).where("StrokeOrder is not null")
-        return first_per_group(made, [CH, "Glyph"], ["SubIndex"]).select(CH, "Glyph", "StrokeOrder")
 
-    def fixpoint(known: DataFrame) -> DataFrame:
-        before = known.count()
-        for _ in range(rounds):
-            known = known.unionByName(grown(known))
-            known = known.checkpoint() if known.sparkSession.conf.get("spark.checkpoint.dir", None) else known
-            now = known.count()
-            if now == before:
-                break
-            before = now
-        return known
+    @F.pandas_udf("string")
+    def composed(parts: pd.Series, orders: pd.Series) -> pd.Series:
+        return pd.Series([_compose(list(p), {(x["part"], x["part_glyph"]): x["StrokeOrder"] for x in o}) for p, o in zip(parts, orders)], dtype=object)
+
+    def grown(known: DataFrame, newest: DataFrame) -> DataFrame:
+        # decompositions that a new order touches, of characters that have none yet
+        touched = each.join(newest.select(F.col(CH).alias("part"), F.col("Glyph").alias("part_glyph")), ["part", "part_glyph"], "left_semi").select(CH, "Glyph", "SubIndex").distinct()
+        todo = each.join(touched, [CH, "Glyph", "SubIndex"], "left_semi").join(known, [CH, "Glyph"], "left_anti")
+        have = todo.join(known.select(F.col(CH).alias("part"), F.col("Glyph").alias("part_glyph"), "StrokeOrder"), ["part", "part_glyph"], "left")
+        orders = F.collect_list(F.struct("part", "part_glyph", "StrokeOrder")).alias("orders")
+        whole = have.groupBy(CH, "Glyph", "SubIndex").agg(orders, F.count(F.when(F.col("StrokeOrder").isNull(), 1)).alias("lacking")).where("lacking = 0")
+        made = whole.join(parsed, [CH, "Glyph", "SubIndex"]).select(CH, "Glyph", "SubIndex", composed("parts", "orders").alias("StrokeOrder")).where("StrokeOrder is not null")
+        return first_per_group(made, [CH, "Glyph"], ["SubIndex"]).select(CH, "Glyph", "StrokeOrder")
 
-    known = fixpoint(known)
+    known = fixpoint(known, grown, [CH, "Glyph"])
     if counts is not None:
         marks = counts.where("StrokeCount > 0").select(CH, "Glyph", F.array_join(F.array_repeat(F.lit("?"), F.col("StrokeCount")), "-").alias("StrokeOrder"))
-        everything = fixpoint(known.unionByName(marks.join(known, [CH, "Glyph"], "left_anti").join(decomposition, [CH, "Glyph"], "left_anti")))
+        everything = fixpoint(known.unionByName(marks.join(known, [CH, "Glyph"], "left_anti").join(decomposition, [CH, "Glyph"], "left_anti")), grown, [CH, "Glyph"])
         known = everything.join(marks.where(F.col("StrokeOrder").isNotNull()).join(known, [CH, "Glyph"], "left_anti"), [CH, "Glyph", "StrokeOrder"], "left_anti")
     return known
 
@@ -350,4 +396,18 @@ def missing_component_counts(decomposition: DataFrame, orders: DataFrame) -> Dat
     lookup = component_lookup(decomposition)
     leaf = lookup.join(decomposition.select(F.col(CH).alias("Component"), F.col("Glyph").alias("ComponentGlyph")), ["Component", "ComponentGlyph"], "left_anti")
     lacking = leaf.join(orders.select(F.col(CH).alias("Component"), F.col("Glyph").alias("ComponentGlyph")), ["Component", "ComponentGlyph"], "left_anti")
-    return lacking.groupBy("Component", "ComponentGlyph").agg(F.count_distinct(CH).alias("characters")).orderBy(F.desc("characters"), "Component")
+    return lacking.groupBy("Component", "ComponentGlyph").agg(F.count_distinct(CH).alias("characters"))
+
+
+def stroke_order_gaps(decomposition: DataFrame, orders: DataFrame) -> DataFrame:
+    """missing, characters: each set of basic components without a stroke order, and how many (character, glyph) wait for just these.
+
+    The largest sets of one component are those whose order would unlock most by itself.
+    """
+    from ..plans.derive import component_lookup
+
+    as_part = lambda rows: rows.select(F.col(CH).alias("Component"), F.col("Glyph").alias("ComponentGlyph")).distinct()
+    leaf = component_lookup(decomposition).join(as_part(decomposition), ["Component", "ComponentGlyph"], "left_anti")
+    lacking = leaf.join(as_part(orders), ["Component", "ComponentGlyph"], "left_anti").join(orders.select(CH, "Glyph").distinct(), [CH, "Glyph"], "left_anti")
+    sets = lacking.groupBy(CH, "Glyph").agg(F.array_sort(F.collect_set(F.struct("Component", "ComponentGlyph"))).alias("missing"))
+    return sets.groupBy("missing").agg(F.count("*").alias("characters"))

@@ -97,47 +97,95 @@ class SingleEntry:
         return F.array_contains(senses, query.lower() if self.case_insensitive else query)
 
 
+@dataclass(frozen=True)
+class WholeSense:
+    """One sense between slashes, with wildcards."""
+
+    signs: Wildcards = field(default_factory=Wildcards)
+    case_insensitive: bool = True
+
+    def __call__(self, c: str | Column, query: str) -> Column:
+        if not self.signs.has(query):
+            return SingleEntry(self.case_insensitive)(c, self.signs.plain(query))
+        pattern = f"{FLAGS[self.case_insensitive]}^{self.signs.pattern(query)}$"
+        return F.exists(senses(c), lambda x: x.rlike(pattern))
+
+
+def senses(translation: str | Column) -> Column:
+    """The senses of a translation: what stands between two slashes."""
+    parts = F.split(col(translation), "/")
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+
+
+#: Stands for a space beside a parenthesis while single wildcards, which never stand for one, are matched.
+_GAP = "\ue000"
+_ASIDES = rf"(?:[\s{_GAP}]|\([^)]*\))+"
+#: Fixed value: what introduces an example; its original and translation are set apart by two dashes.
+EXAMPLE = "; Bsp.: "
+
+
+def _outside(before: Column) -> Column:
+    """Whether what follows some text is outside of parentheses."""
+    return ~F.regexp_replace(before, r"\([^)]*\)", "").contains("(")
+
+
+def _opens_example(sense: Column, place: Column) -> Column:
+    """Whether the sign at a place (from 1) introduces an example."""
+    rest = F.substring(sense, place, F.length(sense))
+    dashes = F.locate("--", rest, len(EXAMPLE) + 2)
+    return rest.startswith(EXAMPLE) & (dashes > 0) & (dashes + 1 < F.length(rest))
+
+
 @dataclass(frozen=True)
 class Sense:
-    """A sense, found by a pattern around the query.
+    """A sense that is the query, without asides: parenthesised parts and space at its ends don't count.
 
-    aside: parentheses and space around the query don't count. ends: what may follow a sense. begins: a pattern that may
-    stand between the slash and the query. signs: wildcards, if they are to be read.
+    begins: signs inside a sense behind which the query may begin, outside of parentheses and not where an example is
+    introduced. ends: signs before which it may end. signs: wildcards, if they are to be read; single ones don't stand for a space beside
+    a parenthesis, and where the query begins or ends with any number of characters no aside is skipped there.
     """
 
-    aside: bool = True
     begins: str = ""
-    ends: str = "/"
+    ends: str = ""
     signs: Wildcards | None = None
     case_insensitive: bool = True
 
-    _ASIDE = r"(\s+|\([^\)]+\))*"
-
-    def pattern(self, query: str) -> str:
-        if self.signs is None:
-            body, open_left, open_right = java_quote(query), True, True
-        else:
-            one = r"(?:(?:(?<!\)) (?!\())|[^ ])" if self.aside else "."
-            body = self.signs.pattern(query, one)
-            open_left, open_right = not query.startswith(self.signs.multiple), not query.endswith(self.signs.multiple)
-        if self.aside:
-            body = (self._ASIDE if open_left else "") + body + (self._ASIDE if open_right else "")
-        return f"{FLAGS[self.case_insensitive]}/{self.begins}{body}[{self.ends}]"
+    def rest(self, sense: Column) -> Column:
+        """All that a sense has from each place on where the query may begin."""
+        if not self.begins:
+            return F.array(sense)
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(sense), F.lit(1))), lambda i: F.contains(F.lit(self.begins), F.substring(sense, i, 1)) & (i <= F.length(sense)) & _outside(F.substring(sense, 1, i - 1)) & ~_opens_example(sense, i))
+        return F.concat(F.array(sense), F.transform(places, lambda i: F.substring(sense, i + 1, F.length(sense))))
 
     def __call__(self, c: str | Column, query: str) -> Column:
-        return col(c).rlike(self.pattern(query))
+        wild = self.signs is not None and self.signs.has(query)
+        open_left = not (wild and query.startswith(self.signs.multiple))
+        open_right = not (wild and query.endswith(self.signs.multiple))
+        plain = query if self.signs is None else self.signs.plain(query)
+        gap = lambda text: re.sub(r"(?<=\)) | (?=\()", _GAP, text)
+        body = self.signs.pattern(gap(query), f"[^{_GAP}]") if wild else java_quote(gap(plain))
+        end = f"(?:$|[{java_quote(self.ends)}])" if self.ends else "$"
+        pattern = f"{FLAGS[self.case_insensitive]}^{body}{f'(?:{_ASIDES})?' if open_right else ''}{end}"
+
+        def fits(rest: Column) -> Column:
+            return rest.rlike(pattern) | (F.regexp_replace(rest, "^" + _ASIDES, "").rlike(pattern) if open_left else F.lit(False))
+
+        marked = lambda x: F.regexp_replace(x, r"(?<=\)) | (?=\()", _GAP)
+        found = F.exists(senses(c), lambda x: F.exists(self.rest(x), lambda rest: fits(marked(rest))))
+        if wild:
+            return found
+        near = F.lower(col(c)).contains(plain.lower()) if self.case_insensitive else col(c).contains(plain)
+        return near & found
 
 
 SIGNS = Wildcards()
-WildcardTranslation = Sense(aside=False, signs=SIGNS)
+WildcardTranslation = WholeSense()
 SimpleTranslation = Sense()
 SimpleWildcardTranslation = Sense(signs=SIGNS)
-CEDICTTranslation = Sense(ends="/,")
-CEDICTWildcardTranslation = Sense(ends="/,", signs=SIGNS)
-#: A sense may begin after punctuation, but not inside an example.
-_AFTER_SIGN = r"((\([^\)]+\)|[^\(])+(?!; Bsp\.: [^/]+?--[^/]+)[,;.?!])?"
-HanDeDictTranslation = Sense(begins=_AFTER_SIGN, ends="/,;.?!")
-HanDeDictWildcardTranslation = Sense(begins=_AFTER_SIGN, ends="/,;.?!", signs=SIGNS)
+CEDICTTranslation = Sense(ends=",")
+CEDICTWildcardTranslation = Sense(ends=",", signs=SIGNS)
+HanDeDictTranslation = Sense(begins=",;.?!", ends=",;.?!")
+HanDeDictWildcardTranslation = Sense(begins=",;.?!", ends=",;.?!", signs=SIGNS)
 
 
 @dataclass(frozen=True)
@@ -271,7 +319,7 @@ class MixedSearch:
 
 def exact_multiple(c: str | Column, text: str) -> Column:
     """Whether a headword is any part of a text."""
-    return col(c).isin(*{text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)})
+    return F.lit(text).contains(col(c)) & (F.length(col(c)) > 0)
 
 
 def headwords_within(texts: DataFrame, entries: DataFrame, text: str, headword: str = "Headword") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from .rounds import fixpoint, written
 
 CH = "ChineseCharacter"
 
@@ -120,25 +121,16 @@ def component_edges(decomposition: DataFrame) -> DataFrame:
     return decomposition.select(CH, "Glyph", part).select(CH, "Glyph", F.col("c.char").alias("Component"), F.col("c.glyph").alias("ComponentGlyph")).distinct()
 
 
-def closure(edges: DataFrame, source: Sequence[str], target: Sequence[str], rounds: int = 40) -> DataFrame:
-    """Transitive closure, by doubling of path lengths: each round joins what is known with itself until nothing is new.
+def closure(edges: DataFrame, source: Sequence[str], target: Sequence[str]) -> DataFrame:
+    """Transitive closure, by doubling of path lengths: each round joins the newest paths with all that are known, on both sides.
 
-    Cycles end by distinctness. Each round is written with checkpoint(), where a folder for it is set, to cut the lineage.
+    Cycles end by distinctness. Rounds are written to the shared folder; there are about as many as the longest path has doublings.
     """
-    known = edges.select(*source, *target).distinct()
-    count = known.count()
-    for _ in range(rounds):
-        step = known.select(*(F.col(t).alias(f"_{s}") for s, t in zip(source, source)), *(F.col(t).alias(f"_{t}") for t in target))
-        on = [F.col(t) == F.col(f"_{s}") for s, t in zip(source, target)]
-        more = known.join(step, on).select(*source, *(F.col(f"_{t}").alias(t) for t in target))
-        known = known.union(more).distinct()
-        if known.sparkSession.conf.get("spark.checkpoint.dir", None):
-            known = known.checkpoint()
-        now = known.count()
-        if now == count:
-            break
-        count = now
-    return known
+    def onto(a: DataFrame, b: DataFrame) -> DataFrame:
+        step = b.select(*(F.col(s).alias(f"_{s}") for s in source), *(F.col(t).alias(f"_{t}") for t in target))
+        return a.join(step, [F.col(t) == F.col(f"_{s}") for s, t in zip(source, target)]).select(*source, *(F.col(f"_{t}").alias(t) for t in target))
+
+    return fixpoint(edges.select(*source, *target).distinct(), lambda known, newest: onto(newest, known).union(onto(known, newest)), [*source, *target])
 
 
 def component_lookup(decomposition: DataFrame) -> DataFrame:
@@ -162,27 +154,29 @@ def priority_fallback(keys: DataFrame, on: Sequence[str], value: str, *sources:
     return out.select(*keys.columns, F.coalesce(*(F.col(f"_{i}") for i in range(len(sources)))).alias(value))
 
 
-def combined_stroke_counts(all_glyphs: DataFrame, decomposition: DataFrame, own: DataFrame, wide: DataFrame, rounds: int = 40) -> DataFrame:
+def combined_stroke_counts(all_glyphs: DataFrame, decomposition: DataFrame, own: DataFrame, wide: DataFrame, rounds: int = 64) -> DataFrame:
     """Own count; else the sum over a decomposition's components, on which all whole decompositions must agree; else the
-    character's own count as glyph 0; else its Unihan count. Sums go up level by level until nothing is new."""
+    character's own count as glyph 0; else its Unihan count. Sums go up level by level
+    until nothing changes; it is an error if that isn't so after ``rounds`` levels."""
     part = F.posexplode(ids.components("Decomposition")).alias("pos", "c")
     whole = F.size(ids.components("Decomposition")) == F.size(F.filter(ids.parse("Decomposition"), lambda x: x["char"].isNotNull()))
     parts = decomposition.where(whole).select(CH, "Glyph", "SubIndex", part).select(CH, "Glyph", "SubIndex", "pos", F.col("c.char").alias("part"), F.col("c.glyph").alias("part_glyph"))
     unihan = stroke_counts_from(wide).select(CH, F.lit(0).alias("Glyph"), "StrokeCount")
     counts = own.select(CH, "Glyph", "StrokeCount")
-    before = -1
+    seen = None
     for _ in range(rounds):
         base = counts.unionByName(unihan.join(counts, [CH, "Glyph"], "left_anti"))
         sums = parts.join(base.select(F.col(CH).alias("part"), F.col("Glyph").alias("part_glyph"), "StrokeCount"), ["part", "part_glyph"], "left")
         sums = sums.groupBy(CH, "Glyph", "SubIndex").agg(F.sum("StrokeCount").alias("n"), F.count(F.when(F.col("StrokeCount").isNull(), 1)).alias("unknown"))
         agreed = sums.where("unknown = 0").groupBy(CH, "Glyph").agg(F.min("n").cast("int").alias("StrokeCount"), F.count_distinct("n").alias("ways")).where("ways = 1").drop("ways")
         counts = own.select(CH, "Glyph", "StrokeCount").unionByName(agreed.join(own, [CH, "Glyph"], "left_anti"))
-        if counts.sparkSession.conf.get("spark.checkpoint.dir", None):
-            counts = counts.checkpoint()
-        now = counts.count()
-        if now == before:
+        counts = written(counts)
+        now = counts.agg(F.count("*"), F.sum(F.xxhash64(CH, "Glyph", "StrokeCount").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
-        before = now
+        seen = now
+    else:
+        raise ValueError(f"stroke counts still change after {rounds} rounds; decompositions may go round in circles")
     plain = counts.where("Glyph = 0").select(CH, F.col("StrokeCount").alias("zero"))
     out = all_glyphs.join(counts, [CH, "Glyph"], "left").join(plain, CH, "left").join(unihan.select(CH, F.col("StrokeCount").alias("unihan")), CH, "left")
     return out.select(CH, F.coalesce("StrokeCount", "zero", "unihan").alias("StrokeCount"), "Glyph").where("StrokeCount is not null")
@@ -209,13 +203,25 @@ def residual_stroke_counts(radical_rows: DataFrame, unihan_kangxi: DataFrame | N
     return out.unionByName(more.join(out, [CH, "RadicalIndex"], "left_anti"))
 
 
-WORD = r"\([^\)]+\)|(?:; Bsp\.: [^/]+?--[^/]+)|([^/,\(\)\[\]\!\?]+)"
-
-
 def word_index(entries: DataFrame, headword: str = "Headword", reading: str = "Reading", translation: str = "Translation") -> DataFrame:
-    """Headword, Reading, Word: the words between separators of translations, not in parentheses, in lower case, once each."""
-    words = F.transform(F.regexp_extract_all(translation, F.lit(WORD), 1), lambda w: F.trim(F.lower(w)))
-    return entries.select(F.col(headword).alias("Headword"), F.col(reading).alias("Reading"), F.explode(words).alias("Word")).where("Word <> ''").distinct()
+    """Headword, Reading, Word: the words between separators of translations, not in parentheses, in lower case, once each.
+
+    An example that follows a separator is left out with all that its sense has after it.
+    """
+    sense = F.explode(F.split(F.lower(translation), "/")).alias("sense")
+    pieces = F.split(F.regexp_replace("sense", r"\([^)]+\)", ","), r"[,()\[\]!?]")
+    each = entries.select(F.col(headword).alias("Headword"), F.col(reading).alias("Reading"), sense)
+    each = each.select("Headword", "Reading", "sense", F.posexplode(pieces).alias("place", "piece"), F.locate(EXAMPLE, "sense").alias("at"))
+    dashes = F.expr("locate('--', sense, at + length('" + EXAMPLE + "') + 1)")
+    each = each.withColumn("shown", F.col("piece").startswith(EXAMPLE) & (F.col("at") > 0) & (dashes > 0) & (dashes + 1 < F.length("sense")))
+    first = F.coalesce(F.min(F.when(F.col("shown"), F.col("place"))), F.lit(2**31 - 1))
+    words = each.groupBy("Headword", "Reading", "sense").agg(F.collect_set(F.struct("place", "piece")).alias("all"), first.alias("first"))
+    kept = F.explode(F.filter("all", lambda x: x["place"] < F.col("first"))).alias("x")
+    return words.select("Headword", "Reading", kept).select("Headword", "Reading", F.trim("x.piece").alias("Word")).where("Word <> ''").distinct()
+
+
+#: Fixed value: what introduces an example, in lower case.
+EXAMPLE = "; bsp.: "
 
 
 def augment_readings(readings: DataFrame, variant: DataFrame, kind: str = "T", new_only: bool = False, ambiguous_only: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from .rounds import fixpoint, written
 
 CH = "ChineseCharacter"
 
@@ -40,7 +41,7 @@ def _placed_parts(parts) -> list[dict]:
     return out if not waiting else []
 
 
-def radical_residuals(decomposition: DataFrame, forms: DataFrame, counts: DataFrame, rounds: int = 30) -> DataFrame:
+def radical_residuals(decomposition: DataFrame, forms: DataFrame, counts: DataFrame) -> DataFrame:
     """All radical forms (Form, RadicalIndex) in characters: form, glyph, layout, position, residual strokes.
 
     Parts of parts are joined level by level. Rows whose other parts' strokes aren't all known are left out; a character with
@@ -60,20 +61,16 @@ def radical_residuals(decomposition: DataFrame, forms: DataFrame, counts: DataFr
     columns = [CH, "Glyph", "RadicalIndex", "RadicalForm", "RadicalGlyph", "MainCharacterLayout", "RadicalRelativePosition", "ResidualStrokeCount"]
     found = own.select(CH, "Glyph", "RadicalIndex", F.col("part").alias("RadicalForm"), F.col("part_glyph").alias("RadicalGlyph"), F.col("layout").alias("MainCharacterLayout"), F.col("position").alias("RadicalRelativePosition"), F.col("others").alias("ResidualStrokeCount")).distinct()
     table = decomposition.sparkSession.createDataFrame(LAYOUTS, "layout string, position int, inner string, inner_position int, made string, made_position int")
-    newest, count = found, found.count()
-    for _ in range(rounds):
+    step, table = written(step), F.broadcast(table)
+
+    def inside(known: DataFrame, newest: DataFrame) -> DataFrame:
         inner = newest.select(F.col(CH).alias("part"), F.col("Glyph").alias("part_glyph"), "RadicalIndex", "RadicalForm", "RadicalGlyph", F.col("MainCharacterLayout").alias("inner"), F.col("RadicalRelativePosition").alias("inner_position"), "ResidualStrokeCount")
-        up = step.join(inner, ["part", "part_glyph"]).join(F.broadcast(table), ["layout", "position", "inner", "inner_position"], "left")
+        up = step.join(inner, ["part", "part_glyph"]).join(table, ["layout", "position", "inner", "inner_position"], "left")
         layout = F.when(F.col("layout").isNull() & (F.col("inner") != "⿻"), F.col("inner")).otherwise(F.coalesce("made", F.lit("⿻")))
         position = F.when(F.col("layout").isNull() & (F.col("inner") != "⿻"), F.col("inner_position")).otherwise(F.coalesce("made_position", F.lit(0)))
-        newest = up.select(CH, "Glyph", "RadicalIndex", "RadicalForm", "RadicalGlyph", layout.alias("MainCharacterLayout"), position.alias("RadicalRelativePosition"), (F.col("ResidualStrokeCount") + F.col("others")).alias("ResidualStrokeCount")).distinct().join(found, columns, "left_anti")
-        found = found.union(newest).distinct()
-        if found.sparkSession.conf.get("spark.checkpoint.dir", None):
-            newest, found = newest.checkpoint(), found.checkpoint()
-        now = found.count()
-        if now == count:
-            break
-        count = now
+        return up.select(CH, "Glyph", "RadicalIndex", "RadicalForm", "RadicalGlyph", layout.alias("MainCharacterLayout"), position.alias("RadicalRelativePosition"), (F.col("ResidualStrokeCount") + F.col("others")).alias("ResidualStrokeCount"))
+
+    found = fixpoint(found, inside, columns)
     unclear = found.groupBy(CH, "Glyph", "RadicalForm", "RadicalGlyph", "MainCharacterLayout", "RadicalRelativePosition").agg(F.count_distinct("ResidualStrokeCount").alias("ways")).where("ways > 1").select(CH, "Glyph").distinct()
     return found.join(unclear, [CH, "Glyph"], "left_anti").select(columns)
 

@@ -44,7 +44,7 @@ def test_catalog_and_domains(spark, catalog):
         CharacterLookup(catalog, "T", "BIG5")
     with pytest.raises(ValueError):
         CharacterLookup(catalog, "X")
-    found = CharacterLookup(catalog, "T", "GB2312").filter_domain(keys(spark, CH, "说", "説", "说"))
+    found = CharacterLookup(catalog, "T", "GB2312", ordered=True).filter_domain(keys(spark, CH, "说", "説", "说"))
     assert [r[0] for r in found.collect()] == ["说", "说"]
     with pytest.raises(ValueError):
         assert_unique(catalog["CharacterPinyin"], ["Reading"])
@@ -52,9 +52,9 @@ def test_catalog_and_domains(spark, catalog):
 
 
 def test_readings_and_variants(spark, catalog):
-    t = CharacterLookup(catalog, "T", "GB2312")
+    t = CharacterLookup(catalog, "T", "GB2312", ordered=True)
     assert [r[1] for r in t.characters_for_reading(keys(spark, "Reading", "er4"), "Pinyin").collect()] == ["二", "佴", "贰"]
-    t = CharacterLookup(catalog, "T")
+    t = CharacterLookup(catalog, "T", ordered=True)
     assert [r[1] for r in t.readings(keys(spark, CH, "中"), "Pinyin").collect()] == ["zhong1", "zhong4"]
     assert [r[1] for r in t.variants(keys(spark, CH, "台"), "t").collect()] == ["台", "檯", "臺", "颱"]
     assert [tuple(r)[1:] for r in t.variants(keys(spark, CH, "他")).collect()] == [("她", "M"), ("牠", "M")]
@@ -65,7 +65,7 @@ def test_readings_and_variants(spark, catalog):
 
 
 def test_strokes(spark, catalog):
-    t = CharacterLookup(catalog, "T")
+    t = CharacterLookup(catalog, "T", ordered=True)
     made = {r[CH]: r.StrokeOrder for r in t.stroke_orders().collect()}
     want = {"口": "S-HZ-H", "林": "H-S-P-N H-S-P-N", "森": "H-S-P-N H-S-P-N H-S-P-N", "回": "S-HZ S-HZ-H H", "匠": "H P-P-H-S SZ", "凶": "P-N SZ-S", "达": "H-P-N D-HZZP-N", "怪": "D D-S HP-N-H-S-H", "好": "PD-P-H HG-SG-H"}
     assert {k: made.get(k) for k in want} == want and "巫" not in made and "他" not in made
@@ -77,14 +77,14 @@ def test_strokes(spark, catalog):
 
 
 def test_radicals(spark, catalog):
-    t, c = CharacterLookup(catalog, "T"), CharacterLookup(catalog, "C", "GB2312")
+    t, c = CharacterLookup(catalog, "T", ordered=True), CharacterLookup(catalog, "C", "GB2312", ordered=True)
     assert [r.RadicalIndex for r in t.kangxi_radicals(keys(spark, CH, "他")).collect()] == [9]
     assert [tuple(r)[3:] for r in t.radical_residuals(keys(spark, CH, "他").selectExpr(CH, "0 Glyph"), True).collect()] == [("亻", 0, "⿰", 0, 3)]
     assert [r[1] for r in c.characters_for_radical(keys(spark, "RadicalIndex", 214), False).collect()] == ["瀹"]
     assert [r[1] for r in t.characters_for_radical(keys(spark, "RadicalIndex", 214)).collect()] == ["龠"]
     assert sorted((r[CH], r.ResidualStrokeCount) for r in t.residuals_for_radical(keys(spark, "RadicalIndex", 214), False).collect()) == [("瀹", 3), ("龠", 0)]
     assert [r.Form for r in t.representative_characters(keys(spark, "RadicalIndex", 149)).collect()] == ["⾔", "言", "訁"]
-    assert [r.Form for r in CharacterLookup(catalog, "C").representative_characters(keys(spark, "RadicalIndex", 149)).collect()] == ["⻈", "⾔", "言", "讠"]
+    assert [r.Form for r in CharacterLookup(catalog, "C", ordered=True).representative_characters(keys(spark, "RadicalIndex", 149)).collect()] == ["⻈", "⾔", "言", "讠"]
     assert [r.Form for r in t.radical_forms(keys(spark, "RadicalIndex", 149)).collect()] == ["⾔"]
     assert [r.Form for r in t.radical_forms(keys(spark, "RadicalIndex", 149), "V").collect()] == ["訁"]
     assert {r.Form: r.RadicalIndex for r in t.radical_indices(keys(spark, "Form", "⾔", "水", "氺", "木")).collect()} == {"⾔": 149, "水": 85, "氺": 85, "木": None}
@@ -93,8 +93,8 @@ def test_radicals(spark, catalog):
 
 
 def test_components(spark, catalog):
-    t = CharacterLookup(catalog, "T")
-    assert [tuple(r) for r in CharacterLookup(catalog, "C", "GB2312").characters_for_components([["⿕", "龠"], ["氵"]]).collect()] == [("瀹", 0)]
+    t = CharacterLookup(catalog, "T", ordered=True)
+    assert [tuple(r) for r in CharacterLookup(catalog, "C", "GB2312", ordered=True).characters_for_components([["⿕", "龠"], ["氵"]]).collect()] == [("瀹", 0)]
     assert [r[0] for r in t.characters_for_components([["木"]]).collect()] == ["林", "森", "木"]
     assert [r[0] for r in t.characters_for_components([["女"], ["子"]]).collect()] == ["好"]
     asked = spark.createDataFrame([("好", 0, "女", 0), ("他", 0, "女", 0), ("森", 0, "木", 0)], f"{CH} string, Glyph int, Component string, ComponentGlyph int")
@@ -105,3 +105,23 @@ def test_components(spark, catalog):
     assert sorted((tuple(r.path), r.op or r.part) for r in rows) == [((), "森"), ((0, 0), "⿱"), ((0, 1), "木"), ((0, 2), "林"), ((0, 2, 0, 0), "⿰"), ((0, 2, 0, 1), "木"), ((0, 2, 0, 2), "木")]
     assert {r.Component for r in basic_components(catalog["CharacterDecomposition"], keys(spark, CH, "森", "好")).collect()} == {"木", "女", "子"}
     assert [r.Glyph for r in t.default_glyphs(keys(spark, CH, "好", "口")).collect()] == [0, 0]
+
+
+def chain(spark, pairs):
+    return spark.createDataFrame([(c, s, 0, 0) for c, s in pairs], f"{CH} string, Decomposition string, Glyph int, SubIndex int")
+
+
+def test_deep_chains_and_circles(spark):
+    from hanlake.plans.derive import component_lookup
+    from hanlake.plans.catalog import Catalog
+
+    deep = [(chr(0x4E00 + i), "⿰" + chr(0x4E00 + i + 1) + "口") for i in range(40)]
+    rows = chain(spark, deep)
+    assert component_lookup(rows).count() == 40 * 41 // 2 + 40
+    look = CharacterLookup(Catalog({"CharacterDecomposition": rows}))
+    tree = look.decomposition_rows(spark.createDataFrame([(chr(0x4E00), 0)], f"{CH} string, Glyph int"))
+    assert tree.agg({"depth": "max"}).first()[0] == 40 and tree.count() == 1 + 3 * 40
+    circle = chain(spark, [("甲", "⿰乙口"), ("乙", "⿰甲口")])
+    assert component_lookup(circle).count() == 2 * 3
+    with pytest.raises(ValueError):
+        CharacterLookup(Catalog({"CharacterDecomposition": circle})).decomposition_rows(spark.createDataFrame([("甲", 0)], f"{CH} string, Glyph int"))

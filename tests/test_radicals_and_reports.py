@@ -41,7 +41,7 @@ def test_reports(spark):
         "CharacterResidualStrokeCount": t([("中", 0, 2, 3), ("国", 0, 31, 5), ("回", 0, 31, 3)], f"{CH} string, Glyph int, RadicalIndex int, ResidualStrokeCount int"),
         "GB2312Set": t([("中",)], f"{CH} string"),
     })
-    look = CharacterLookup(c)
+    look = CharacterLookup(c, ordered=True)
     info = {r[CH]: r for r in reports.character_information(look, t([("中",), ("国",)], f"{CH} string")).collect()}
     assert (info["中"].codepoint, info["中"].radical, info["中"].strokes, info["中"].Pinyin, info["中"].in_GB2312) == ("U+4E2D", 2, 4, "[zhong1 zhong4]", True)
     assert (info["国"].variants, info["国"].strokes, info["国"].in_GB2312) == ("T:國", None, False)
