@@ -78,6 +78,13 @@ class CharacterLookup:
         """Rows whose character is in the domain; all rows and their number are kept as they are."""
         return rows.where(text.is_han(column)) if self.domain == "Unicode" else self._within(rows, column)
 
+    def in_domain(self, rows: DataFrame, column: str = CH) -> DataFrame:
+        """All rows with in_domain: whether their character is in the domain."""
+        if self.domain == "Unicode":
+            return rows.withColumn("in_domain", text.is_han(column))
+        chars = self.catalog.domain(self.domain).select(F.col(CH).alias(column)).distinct().withColumn("in_domain", F.lit(True))
+        return rows.join(chars, column, "left").select(*rows.columns, F.coalesce("in_domain", F.lit(False)).alias("in_domain"))
+
     # readings
 
     def readings(self, keys: DataFrame, reading: str, converter=None) -> DataFrame:
@@ -191,7 +198,8 @@ class CharacterLookup:
         rows = self._within(self.catalog["CharacterResidualStrokeCount"].select(CH, "Glyph", "RadicalIndex", "ResidualStrokeCount"))
         if kangxi_only:
             rows = rows.join(self.catalog["CharacterKangxiRadical"].select(CH, "RadicalIndex"), [CH, "RadicalIndex"], "left_semi")
-        return rows if keys is None else rows.join(self._with_glyph(keys).select(CH, "Glyph").distinct(), [CH, "Glyph"], "left_semi")
+        rows = rows if keys is None else rows.join(self._with_glyph(keys).select(CH, "Glyph").distinct(), [CH, "Glyph"], "left_semi")
+        return rows.select(CH, "Glyph", "RadicalIndex", "ResidualStrokeCount")
 
     def characters_for_radical(self, keys: DataFrame, kangxi_only: bool = True) -> DataFrame:
         """keys: RadicalIndex. (RadicalIndex, ChineseCharacter), each once."""
@@ -199,7 +207,8 @@ class CharacterLookup:
         return self._within(rows.select("RadicalIndex", CH).distinct().join(keys.select("RadicalIndex").distinct(), "RadicalIndex", "left_semi"))
 
     def residuals_for_radical(self, keys: DataFrame, kangxi_only: bool = True) -> DataFrame:
-        return self.residuals(kangxi_only=kangxi_only).join(keys.select("RadicalIndex").distinct(), "RadicalIndex", "left_semi")
+        found = self.residuals(kangxi_only=kangxi_only).join(keys.select("RadicalIndex").distinct(), "RadicalIndex", "left_semi")
+        return found.select(CH, "Glyph", "RadicalIndex", "ResidualStrokeCount")
 
     def _radical_forms(self) -> DataFrame:
         return self.catalog["KangxiRadical"].where(has_locale("Locale", self.locale))

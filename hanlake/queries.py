@@ -6,8 +6,6 @@ grow with them. Class G: fixed inputs with known answers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +16,9 @@ from .operators import gr
 from .operators import readings as rd
 from .plans import derive, radicals
 from .plans.catalog import Catalog
+from .registry import CH, ORACLE_SQL, QUERIES, pick, query, table, values
 from .sources import dictionaries, unihan
 
-CH = "ChineseCharacter"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 # ---------------------------------------------------------------- made-up corpora
 #
 # A character stands for a part: U+4E00 + p_partkey % 2000. Its reading is a syllable of the list and a tone.
@@ -60,39 +40,57 @@ rd.register_inventory("CantoneseYale", [y for _, y in CANTONESE])
 rd.register_inventory("MandarinIPA", [s[4] for s in SYLLABLES])
 
 
-def _pick(values: list[str], index):
-    return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
-
-
-def _values(*rows: tuple) -> str:
-    one = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
-
-
 def character_readings(spark: SparkSession, d: str) -> DataFrame:
     """A stored table of readings, with numbers, and the part that each is of."""
     part = table(spark, d, "part").select("p_partkey")
-    return part.select("p_partkey", text.char_of(F.lit(0x4E00) + F.col("p_partkey") % 2000).alias(CH), F.concat(_pick([s[0] for s in SYLLABLES], F.col("p_partkey")), (F.col("p_partkey") % 4 + 1).cast("string")).alias("Reading"))
+    return part.select("p_partkey", text.char_of(F.lit(0x4E00) + F.col("p_partkey") % 2000).alias(CH), F.concat(pick([s[0] for s in SYLLABLES], F.col("p_partkey")), (F.col("p_partkey") % 4 + 1).cast("string")).alias("Reading"))
 
 
 _READINGS = f"""(SELECT p_partkey, chr((19968 + p_partkey % 2000)::INTEGER) AS "{CH}", s || (p_partkey % 4 + 1)::VARCHAR AS "Reading"
-FROM part JOIN {_values(*((i, s[0]) for i, s in enumerate(SYLLABLES)))} t(i, s) ON i = p_partkey % {N})"""
+FROM part JOIN {values(*((i, s[0]) for i, s in enumerate(SYLLABLES)))} t(i, s) ON i = p_partkey % {N})"""
+
+
+#: The syllables with the marks of the four tones.
+MARKED = {
+    "ma": "mā má mǎ mà", "bei": "bēi béi běi bèi", "jing": "jīng jíng jǐng jìng", "zhong": "zhōng zhóng zhǒng zhòng", "guo": "guō guó guǒ guò", "xie": "xiē xié xiě xiè",
+    "qian": "qiān qián qiǎn qiàn", "lü": "lǖ lǘ lǚ lǜ", "shu": "shū shú shǔ shù", "dao": "dāo dáo dǎo dào", "ren": "rēn rén rěn rèn", "tai": "tāi tái tǎi tài",
+    "nan": "nān nán nǎn nàn", "hou": "hōu hóu hǒu hòu", "san": "sān sán sǎn sàn", "gui": "guī guí guǐ guì",
+}
+_MARKS = values(*((s + str(t + 1), m) for s, forms in MARKED.items() for t, m in enumerate(forms.split())))
+
+
+def _numbers_and_marks():
+    return rd.reading("Pinyin", toneMarkType="numbers", erhua="ignore"), rd.reading("Pinyin", erhua="ignore")
+
+
+def _reading_lookup(spark, d, domain: str = "Unicode") -> ch.CharacterLookup:
+    small = table(spark, d, "part").where("p_size <= 25").select(text.char_of(F.lit(0x4E00) + F.col("p_partkey") % 2000).alias(CH)).distinct()
+    return ch.CharacterLookup(Catalog({"CharacterPinyin": character_readings(spark, d).select(CH, "Reading").distinct(), "SmallSet": small}), domain=domain)
 
 
 @query(f"""
-WITH marked AS (SELECT * FROM {_values(*((s[0] + str(t), rd.Pinyin([s[0]]).tonal(s[0], t)) for s in SYLLABLES for t in (1, 2, 3, 4)))} m(numeric, diacritic))
-SELECT diacritic AS query, r."{CH}" AS character, count(*) AS parts FROM {_READINGS} r JOIN marked ON numeric = r."Reading"
-JOIN part p ON p.p_partkey = r.p_partkey WHERE p.p_size <= 25 GROUP BY 1, 2
+SELECT DISTINCT m.diacritic AS query, r."{CH}" AS character FROM {_READINGS} r JOIN {_MARKS} m(numeric, diacritic) ON m.numeric = r."Reading"
+WHERE r."{CH}" IN (SELECT chr((19968 + p_partkey % 2000)::INTEGER) FROM part WHERE p_size <= 25)
 """)
 def lkp05_characters_for_reading(spark, d):
     """Flagship (C): readings asked for with diacritics are converted to the stored style; characters in a domain answer."""
-    stored = character_readings(spark, d)
-    domain = stored.join(table(spark, d, "part").where("p_size <= 25").select("p_partkey"), "p_partkey", "left_semi")
-    marked, numbers = rd.reading("Pinyin", erhua="ignore"), rd.reading("Pinyin", toneMarkType="numbers", erhua="ignore")
-    asked = spark.createDataFrame([(e,) for e in marked.entities()], "query string")
-    converted = rd.convert(F.col("query"), rd.respelling(marked, numbers))
-    wanted = asked.withColumn("c", converted).where("c.error is null").select("query", F.col("c.value").alias("Reading"))
-    return domain.join(F.broadcast(wanted), "Reading").groupBy("query", F.col(CH).alias("character")).agg(F.count("*").alias("parts"))
+    numbers, marks = _numbers_and_marks()
+    asked = spark.createDataFrame([(e,) for e in marks.entities()], "Reading string")
+    return _reading_lookup(spark, d, "Small").characters_for_reading(asked, "Pinyin", rd.respelling(marks, numbers)).toDF("query", "character")
+
+
+@query(f"""SELECT DISTINCT r."{CH}" AS character, m.diacritic AS reading, NULL::VARCHAR AS error FROM {_READINGS} r JOIN {_MARKS} m(numeric, diacritic) ON m.numeric = r."Reading" """)
+def lkp06_readings_of_characters(spark, d):
+    """All stored readings with the tones' marks instead of numbers, each once."""
+    numbers, marks = _numbers_and_marks()
+    keys = character_readings(spark, d).select(CH)
+    return _reading_lookup(spark, d).readings(keys, "Pinyin", rd.respelling(numbers, marks)).toDF("character", "reading", "error")
+
+
+@query(f"""SELECT DISTINCT "{CH}" AS character, "Reading" AS reading FROM {_READINGS} WHERE "{CH}" IN (SELECT chr((19968 + s_suppkey * 3 % 2000)::INTEGER) FROM supplier)""")
+def lkp06_stored_readings(spark, d):
+    keys = table(spark, d, "supplier").select(text.char_of(F.lit(0x4E00) + F.col("s_suppkey") * 3 % 2000).alias(CH))
+    return _reading_lookup(spark, d).readings(keys, "Pinyin").toDF("character", "reading")
 
 
 # ---------------------------------------------------------------- sources
@@ -129,9 +127,9 @@ def src12_cedict_lines(spark, d):
 
 
 @query("SELECT o_orderkey, o_orderpriority AS priority FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS o_orderpriority FROM orders) WHERE o_orderpriority IS NOT NULL")
-def der01_column_values(spark, d):
+def der01_columnvalues(spark, d):
     wide = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("priority"))
-    return derive.column_values(wide, "priority", "o_orderkey")
+    return derive.columnvalues(wide, "priority", "o_orderkey")
 
 
 @query("SELECT p_partkey, p_size AS radical FROM part WHERE p_partkey % 5 <> 0")
@@ -172,11 +170,11 @@ def der09_reading_frequency(spark, d):
 ORACLE_SQL["der09_reading_frequency"] = ORACLE_SQL["der09_reading_frequency"].replace("(value * 100)::BIGINT", "round(value * 100)::BIGINT")
 
 
-@query(f"""SELECT p_partkey, numeric AS reading FROM part JOIN {_values(*((i, s[0] + str(i % 4 + 1)) for i, s in enumerate(SYLLABLES)))} t(i, numeric) ON i = p_partkey % {N}
+@query(f"""SELECT p_partkey, numeric AS reading FROM part JOIN {values(*((i, s[0] + str(i % 4 + 1)) for i, s in enumerate(SYLLABLES)))} t(i, numeric) ON i = p_partkey % {N}
 UNION SELECT p_partkey, 'ma5' FROM part""")
 def der10_located_readings(spark, d):
     marked = [rd.Pinyin([s[0]]).tonal(s[0], i % 4 + 1) for i, s in enumerate(SYLLABLES)]
-    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("1"), F.col("p_size").cast("string"), F.lit(".020:"), _pick(marked, F.col("p_partkey")), F.lit(",ma")).alias("kHanyuPinyin"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("1"), F.col("p_size").cast("string"), F.lit(".020:"), pick(marked, F.col("p_partkey")), F.lit(",ma")).alias("kHanyuPinyin"))
     return derive.located_readings(rows, "kHanyuPinyin", "p_partkey").toDF("p_partkey", "reading")
 
 
@@ -249,10 +247,11 @@ def str01_codepoints(spark, d):
     return chars.select("c", text.codepoint("c").cast("long").alias("code"), text.format_codepoint("c").alias("formatted"), "n")
 
 
-@query("SELECT k, k BETWEEN 19968 AND 40907 AS han, k BETWEEN 44032 AND 55203 AS hangul, k BETWEEN 11904 AND 12245 AS radical FROM (SELECT (8192 + o_orderkey * 7 % 50000)::BIGINT AS k FROM orders WHERE 8192 + o_orderkey * 7 % 50000 >= 13312 + 6592 OR (8192 + o_orderkey * 7 % 50000) BETWEEN 11904 AND 11929)".replace("k BETWEEN 19968 AND 40907 AS han", "(k BETWEEN 19968 AND 40907 OR k BETWEEN 11904 AND 11929) AS han"))
+@query("""SELECT k, k BETWEEN 11904 AND 11929 OR k BETWEEN 11931 AND 12019 OR k BETWEEN 12032 AND 12245 OR k IN (12293, 12295) OR k BETWEEN 12321 AND 12329 OR k BETWEEN 12344 AND 12347
+OR k BETWEEN 13312 AND 19893 OR k BETWEEN 19968 AND 40907 AS han, k BETWEEN 44032 AND 55203 AS hangul, k BETWEEN 11904 AND 12245 AS radical FROM (SELECT (8192 + o_orderkey * 7 % 50000)::BIGINT AS k FROM orders)""")
 def flt08_code_ranges(spark, d):
     k = (F.lit(8192) + F.col("o_orderkey") * 7 % 50000).cast("long")
-    rows = table(spark, d, "orders").select(k.alias("k")).where("k >= 19904 or k between 11904 and 11929").withColumn("c", text.char_of("k"))
+    rows = table(spark, d, "orders").select(k.alias("k")).withColumn("c", text.char_of("k"))
     return rows.select("k", text.is_han("c").alias("han"), text.in_script("c", "Hangul").alias("hangul"), text.is_radical_form("c").alias("radical"))
 
 
@@ -345,7 +344,7 @@ def agg10_vote_with_tie_break(spark, d):
     return derive.first_per_group(counts, ["c_nationkey"], ["votes", "c_mktsegment"]).select("c_nationkey", F.col("c_mktsegment").alias("segment"))
 
 
-@query("SELECT initial, " + ", ".join(f"min(CASE WHEN final = '{f}' THEN pinyin END) AS f_{f}" for f in ("a", "an", "uo", "ei")) + f" FROM {_values(*((s[0], s[2], s[3]) for s in SYLLABLES))} t(pinyin, initial, final) WHERE final IN ('a', 'an', 'uo', 'ei') GROUP BY 1")
+@query("SELECT initial, " + ", ".join(f"min(CASE WHEN final = '{f}' THEN pinyin END) AS f_{f}" for f in ("a", "an", "uo", "ei")) + f" FROM {values(*((s[0], s[2], s[3]) for s in SYLLABLES))} t(pinyin, initial, final) WHERE final IN ('a', 'an', 'uo', 'ei') GROUP BY 1")
 def agg12_syllable_table(spark, d):
     rows = spark.createDataFrame([(s[0], s[2], s[3]) for s in SYLLABLES], "pinyin string, initial string, final string")
     finals = ["a", "an", "uo", "ei"]
@@ -426,7 +425,7 @@ def sch09_translation_to_comma(spark, d):
     return _entries(spark, d).where(dic.CEDICTTranslation("Translation", "brand#4")).select("p_partkey")
 
 
-@query("SELECT doc, true AS found FROM " + _values((0,), (3,)) + " t(doc)")
+@query("SELECT doc, true AS found FROM " + values((0,), (3,)) + " t(doc)")
 def sch10_sense_after_sign(spark, d):
     rows = spark.createDataFrame([(0, "/Wind (u.E.); Nordwind/"), (1, "/Wind; Bsp.: kalt -- kalter Nordwind/"), (2, "/Nordwinde/"), (3, "/(kalter) Nordwind! ja/")], "doc int, t string")
     return rows.where(dic.HanDeDictTranslation("t", "nordwind")).select("doc", F.lit(True).alias("found"))
@@ -435,12 +434,12 @@ def sch10_sense_after_sign(spark, d):
 def _words(spark, d):
     """Headwords of two characters, with their readings."""
     r = character_readings(spark, d)
-    second = F.concat(_pick([s[0] for s in SYLLABLES], F.col("p_partkey") + 1), (F.col("p_partkey") % 3 + 1).cast("string"))
+    second = F.concat(pick([s[0] for s in SYLLABLES], F.col("p_partkey") + 1), (F.col("p_partkey") % 3 + 1).cast("string"))
     return r.select("p_partkey", F.concat(F.col(CH), text.char_of(F.lit(0x5000) + F.col("p_partkey") % 50)).alias("Headword"), F.concat_ws(" ", "Reading", second).alias("Reading"))
 
 
 _TWO = f"""(SELECT p_partkey, a.s || (p_partkey % 4 + 1)::VARCHAR AS r1, b.s || (p_partkey % 3 + 1)::VARCHAR AS r2, chr((20480 + p_partkey % 50)::INTEGER) AS c2, chr((19968 + p_partkey % 2000)::INTEGER) AS c1
-FROM part JOIN {_values(*((i, s[0]) for i, s in enumerate(SYLLABLES)))} a(i, s) ON a.i = p_partkey % {N} JOIN {_values(*((i, s[0]) for i, s in enumerate(SYLLABLES)))} b(i, s) ON b.i = (p_partkey + 1) % {N})"""
+FROM part JOIN {values(*((i, s[0]) for i, s in enumerate(SYLLABLES)))} a(i, s) ON a.i = p_partkey % {N} JOIN {values(*((i, s[0]) for i, s in enumerate(SYLLABLES)))} b(i, s) ON b.i = (p_partkey + 1) % {N})"""
 
 
 def _search(**options):
@@ -515,7 +514,7 @@ def rdo01_segment(spark, d):
     return rows.select("p_partkey", F.array_join("x.value", " ").alias("entities"))
 
 
-@query(f"SELECT s || t AS entity FROM {_values(*((s[0],) for s in SYLLABLES))} a(s), (SELECT unnest(['1', '2', '3', '4', '5', '']) AS t)")
+@query(f"SELECT s || t AS entity FROM {values(*((s[0],) for s in SYLLABLES))} a(s), (SELECT unnest(['1', '2', '3', '4', '5', '']) AS t)")
 def rdo07_entities(spark, d):
     r = rd.reading("Pinyin", toneMarkType="numbers", erhua="ignore")
     return spark.createDataFrame([(e,) for e in r.entities()], "entity string")
@@ -534,7 +533,7 @@ def rdo13_script_runs(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(text.script_runs(F.concat(F.lit("ab"), c, c, F.lit(", x")), "Hangul"), "|").alias("parts"))
 
 
-@query(f"SELECT i AS syllable, initial, final, count(*) AS parts FROM part JOIN {_values(*((i, s[2], s[3]) for i, s in enumerate(SYLLABLES)))} t(i, initial, final) ON i = p_partkey % {N} GROUP BY 1, 2, 3")
+@query(f"SELECT i AS syllable, initial, final, count(*) AS parts FROM part JOIN {values(*((i, s[2], s[3]) for i, s in enumerate(SYLLABLES)))} t(i, initial, final) ON i = p_partkey % {N} GROUP BY 1, 2, 3")
 def rdo14_onset_and_rhyme(spark, d):
     parts = spark.createDataFrame([(i, s[0], s[2], s[3]) for i, s in enumerate(SYLLABLES)], "syllable int, plain string, initial string, final string")
     plain = character_readings(spark, d).select(F.substring("Reading", 1, 0).alias("_"), F.regexp_replace("Reading", r"\d$", "").alias("plain")).drop("_")
@@ -548,11 +547,11 @@ def _converted(spark, d, converter, source="Reading"):
 
 def _mapped(f) -> str:
     """The oracle of a conversion of single syllables: what f says of each syllable and tone."""
-    pairs = _values(*((s[0] + str(t), f(s, t)) for s in SYLLABLES for t in (1, 2, 3, 4)))
+    pairs = values(*((s[0] + str(t), f(s, t)) for s in SYLLABLES for t in (1, 2, 3, 4)))
     return f"SELECT p_partkey, v AS value, NULL::VARCHAR AS error FROM {_READINGS} r JOIN {pairs} m(k, v) ON k = r.\"Reading\""
 
 
-@query(_mapped(lambda s, t: {"ma": "māmámǎmà", "bei": "bēi béi běi bèi", "jing": "jīng jíng jǐng jìng", "zhong": "zhōng zhóng zhǒng zhòng", "guo": "guō guó guǒ guò", "xie": "xiē xié xiě xiè", "qian": "qiān qián qiǎn qiàn", "lü": "lǖ lǘ lǚ lǜ", "shu": "shū shú shǔ shù", "dao": "dāo dáo dǎo dào", "ren": "rēn rén rěn rèn", "tai": "tāi tái tǎi tài", "nan": "nān nán nǎn nàn", "hou": "hōu hóu hǒu hòu", "san": "sān sán sǎn sàn", "gui": "guī guí guǐ guì"}[s[0]].replace("māmámǎmà", "mā má mǎ mà").split()[t - 1]))
+@query(_mapped(lambda s, t: MARKED[s[0]].split()[t - 1]))
 def cnv03_pinyin_styles(spark, d):
     return _converted(spark, d, rd.respelling(rd.reading("Pinyin", toneMarkType="numbers", erhua="ignore"), rd.reading("Pinyin", erhua="ignore")))
 
@@ -583,11 +582,11 @@ def cnv09_pinyin_to_braille(spark, d):
 _YALE = {"gwong": "gwōng gwóng gwong gwòhng gwóhng gwohng", "zau": "jāu jáu jau jàuh jáuh jauh", "waa": "wā wá wa wàh wáh wah", "jyu": "yū yú yu yùh yúh yuh", "hoeng": "hēung héung heung hèuhng héuhng heuhng"}
 
 
-@query(f"SELECT o_orderkey, y AS value FROM orders JOIN {_values(*((i * 6 + t, y) for i, ys in enumerate(_YALE.values()) for t, y in enumerate(ys.split())))} v(i, y) ON i = o_orderkey % 30")
+@query(f"SELECT o_orderkey, y AS value FROM orders JOIN {values(*((i * 6 + t, y) for i, ys in enumerate(_YALE.values()) for t, y in enumerate(ys.split())))} v(i, y) ON i = o_orderkey % 30")
 def cnv11_jyutping_to_yale(spark, d):
     pairs = [(j, y) for j, y in CANTONESE]
     made = rd.jyutping_to_yale(pairs, rd.reading("Jyutping"), rd.reading("CantoneseYale"))
-    asked = F.concat(_pick([s for s in _YALE for _ in range(6)], F.col("o_orderkey")), (F.col("o_orderkey") % 6 + 1).cast("string"))
+    asked = F.concat(pick([s for s in _YALE for _ in range(6)], F.col("o_orderkey")), (F.col("o_orderkey") % 6 + 1).cast("string"))
     return table(spark, d, "orders").select("o_orderkey", rd.convert(asked, made)["value"].alias("value"))
 
 
@@ -598,7 +597,7 @@ def cnv12_bridge(spark, d):
     all_ways = rd.Conversions()
     all_ways.publish("WadeGiles", "Pinyin", lambda a, b: rd.wade_giles_to_pinyin(pairs, a, b))
     all_ways.publish("Pinyin", "MandarinIPA", lambda a, b: rd.pinyin_to_ipa([(s[0], s[4], "") for s in SYLLABLES], a, b))
-    wg = _pick([s[1] for s in SYLLABLES], F.col("p_partkey"))
+    wg = pick([s[1] for s in SYLLABLES], F.col("p_partkey"))
     rows = table(spark, d, "part").select("p_partkey", F.concat(wg, (F.col("p_partkey") % 4 + 1).cast("string")).alias("w"))
     rows = rows.withColumn("x", rd.convert(F.col("w"), all_ways.get(rd.reading("WadeGiles", toneMarkType="numbers"), rd.reading("MandarinIPA"))))
     return rows.select("p_partkey", F.col("x.value").alias("value"), F.col("x.error").alias("error"))
@@ -627,7 +626,7 @@ def cnv07_gr_to_pinyin(spark, d):
     return rows.select("p_partkey", F.col("x.value").alias("value"), F.col("x.error").alias("error"))
 
 
-@query("SELECT * FROM " + _values(("g", "˳geh", None), ("x", None, "ConversionError"), ("guoh .x", "guoh .guoh", None), ("maa shu vx", "maa shu maa shu", None)) + " t(text, value, error)")
+@query("SELECT * FROM " + values(("g", "˳geh", None), ("x", None, "ConversionError"), ("guoh .x", "guoh .guoh", None), ("maa shu vx", "maa shu maa shu", None)) + " t(text, value, error)")
 def cnv06_gr_full_forms(spark, d):
     own = gr.GR([*(g for _, g in _GR_ROWS), "ge"], abbreviated=[("˳geh", "g", "")])
     rows = spark.createDataFrame([("g",), ("x",), ("guoh .x",), ("maa shu vx",)], "text string").withColumn("x", rd.convert(F.col("text"), gr.GRToGR(own, own, True)))
@@ -639,7 +638,7 @@ def _decompositions(spark):
     return spark.createDataFrame([(c, s, 0, 0) for c, s in rows], f"{CH} string, Decomposition string, Glyph int, SubIndex int")
 
 
-@query("SELECT * FROM " + _values(("他", "亻", "⿰", 0, 3), ("休", "亻", "⿰", 0, 4), ("休", "木", "⿰", 1, 2), ("鸺", "鸟", "⿰", 1, 6), ("鸺", "亻", "⿰", 0, 9), ("鸺", "木", "⿻", 0, 7), ("林", "木", "⿰", 0, 4), ("林", "木", "⿰", 1, 4), ("森", "木", "⿱", 0, 8), ("森", "木", "⿻", 0, 8)) + " t(character, form, layout, position, residual)")
+@query("SELECT * FROM " + values(("他", "亻", "⿰", 0, 3), ("休", "亻", "⿰", 0, 4), ("休", "木", "⿰", 1, 2), ("鸺", "鸟", "⿰", 1, 6), ("鸺", "亻", "⿰", 0, 9), ("鸺", "木", "⿻", 0, 7), ("林", "木", "⿰", 0, 4), ("林", "木", "⿰", 1, 4), ("森", "木", "⿱", 0, 8), ("森", "木", "⿻", 0, 8)) + " t(character, form, layout, position, residual)")
 def der16_radical_residuals(spark, d):
     forms = spark.createDataFrame([("亻", 9), ("木", 75), ("鸟", 196)], "Form string, RadicalIndex int")
     counts = spark.createDataFrame([("亻", 0, 2), ("也", 0, 3), ("木", 0, 4), ("鸟", 0, 5), ("休", 0, 6), ("林", 0, 8)], f"{CH} string, Glyph int, StrokeCount int")
@@ -647,18 +646,22 @@ def der16_radical_residuals(spark, d):
     return out.select(F.col(CH).alias("character"), F.col("RadicalForm").alias("form"), F.col("MainCharacterLayout").alias("layout"), F.col("RadicalRelativePosition").alias("position"), F.col("ResidualStrokeCount").alias("residual"))
 
 
-@query("SELECT * FROM " + _values(("木", "H-S-P-N"), ("囗", "S-HZ-H"), ("口", "S-HZ-H"), ("凵", "SZ-S"), ("乂", "P-N"), ("林", "H-S-P-N H-S-P-N"), ("森", "H-S-P-N H-S-P-N H-S-P-N"), ("回", "S-HZ S-HZ-H H"), ("凶", "P-N SZ-S")) + " t(character, strokes)")
+@query("SELECT * FROM " + values(("木", "H-S-P-N"), ("囗", "S-HZ-H"), ("口", "S-HZ-H"), ("凵", "SZ-S"), ("乂", "P-N"), ("林", "H-S-P-N H-S-P-N"), ("森", "H-S-P-N H-S-P-N H-S-P-N"), ("回", "S-HZ S-HZ-H H"), ("凶", "P-N SZ-S")) + " t(character, strokes)")
 def trv02_stroke_orders(spark, d):
     own = spark.createDataFrame([("木", "H-S-P-N", 0), ("囗", "S-HZ-H", 0), ("口", "S-HZ-H", 0), ("凵", "SZ-S", 0), ("乂", "P-N", 0)], f"{CH} string, StrokeOrder string, Glyph int")
     return ch.synthesise_stroke_orders(own, _decompositions(spark)).select(F.col(CH).alias("character"), F.col("StrokeOrder").alias("strokes"))
 
 
-@query("SELECT * FROM " + _values(("鸺", "休"), ("鸺", "亻"), ("鸺", "木"), ("鸺", "鸟"), ("休", "亻"), ("休", "木"), ("森", "木"), ("森", "林"), ("林", "木"), ("他", "亻"), ("他", "也"), ("回", "囗"), ("回", "口"), ("凶", "凵"), ("凶", "乂")) + " t(character, component)")
+@query("SELECT * FROM " + values(("鸺", "休"), ("鸺", "亻"), ("鸺", "木"), ("鸺", "鸟"), ("休", "亻"), ("休", "木"), ("森", "木"), ("森", "林"), ("林", "木"), ("他", "亻"), ("他", "也"), ("回", "囗"), ("回", "口"), ("凶", "凵"), ("凶", "乂")) + " t(character, component)")
 def trv03_component_closure(spark, d):
     return derive.component_lookup(_decompositions(spark)).select(F.col(CH).alias("character"), F.col("Component").alias("component"))
 
 
-@query("SELECT * FROM " + _values(("乂",), ("也",), ("亻",), ("凵",), ("口",), ("囗",), ("木",), ("鸟",)) + " t(component)")
+@query("SELECT * FROM " + values(("乂",), ("也",), ("亻",), ("凵",), ("口",), ("囗",), ("木",), ("鸟",)) + " t(component)")
 def trv04_basic_components(spark, d):
     rows = _decompositions(spark)
     return ch.basic_components(rows, rows.select(CH)).select(F.col("Component").alias("component"))
+
+
+# the other modules of queries register themselves
+from . import lookup_queries  # noqa: E402, F401
