@@ -1,8 +1,8 @@
 """Quality rules: counts and base rules of each text, failures by host, and host verdicts from shrunken rates.
 
 The base rules fail a text of under 50 words, or with over half of its words in 3-word windows that occur again. A host's
-rate of failures is shrunk by a beta prior whose moments are those of all hosts' rates; a host over ``HOST_RATE`` fails, and
-its texts with it. Hosts are sums with partial aggregation; the join back has one row a host, so a hot host is split as
+rate of failures is shrunk by a beta prior, whose moments are those of the hosts' rates, weighted by size and without the noise of
+small hosts; a host over ``HOST_RATE`` fails, and its texts with it. Hosts are sums with partial aggregation; the join back has one row a host, so a hot host is split as
 any skewed join side. The counts of each text are made once and written to the shared folder.
 
 Only DataFrame functions are used. Defined results: null text has no words; null and empty hosts are one host; repeated
@@ -61,15 +61,31 @@ def text_counts(docs: DataFrame, host: str = "source") -> DataFrame:
 def host_verdicts(counts: DataFrame, most: float = HOST_RATE) -> DataFrame:
     """host, n_docs, n_failed, shrunken rate and host_failed."""
     hosts = counts.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    strength = m * (1 - m) / v - 1 if v else 0.0
-    strength = strength if m is not None and strength > 0 else 1.0
-    a, b = (m or 0.0) * strength, (1 - (m or 0.0)) * strength
-    shrunk = (F.col("n_failed") + F.lit(a)) / (F.col("n_docs") + F.lit(a + b))
+    square = F.col("n_failed") * F.col("n_failed") / F.col("n_docs")
+    k, n, f, nn, q = hosts.agg(F.count("*"), F.sum("n_docs"), F.sum("n_failed"), F.sum(F.col("n_docs") * F.col("n_docs")), F.sum(square)).first()
+    mean, alike = beta_moments(k, n or 0, f or 0, nn or 0, q or 0.0)
+    shrunk = (alike * F.col("n_failed") + (1 - alike) * mean) / (alike * F.col("n_docs") + (1 - alike))
     return hosts.withColumn("rate", shrunk).withColumn("host_failed", F.col("rate") > most)
 
 
+def beta_moments(k: int, n: int, f: int, nn: int, q: float) -> tuple[float, float]:
+    """Mean of the beta prior, and how alike documents of one host are (0 to 1), 1 / (1 + the prior's strength).
+
+    Of k hosts with n documents, f failures; nn: the sum of squared host sizes, q: of n_failed**2 / n_docs. The variance of rates
+    between hosts, weighted by their sizes, less what chance inside of hosts makes of it (analysis of variance). Where hosts
+    differ no more than by chance, or none has two documents, documents of a host are not alike: all rates are the mean.
+    """
+    if not n:
+        return 0.0, 0.0
+    mean = f / n
+    if k < 2 or n == k:
+        return mean, 0.0
+    between, within = (q - f * f / n) / (k - 1), (f - q) / (n - k)
+    size = (n - nn / n) / (k - 1)
+    whole = between + (size - 1) * within
+    return mean, min(1.0, max(0.0, (between - within) / whole)) if whole > 0 else 0.0
+
+
 def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """The counts of each text, host_failed and kept."""
     counts = stage(text_counts(docs, host), "counts")
@@ -94,9 +110,10 @@ counts AS (
 ),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 hosts AS (SELECT host, count(*) AS n, sum(base_failed::BIGINT) AS f FROM base GROUP BY host),
-moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v > 1 THEN m * (1 - m) / v - 1 ELSE 1.0 END AS s FROM moments),
-verdicts AS (SELECT host, (f + m * s) / (n + s) > 0.5 AS host_failed FROM hosts, prior)
+sums AS (SELECT count(*) AS k, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS q FROM hosts),
+moments AS (SELECT f / n AS m, k, n, (q - f * f / n) / nullif(k - 1, 0) AS b, (f - q) / nullif(n - k, 0) AS w, (n - nn / n) / nullif(k - 1, 0) AS size FROM sums),
+prior AS (SELECT m, CASE WHEN b + (size - 1) * w > 0 THEN least(1.0, greatest(0.0, (b - w) / (b + (size - 1) * w))) ELSE 0.0 END AS a FROM moments),
+verdicts AS (SELECT host, (a * f + (1 - a) * m) / (a * n + (1 - a)) > 0.5 AS host_failed FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, NOT base_failed AND NOT host_failed AS kept
 FROM base JOIN verdicts USING (host)
 """

@@ -36,3 +36,56 @@ def test_counts_and_verdicts(spark):
 
 def test_empty_table(spark):
     assert qr.quality_rules(documents(spark, [])).collect() == []
+
+
+def good(i):
+    return " ".join(f"g{i}x{j}" for j in range(60))
+
+
+def hosted(spark, tmp_path, sizes):
+    """sizes: host -> (documents, failures)."""
+    rows, i = [], 0
+    for host, (n, failed) in sizes.items():
+        for j in range(n):
+            rows.append((i, "too short" if j < failed else good(i), host))
+            i += 1
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return spark.read.parquet(f"{tmp_path}/documents.parquet"), rows
+
+
+def plain_rates(sizes):
+    """The same moments by loops over single documents."""
+    hosts = [(n, f) for n, f in sizes.values()]
+    total, k = sum(n for n, _ in hosts), len(hosts)
+    mean = sum(f for _, f in hosts) / total
+    alike = 0.0
+    if 1 < k < total:
+        between = sum(n * (f / n - mean) ** 2 for n, f in hosts) / (k - 1)
+        within = sum(sum((x - f / n) ** 2 for x in [1] * f + [0] * (n - f)) for n, f in hosts) / (total - k)
+        size = (total - sum(n * n for n, _ in hosts) / total) / (k - 1)
+        alike = min(1.0, max(0.0, (between - within) / (between + (size - 1) * within)))
+    return {h: (alike * f + (1 - alike) * mean) / (alike * n + 1 - alike) for h, (n, f) in sizes.items()}
+
+
+def test_hosts_that_fail_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    sizes = {f"h{i}": (n := rng.choice([1, 2, 5, 40]), rng.randrange(n // 4 + 1)) for i in range(60)} | {"spam": (30, 27), "tiny": (1, 1), "mixed": (12, 8), "hot": (200, 150)}
+    docs, rows = hosted(spark, tmp_path, sizes)
+    rates = plain_rates(sizes)
+    verdicts = {r.host: r for r in qr.host_verdicts(qr.text_counts(docs)).collect()}
+    assert all(abs(verdicts[h].rate - rates[h]) < 1e-9 for h in sizes)
+    failed = {h for h, r in verdicts.items() if r.host_failed}
+    assert {"spam", "hot"} <= failed == {h for h, r in rates.items() if r > 0.5} and len(failed) < 10
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, host_failed, kept FROM ({qr.ORACLE})").fetchall())
+    got = sorted((r.doc_id, r.host_failed, r.kept) for r in qr.quality_rules(docs).collect())
+    assert got == want and sum(x[1] for x in got) == sum(sizes[h][0] for h in failed)
+
+
+def test_small_hosts_show_nothing_alone(spark, tmp_path):
+    docs, _ = hosted(spark, tmp_path, {f"h{i}": (1, int(i % 3 == 0)) for i in range(300)})
+    assert not any(r.host_failed for r in qr.host_verdicts(qr.text_counts(docs)).collect())
+    assert qr.beta_moments(1, 10, 4, 100, 1.6) == (0.4, 0.0) and qr.beta_moments(0, 0, 0, 0, 0.0) == (0.0, 0.0)
