@@ -5,8 +5,9 @@ first may be shorter. Full pieces are sequences of their own; all other pieces a
 
 Pieces are dealt to partitions of some ``PART`` pieces, whatever their documents. Each partition packs best-fit
 decreasing and bounds its number of bins from below by dual feasible functions; if both are equal it is certified and
-done. From partitions with a gap, full bins are done, and all other pieces are exchanged: dealt anew to fewer
-partitions, and packed again, for ``ROUNDS`` rounds at most. Only lengths move; ids stay where they were made.
+done, but for its emptiest bin. From partitions with a gap, full bins are done, and the pieces of all others are
+exchanged, with those of the emptiest bins: dealt anew to fewer partitions, and packed again, until one partition is
+left or a round brings no more pieces to an end. Only lengths move; ids stay where they were made.
 
 Defined results: ids are those of the tokenizer's library with its default settings, so an added token in a text is
 one id. Null text is empty, so only the end id. Repeated rows are documents of their own. Other columns are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import U64, mix, partitions, small_batches, stage
 
-CAPACITY, PART, ROUNDS, WORDS = 2048, 20_000, 4, 250_000
+CAPACITY, PART, WORDS = 2048, 20_000, 250_000
 
 
 class _Words(dict):
@@ -116,18 +117,17 @@ def bins_at_least(lengths: np.ndarray, capacity: int) -> int:
     if not len(lengths):
         return 0
     sizes, counts = np.unique(lengths, return_counts=True)
-    best = 0
+    sizes = sizes.astype(np.int64)
     epsilons = np.unique(np.append(sizes[2 * sizes <= capacity], 0))
-    if len(epsilons) > 128:
-        epsilons = epsilons[np.linspace(0, len(epsilons) - 1, 128).astype(int)]
-    scaled = [(1, sizes.astype(np.int64), capacity)]
-    for k in range(1, 13):
-        whole = (k + 1) * sizes % capacity == 0
-        scaled.append((k, np.where(whole, k * sizes, capacity * ((k + 1) * sizes // capacity)), k * capacity))
-    for e in epsilons:
-        for _, value, one in scaled:
-            total = np.where(sizes > capacity - e, one, np.where(sizes < e, 0, value)) @ counts
-            best = max(best, -(-int(total) // one))
+    # for each e: pieces that count as 1 stand at the end of the sorted sizes, those that count as 0 at its beginning
+    first, last = np.searchsorted(sizes, epsilons), np.searchsorted(sizes, capacity - epsilons, "right")
+    many = counts.sum() - np.append(0, np.cumsum(counts))[last]
+    best = 0
+    for k in range(13):
+        one = k * capacity if k else capacity
+        value = sizes if not k else np.where((k + 1) * sizes % capacity == 0, k * sizes, capacity * ((k + 1) * sizes // capacity))
+        sums = np.append(0, np.cumsum(value * counts))
+        best = max(best, int((-(-(many * one + sums[last] - sums[first]) // one)).max()))
     return best
 
 
@@ -202,8 +202,9 @@ def _pack_part(capacity: int, last: bool):
         number = int(part.column("part")[0].as_py())
         bins, offsets, made = best_fit(lengths, capacity)
         certified = made == bins_at_least(lengths, capacity)
-        full = np.bincount(bins, lengths, made) == capacity
-        done = full[bins] | certified | last
+        fill = np.bincount(bins, lengths, made)
+        closed = np.arange(made) != fill.argmin() if certified else fill == capacity
+        done = closed[bins] | last
         names = [*part.column_names[:-1], "sequence_id", "offset", "certified"]
         arrays = [part.column(c) for c in part.column_names[:-1]]
         arrays += [pa.array(np.where(done, number << 32 | bins, 0), mask=~done), pa.array(offsets), pa.array(np.full(len(lengths), certified))]
@@ -225,18 +226,15 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     whole = pieces.where(F.col("length") == capacity).select("*", (-1 - numbered).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     done, left = [whole.select(columns)], pieces.where(F.col("length") < capacity)
     schema = fields + ", sequence_id long, offset long, certified boolean"
-    before = 0
-    for round_ in range(ROUNDS):
-        count = left.count()
-        if not count:
-            break
+    before, round_, stuck = None, 0, False
+    while count := left.count():
         parts = max(1, -(-count // part))
-        last = round_ == ROUNDS - 1 or parts == 1 and before == 1
-        before = parts
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(round_)), F.lit(parts)) + F.lit(round_ << 24))
+        last = parts == 1 or stuck
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(round_)), F.lit(parts)) + (F.lit(round_).cast("long") * (1 << 24)))
         packed = stage(dealt.repartition(max(1, min(parts, 64 * partitions(docs.sparkSession))), "part").groupBy("part").applyInArrow(_pack_part(capacity, last), schema), "packed")
         done.append(packed.where(F.col("sequence_id").isNotNull()).select(columns))
         left = packed.where(F.col("sequence_id").isNull()).select(pieces.columns)
+        before, stuck, round_ = count, before is not None and count > 0.9 * before, round_ + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -1,6 +1,8 @@
+import math
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -105,3 +107,34 @@ def test_packed_ids_of_added_tokens_and_white_space(spark):
 
 def test_empty_table(spark):
     assert packing.pack(documents(spark, []), PATH).collect() == []
+
+
+def plain_bound(lengths, capacity):
+    """All thresholds and all stretchings, a piece at a time."""
+    best = 0
+    for e in {0, *(x for x in lengths if 2 * x <= capacity)}:
+        for k in range(13):
+            total = 0
+            for x in lengths:
+                if x > capacity - e:
+                    total += 1
+                elif x >= e:
+                    y = Fraction(x, capacity)
+                    total += y if not k or ((k + 1) * y).denominator == 1 else Fraction(math.floor((k + 1) * y), k)
+            best = max(best, math.ceil(total))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_bound_tries_all_thresholds(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randrange(1, 65) for _ in range(60)]
+    assert packing.bins_at_least(np.array(lengths, np.int64), 64) == plain_bound(lengths, 64)
+    assert packing.bins_at_least(np.zeros(0, np.int64), 64) == 0
+
+
+def test_emptiest_bins_of_certified_partitions_meet(spark):
+    rows = [(i, "alpha " * 20) for i in range(400)]
+    out = packing.pack(documents(spark, rows), PATH, 64, part=20).collect()
+    least = packing.bins_at_least(np.array([r.length for r in out]), 64)
+    assert len({r.sequence_id for r in out}) <= least + 1
