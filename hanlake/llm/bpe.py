@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import text_slices, trimmed
 
 WORDS = 400_000
 GROUP_BYTES = 24 << 20
@@ -274,7 +274,10 @@ def _grouped(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[pa
 
 
 def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
-    """All columns of docs and ``column``, an array of the ids of text."""
+    """All columns of docs and ``column``, an array of the ids of text; it replaces a column of that name."""
+    if column == "text":
+        raise ValueError("the ids can't replace the text they are made of")
+    docs = docs.drop(column)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, ids in encoded(batches, path):
@@ -289,7 +292,13 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """All columns of rows and ``column``, the bytes of the ids (null ids: no bytes). An id that isn't there fails."""
+    """All columns of rows and ``column``, the bytes of the ids (null ids: no bytes); it replaces a column of that name.
+
+    An id that isn't there fails.
+    """
+    if column == ids:
+        raise ValueError("the bytes can't replace the ids they are made of")
+    rows = rows.drop(column)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -317,7 +326,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(of), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def task_number() -> int:

@@ -93,6 +93,11 @@ def _libc():
 _LIBC = _libc()
 
 
+def plainly_named(docs: DataFrame, *kept: str) -> DataFrame:
+    """docs with all columns but the kept ones renamed by their places, so that none clashes; toDF(*docs.columns) names them back."""
+    return docs.toDF(*(c if c in kept else f"column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text and a key of the row's content: (k_id, k_text) is never null, so rows with null ids join too."""
     return docs.select(

@@ -385,14 +385,17 @@ FEATURES = "width int, height int, thumbnail_hash string, thumbnail binary"
 
 
 def media_features(media: DataFrame, column: str = "media") -> DataFrame:
-    """All columns of media but the file; width, height, thumbnail_hash and thumbnail (rows of luminance bytes)."""
+    """All columns of media but the file; width, height, thumbnail_hash and thumbnail (rows of luminance bytes), which replace
+    columns of these names."""
     from pyspark.sql import types as T
 
-    kept = [f for f in media.schema if f.name != column]
-    schema = T.StructType([*kept, *T.StructType.fromDDL(FEATURES)])
+    made = T.StructType.fromDDL(FEATURES)
+    kept = [f for f in media.schema if f.name != column and f.name not in made.names]
+    media = media.select(column, *(f.name for f in kept if f.name != column))
+    schema = T.StructType([*kept, *made])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(_sized(batches, column), "_text", SLICE_BYTES):
+        for batch in _sized(batches):
             images = read(batch.column(column).to_pylist())
             cells = [None if x is None else thumbnail(x) for x in images]
             yield pa.RecordBatch.from_arrays(
@@ -405,11 +408,10 @@ def media_features(media: DataFrame, column: str = "media") -> DataFrame:
     return media.mapInArrow(of, schema)
 
 
-def _sized(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.string())], names=[*part.schema.names, "_text"])
+            yield batch.slice(i, 256)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

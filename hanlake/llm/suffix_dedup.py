@@ -17,7 +17,7 @@ Identifiers are 64-bit hashes, compared only within a bucket, so two texts are c
 for each pair of different runs with the same 64-byte gram.
 
 Defined results: null text is empty; matches never cross texts; equal texts remove each other wholly if they have 400
-bytes; repeated rows are texts of their own. Texts shorter than 400 bytes stay. Other columns are kept as they are.
+bytes; repeated rows are texts of their own. Texts shorter than 400 bytes stay. Other columns are kept as they are, whatever their names.
 A cut inside a UTF-8 character leaves broken bytes in ``kept``; ``drop_repeats`` leaves those out of the text.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, RollingHash, keyed, longs, mix, partitions, small_batches, stage, text_bytes, text_slices
+from .common import U64, RollingHash, keyed, longs, mix, partitions, plainly_named, small_batches, stage, text_bytes, text_slices, trimmed
 
 LENGTH, GRAM = 400, 64
 BUCKET_RUNS = 50_000
@@ -203,7 +203,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     small_batches(spark)
     n = partitions(spark)
     rows = keyed(docs).select("text", "k_id", "k_text")
-    all_runs = stage(rows.mapInArrow(_runs_of(length, gram), RUNS), "runs")
+    all_runs = stage(rows.mapInArrow(trimmed(_runs_of(length, gram)), RUNS), "runs")
     buckets = all_runs.groupBy("c").agg(F.count("*").alias("in_bucket"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("in_bucket > 1")
     buckets = stage(buckets, "buckets")  # so the join below has a plain shuffle on both sides, whose hot buckets can be split
     shared = stage(all_runs.join(buckets, "c").withColumn("mixed", F.col("f1") != F.col("f2")).drop("f1", "f2", "in_bucket"), "shared")
@@ -217,10 +217,10 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     open_buckets = wholes.groupBy("c").agg(F.min("n").alias("fewest"), F.count("*").alias("runs")).where("fewest = 1")
     chosen = wholes.join(open_buckets.select("c", "runs"), "c")
     chosen = chosen.groupBy("at.k_id", "at.k_text").agg(F.collect_list(F.struct("c", "f", "n", "runs", "at.start", "at.stop", "at.anchor")).alias("chosen"))
-    spans = stage(rows.dropDuplicates(["k_id", "k_text"]).join(chosen, ["k_id", "k_text"]).mapInArrow(_spans_of(length), SPANS), "spans")
+    spans = stage(rows.dropDuplicates(["k_id", "k_text"]).join(chosen, ["k_id", "k_text"]).mapInArrow(trimmed(_spans_of(length)), SPANS), "spans")
 
     interval = "k_id long, k_text long, start int, stop int"
-    small = spans.where(F.col("runs") <= bucket_runs).repartition(n, "c").sortWithinPartitions("c").mapInArrow(_refine(length), interval)
+    small = spans.where(F.col("runs") <= bucket_runs).repartition(n, "c").sortWithinPartitions("c").mapInArrow(trimmed(_refine(length)), interval)
     parts = [shared.where("not mixed").select(as_interval), repeated.select(as_interval), small]
     large = spans.where(F.col("runs") > bucket_runs)
     if not large.isEmpty():
@@ -261,8 +261,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(own), sum(b - a for a, b in merged), len(merged), hashlib.sha256(_cut(own, merged)).hexdigest()))
         cols = list(zip(*out))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id")] + [pa.array(x, pa.int64()) for x in cols[:3]] + [pa.array(cols[3])],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [batch.column("doc_id")] + [pa.array(x, pa.int64()) for x in cols[:3]] + [pa.array(cols[3]), pa.array([int(x > 0) for x in cols[1]], pa.int32())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"],
         )
 
 
@@ -277,16 +277,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and repeats: 1 if bytes were removed, else 0."""
     found = repeated_intervals(docs, **options)
     rows = keyed(docs).join(found, ["k_id", "k_text"], "left").select("doc_id", "text", "intervals")
-    return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(trimmed(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats int")
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
     """The rows and columns of docs; texts without their repeated bytes, and n_chars, if there, of the new text."""
-    found = repeated_intervals(docs, **options)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = keyed(docs, *others).join(found, ["k_id", "k_text"], "left").select(*docs.columns, "intervals")
-    out = rows.mapInArrow(_kept, T.StructType([f for f in rows.schema if f.name != "intervals"]))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    found = repeated_intervals(docs.select("doc_id", "text"), **options)
+    plain = plainly_named(docs, "doc_id", "text", "n_chars")
+    others = [c for c in plain.columns if c not in ("doc_id", "text")]
+    rows = keyed(plain, *others).join(found, ["k_id", "k_text"], "left").select(*plain.columns, "intervals")
+    out = rows.mapInArrow(trimmed(_kept), T.StructType([f for f in rows.schema if f.name != "intervals"]))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*docs.columns)

@@ -97,3 +97,35 @@ def test_entry_without_this_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), sorted(set(e.oracle_sql()) - set(q)), [x for x in q if x.startswith('op') or x == 'pipeline'])"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert said.returncode == 0 and said.stdout.strip().endswith("[] []"), said.stderr
+
+
+def test_columns_of_clashing_names_stay(spark, tmp_path):
+    names = ["intervals", "k_id", "k_text", "first_id", "first_hash", "copy", "score", "predicted", "kept", "weak_label", "label", "bytes"]
+    rng = random.Random(4)
+    texts = [plain(rng, 150) for _ in range(12)]
+    texts += [texts[0], texts[1] + " more.", None, ""]
+    rows = [(i, t, "en", "src0", None if t is None else len(t), *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", {n} string" for n in names))
+    write(spark, tmp_path, [(i, t) for i, t in enumerate(texts)], [(i, 1, i % 2) for i in range(12)])
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+
+
+def test_very_long_texts(spark, tmp_path):
+    rng = random.Random(9)
+    long = plain(rng, 60_000)
+    rows = [(1, long), (2, long + " more"), (3, plain(rng, 100)), (4, None)]
+    docs = write(spark, tmp_path, rows, [(1, 1, 0), (3, 1, 1)])
+    d = str(tmp_path)
+    one = {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, d).collect()}
+    assert one == {1, 3, 4}
+    cut = {r.doc_id: len(r.text or "") for r in corpus_pipeline.cut_repeats(spark, docs, d).collect()}
+    assert cut[1] == 0 and cut[2] <= 5 and cut[3] > 100
+    pieces = corpus_pipeline.pack(spark, docs, d).where("doc_id = 1").collect()
+    assert sum(r.length for r in pieces) > 60_000 and max(r.length for r in pieces) == 2048
+    from hanlake.llm import quality, quality_rules, toxicity
+
+    assert quality.quality_scores(docs).count() == quality_rules.quality_rules(docs).count() == 4
+    assert toxicity.toxicity_scores(docs, spark.read.parquet(f"{d}/labels.parquet")).count() == 4
