@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, jpeg, ngram_jaccard, packing, quality, quality_rules, sharding, suffix_dedup, toxicity
 from .common import table
@@ -27,7 +28,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+    """repeats: 1 for documents of which bytes were removed, else 0."""
+    found = suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+    return found.withColumn("repeats", (F.col("n_removed") > 0).cast("int"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

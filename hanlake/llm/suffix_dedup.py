@@ -261,8 +261,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(own), sum(b - a for a, b in merged), len(merged), hashlib.sha256(_cut(own, merged)).hexdigest()))
         cols = list(zip(*out))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id")] + [pa.array(x, pa.int64()) for x in cols[:3]] + [pa.array(cols[3]), pa.array([int(x > 0) for x in cols[1]], pa.int32())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"],
+            [batch.column("doc_id")] + [pa.array(x, pa.int64()) for x in cols[:3]] + [pa.array(cols[3])],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
@@ -277,10 +277,10 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeat_digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, and repeats: 1 if bytes were removed, else 0."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     found = repeated_intervals(docs, **options)
     rows = keyed(docs).join(found, ["k_id", "k_text"], "left").select("doc_id", "text", "intervals")
-    return rows.mapInArrow(trimmed(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats int")
+    return rows.mapInArrow(trimmed(_digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
