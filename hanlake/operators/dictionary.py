@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_LETTERS, FULL_WIDTH, col, full_width, java_quote, like_escape, substrings
-from .readings import Pinyin, Reading, ReadingError
+from .readings import Pinyin, Reading, ReadingError, convert
+from .readings import reading as reading_of
 
 ONE, MANY = object(), object()
 
@@ -19,12 +20,21 @@ ONE, MANY = object(), object()
 # ---------------------------------------------------------------- wildcards
 
 
+#: The signs that searches read which aren't told others.
+DEFAULT_SIGNS = {"single": "_", "multiple": "%"}
+
+
+def set_default_wildcards(single: str = "_", multiple: str = "%") -> None:
+    """The signs of searches made from now on."""
+    DEFAULT_SIGNS.update(single=single, multiple=multiple)
+
+
 @dataclass(frozen=True)
 class Wildcards:
     """Signs for one and for any number of characters, and one that takes a sign literally."""
 
-    single: str = "_"
-    multiple: str = "%"
+    single: str = field(default_factory=lambda: DEFAULT_SIGNS["single"])
+    multiple: str = field(default_factory=lambda: DEFAULT_SIGNS["multiple"])
     escape: str = "\\"
 
     def parse(self, query: str) -> list:
@@ -342,6 +352,18 @@ class Dictionary:
     reading_search: Callable | None = None
     mixed_search: MixedSearch | None = None
     translation_search: Callable = SimpleWildcardTranslation
+    kana: Reading | None = None
+    formats: Sequence[Callable[[DataFrame], DataFrame]] = ()
+    version: DataFrame | None = None
+
+    def release(self):
+        """The release date of the table, null if it isn't known."""
+        row = self.version.first() if self.version is not None else None
+        return row[0] if row else None
+
+    def formatted(self, rows: DataFrame) -> DataFrame:
+        """rows after all formats, one after another."""
+        return reduce(lambda found, f: f(found), self.formats, rows)
 
     def _run(self, condition: Column | None, limit: int | None = None, order_by: Sequence = (), exact: Column | None = None) -> DataFrame:
         rows = self.entries.distinct()
@@ -350,7 +372,7 @@ class Dictionary:
             rows = rows.orderBy(*order_by)
         if limit is not None:
             rows = rows.limit(limit)
-        return rows if exact is None else rows.where(exact)
+        return self.formatted(rows if exact is None else rows.where(exact))
 
     def get_all(self, limit: int | None = None, order_by: Sequence = ()) -> DataFrame:
         return self._run(None, limit, order_by)
@@ -399,24 +421,83 @@ def pinyin_search(reading: Pinyin, wildcards: bool = True, toneless: bool = True
     return ReadingSearch(reading, convert, wildcards, toneless)
 
 
-def edict(entries: DataFrame, kana: Reading) -> Dictionary:
-    return Dictionary(entries, reading_search=Wildcard(), translation_search=SimpleWildcardTranslation) if kana is None else Dictionary(entries, reading_search=Wildcard(True))
+def edict(entries: DataFrame, reading: Reading | None = None) -> Dictionary:
+    """Headword, Reading in Kana, Translation."""
+    return Dictionary(entries, reading_search=Wildcard(True), translation_search=SimpleWildcardTranslation, kana=reading)
 
 
-def cedict(entries: DataFrame, reading: Pinyin) -> Dictionary:
+def cedict(entries: DataFrame, reading: Pinyin, headword: str = "b") -> Dictionary:
+    """Traditional and simplified headwords, Pinyin with numbers. headword: s, t or b, which forms are looked for."""
+    if headword not in FORMS_OF:
+        raise ValueError(f"no headword forms {headword!r}")
     search = pinyin_search(reading)
-    return Dictionary(entries, ("HeadwordTraditional", "HeadwordSimplified"), reading_search=search, mixed_search=MixedSearch(search), translation_search=CEDICTWildcardTranslation)
+    return Dictionary(entries, FORMS_OF[headword], headword_search=Wildcard(full_width=True), reading_search=search, mixed_search=MixedSearch(search), translation_search=CEDICTWildcardTranslation)
 
 
-def handedict(entries: DataFrame, reading: Pinyin) -> Dictionary:
-    made = cedict(entries, reading)
-    made.translation_search = HanDeDictWildcardTranslation
+def handedict(entries: DataFrame, reading: Pinyin, headword: str = "b") -> Dictionary:
+    made = cedict(entries, reading, headword)
+    made.headword_search, made.translation_search = Wildcard(), HanDeDictWildcardTranslation
+    return made
+
+
+def cedictgr(entries: DataFrame, reading: Reading) -> Dictionary:
+    """One headword, readings in Gwoyeu Romatzyh."""
+    search = ReadingSearch(reading, wildcards=True)
+    return Dictionary(entries, reading_search=search, mixed_search=MixedSearch(search), translation_search=CEDICTWildcardTranslation)
+
+
+FORMS_OF = {"b": ("HeadwordTraditional", "HeadwordSimplified"), "t": ("HeadwordTraditional",), "s": ("HeadwordSimplified",)}
+#: Names of dictionaries -> how they are made of entries and a reading, and which reading that is.
+DICTIONARIES: dict[str, tuple[Callable[..., Dictionary], str]] = {
+    "EDICT": (edict, "Kana"), "CEDICT": (cedict, "Pinyin"), "CEDICTGR": (cedictgr, "GR"), "HanDeDict": (handedict, "Pinyin"), "CFDICT": (handedict, "Pinyin"),
+}
+
+
+def publish_dictionary(name: str, make: Callable[..., Dictionary], reading: str) -> None:
+    """Adds a dictionary of one's own."""
+    DICTIONARIES[name] = make, reading
+
+
+def available_dictionaries(catalog) -> list[str]:
+    """The dictionaries whose table is in a catalog."""
+    return [n for n in DICTIONARIES if n in catalog]
+
+
+def dictionary(catalog, name: str, reading: Reading | None = None, **options) -> Dictionary:
+    """A dictionary over its table in a catalog, with the reading of its entries, or one given."""
+    if name not in DICTIONARIES:
+        raise ValueError(f"no dictionary {name!r}")
+    make, kind = DICTIONARIES[name]
+    style = {"toneMarkType": "numbers", "erhua": "ignore"} if kind == "Pinyin" else {}
+    made = make(catalog[name], reading or reading_of(kind, **style), **options)
+    made.version = catalog["Version"].where(F.col("TableName") == name).select("ReleaseDate") if "Version" in catalog else None
     return made
 
 
 # ---------------------------------------------------------------- what results look like
 
 
+def single_column(column: str, strategy: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A format that works on one column."""
+    return lambda rows: rows.withColumn(column, strategy(F.col(column)))
+
+
+def converted_readings(converter, column: str = "Reading") -> Callable[[DataFrame], DataFrame]:
+    """A format that writes readings in another way; null where they can't be."""
+    return single_column(column, lambda c: convert(c, converter)["value"])
+
+
+def reading_spaces(headword: str, column: str = "Reading") -> Callable[[DataFrame], DataFrame]:
+    """A format that puts single letters of readings together; see normalise_reading_spaces()."""
+    return lambda rows: rows.withColumn(column, normalise_reading_spaces(headword, column))
+
+
+def unified(traditional: str = "HeadwordTraditional", simplified: str = "HeadwordSimplified", out: str = "Headword") -> Callable[[DataFrame], DataFrame]:
+    """A format with one column for both forms of the headword."""
+    others = lambda rows: [c for c in rows.columns if c not in (traditional, simplified)]
+    return lambda rows: rows.select(unified_headword(traditional, simplified).alias(out), *others(rows))
+
+
 def unified_headword(traditional: str, simplified: str) -> Column:
     """One form if both are the same, else simplified（traditional）."""
     s, t = F.col(simplified), F.col(traditional)
@@ -441,3 +522,23 @@ def check_readings(entries: DataFrame, known: DataFrame, headword: str, reading:
     pairs = entries.where(F.size(chars) == F.size(entities)).select(headword, reading, F.explode(F.arrays_zip(chars.alias("c"), entities.alias("e"))).alias("p"))
     each = pairs.select(headword, reading, F.col("p.c").alias("ChineseCharacter"), F.lower(F.col("p.e")).alias("entity"))
     return each.join(known.select("ChineseCharacter", F.col("Reading").alias("entity")), ["ChineseCharacter", "entity"], "left_anti").select(headword, reading, "ChineseCharacter", "entity")
+
+
+def check_variants(entries: DataFrame, variant: DataFrame, traditional: str = "HeadwordTraditional", simplified: str = "HeadwordSimplified") -> DataFrame:
+    """Places where a simplified headword's character isn't a known simplified form of the traditional one's.
+
+    (traditional, simplified, place from 0, character, as), and place null for headwords of different lengths. A character without
+    simplified variants, or that is a variant of its own form, stands for itself too.
+    """
+    t, s = F.array_remove(F.split(traditional, ""), ""), F.array_remove(F.split(simplified, ""), "")
+    rows = entries.where(F.col(simplified).isNotNull() & (F.col(traditional) != F.col(simplified))).select(F.col(traditional).alias("traditional"), F.col(simplified).alias("simplified"), t.alias("t"), s.alias("s")).distinct()
+    unequal = rows.where(F.size("t") != F.size("s")).select("traditional", "simplified", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("character"), F.lit(None).cast("string").alias("as"))
+    each = rows.where(F.size("t") == F.size("s")).select("traditional", "simplified", F.posexplode(F.arrays_zip("t", "s")).alias("place", "p"))
+    each = each.select("traditional", "simplified", "place", F.col("p.t").alias("character"), F.col("p.s").alias("as"))
+    forms = variant.where(F.col("Type") == "S").select(F.col("ChineseCharacter").alias("character"), F.col("Variant").alias("as")).distinct()
+    back = variant.where(F.col("Type").isin("M", "P")).select(F.col("Variant").alias("character"), F.col("ChineseCharacter").alias("as"))
+    own = forms.join(back.select(F.col("as").alias("character"), F.col("character").alias("as")), ["character", "as"], "left_semi").select("character", F.col("character").alias("as"))
+    known = forms.union(own).distinct()
+    wrong = each.join(known, ["character", "as"], "left_anti").join(forms.select("character", F.lit(True).alias("_has")).distinct(), "character", "left")
+    wrong = wrong.where(F.col("_has") | (F.col("character") != F.col("as")))
+    return wrong.select("traditional", "simplified", "place", "character", "as").unionByName(unequal)

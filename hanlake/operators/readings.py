@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import product
@@ -631,6 +631,8 @@ class Converter:
     syllables: Mapping[str, object] | None = None
     tones: Mapping | None = None
     sequence: Callable[[list[tuple[str, object]]], list[tuple[str, object]]] | None = None
+    #: (plain syllable, tone) of the source -> plain syllable: what is spoken otherwise in a tone; goes before syllables.
+    in_tone: Mapping[tuple[str, object], str] | None = None
 
     def convert(self, text: str) -> str:
         entities = self.source.decompose(text)
@@ -645,7 +647,8 @@ class Converter:
         def flush() -> None:
             pairs = [(p, t) for _, p, t in held]
             pairs = self.sequence(pairs) if self.sequence else pairs
-            out.extend(like_case(e, self.one(p, t)) for (e, _, _), (p, t) in zip(held, pairs))
+            special = [self.in_tone.get((p, t)) if self.in_tone else None for _, p, t in held]
+            out.extend(like_case(e, self.one(p, t) if x is None else self.target.tonal(x, t)) for (e, _, _), (p, t), x in zip(held, pairs, special))
             held.clear()
 
         for e in entities:
@@ -800,9 +803,12 @@ def neutral_tone_by_neighbour(pairs: list[tuple[str, object]]) -> list[tuple[str
     return out
 
 
-def pinyin_to_ipa(rows: Iterable[tuple[str, str, str]], source: Pinyin, target: MandarinIPA, sandhi: Callable = neutral_tone_by_neighbour) -> Converter:
-    """rows: Pinyin, IPA, Feature; those of feature '' or Default count. sandhi: how tones follow from their neighbours."""
-    return Converter(source, target, {source.respelled(p): i for p, i, f in rows if f in ("", "Default")}, None, sandhi)
+def pinyin_to_ipa(rows: Iterable[tuple[str, str, str]], source: Pinyin, target: MandarinIPA, sandhi: Callable = neutral_tone_by_neighbour, coarticulation: bool = False) -> Converter:
+    """rows: Pinyin, IPA, Feature; those of feature '' or Default count, with coarticulation those of 5thTone in the neutral tone too.
+    sandhi: how tones follow from their neighbours."""
+    rows = list(rows)
+    weak = {(source.respelled(p), 5): i for p, i, f in rows if f == "5thTone"} if coarticulation else None
+    return Converter(source, target, {source.respelled(p): i for p, i, f in rows if f in ("", "Default")}, None, sandhi, weak)
 
 
 #: Syllables whose final isn't written in Braille; punctuation and its cells.
@@ -947,15 +953,108 @@ def convert(c: Column, converter) -> Column:
     return _column("string", converter.convert)(c)
 
 
+# ---------------------------------------------------------------- guessing how a text is written
+
+
+def _most(votes: Mapping[str, int], order: Sequence[str], default: str) -> str:
+    """The kind with most votes, of equal ones the first in order; the default without votes."""
+    best = max(order, key=lambda k: (votes.get(k, 0), -order.index(k)))
+    return best if votes.get(best, 0) else default
+
+
+def guess_pinyin(text: str, inventory: Iterable[str] = ()) -> dict:
+    """How Pinyin is written: tone marks as diacritics or numbers, the vowel ü, short forms of ng, zh, ch, sh, apostrophes, r."""
+    text = nfc(text).lower()
+    runs = re.findall(r"[a-zêüŋẑĉŝ\u0300-\u036f\u00e0-\u01dc:]+[0-5]?", text)
+    marks = {"diacritics": sum(bool(re.search("[\u0300\u0301\u0304\u030c]", nfd(r))) for r in runs), "numbers": sum(r[-1].isdigit() for r in runs)}
+    kind = _most(marks, ["diacritics", "numbers"], "none" if runs else "diacritics")
+    if kind == "numbers" and marks["numbers"] * 2 < marks["diacritics"]:
+        kind = "diacritics"
+    vowels = {v: len(re.findall(rf"[nl]{re.escape(v)}(?![a-df-mo-z])", text)) for v in ("v", "u:", "ü")}
+    short = bool(re.search("[ŋẑĉŝ]", text))
+    signs = {s: text.count(s) for s in ("'", "’", "´", "‘", "`", "ʼ", "-")}
+    joined = len(re.findall(r"(?<!e)[a-zü][0-5]?r(?:[0-5]|\b)", nfc(re.sub("[\u0300\u0301\u0304\u030c]", "", nfd(text)))))
+    apart = len(re.findall(r"\br5?\b", text))
+    return {
+        "toneMarkType": kind, "yVowel": _most(vowels, ["ü", "u:", "v"], "ü"), "shortenedLetters": short,
+        "pinyinApostrophe": _most(signs, ["'", "’", "´", "‘", "`", "ʼ", "-"], "'"), "erhua": "oneSyllable" if joined > apart else "twoSyllables",
+    }
+
+
+def guess_wade_giles(text: str, inventory: Iterable[str] = ()) -> dict:
+    """How Wade-Giles is written: the apostrophe of aspiration, tones as plain or raised numbers, ê, ŭ, the final -yi, the vowel ü."""
+    text = nfc(text).lower()
+    signs = {s: len(re.findall(f"(?:k|p|t|ch|ts|tz){re.escape(s)}", text)) for s in ("’", "'", "‘", "`", "ʻ")}
+    marks = {"superscriptNumbers": len(re.findall("[a-zêŭü][¹²³⁴⁵]", text)), "numbers": len(re.findall("[a-zêŭü][1-5]", text))}
+    e = {"ê": len(re.findall("ê", text)), "e": len(re.findall("(?<![iyü])en|(?<![a-z])e", text))}
+    u = {"ŭ": len(re.findall("(?:ts|tz|s)[‘’'`ʻ]?ŭ", text)), "u": len(re.findall("(?:tz|ss|ts[‘’'`ʻ]?)u(?![a-z])", text))}
+    return {
+        "wadeGilesApostrophe": _most(signs, ["’", "'", "‘", "`", "ʻ"], "’"),
+        "toneMarkType": _most(marks, ["superscriptNumbers", "numbers"], "none" if re.search("[a-z]", text) else "superscriptNumbers"),
+        "diacriticE": _most(e, ["ê", "e"], "ê"), "zeroFinal": _most(u, ["ŭ", "u"], "ŭ"), "umlautU": "ü" if "ü" in text or not re.search("yu(?![a-z])", text) else "u",
+    }
+
+
+def guess_yale(text: str, inventory: Iterable[str] = ()) -> dict:
+    """How Cantonese Yale is written: with diacritics, or numbers (or nothing) behind the syllables."""
+    text = nfd(text.lower())
+    marks = {"diacritics": len(re.findall("[\u0300\u0301\u0304]", text)), "numbers": len(re.findall("[a-z][1-6]", text))}
+    return {"toneMarkType": _most(marks, ["diacritics", "numbers"], "none" if re.search("[a-z]", text) else "diacritics")}
+
+
+def guess_gr(text: str, inventory: Iterable[str] = ()) -> dict:
+    """How Gwoyeu Romatzyh is written: its apostrophes, and the mark of an optional neutral tone."""
+    signs = {s: text.count(s) for s in ("’", "'", "´", "‘", "`", "ʼ")}
+    sign = _most(signs, list(signs), "’")
+    marks = {s: len(re.findall(rf"{re.escape(s)}[A-Za-z]", text)) for s in ("˳", "｡", "￮", "₀", "ₒ")}
+    return {"grRhotacisedFinalApostrophe": sign, "grSyllableSeparatorApostrophe": sign, "optionalNeutralToneMarker": _most(marks, list(marks), "˳")}
+
+
+def guess_ipa(text: str, inventory: Iterable[str] = ()) -> dict:
+    """How tones are written in IPA: bars, digits of contours or numbers, plain or raised."""
+    bars, plain, raised = len(re.findall("[˥˦˧˨˩]+", text)), re.findall(r"(?<!\d)\d+", text), re.findall("[⁰¹²³⁴⁵⁶⁷⁸⁹]+", text)
+    votes = {
+        "ipaToneBar": bars, "chaoDigits": sum(len(x) > 1 for x in plain), "superscriptChaoDigits": sum(len(x) > 1 for x in raised),
+        "numbers": sum(len(x) == 1 for x in plain), "superscriptNumbers": sum(len(x) == 1 for x in raised),
+    }
+    if votes["chaoDigits"]:
+        votes["chaoDigits"] += votes.pop("numbers")
+    if votes["superscriptChaoDigits"]:
+        votes["superscriptChaoDigits"] += votes.pop("superscriptNumbers")
+    return {"toneMarkType": _most(votes, ["ipaToneBar", "chaoDigits", "superscriptChaoDigits", "numbers", "superscriptNumbers"], "none")}
+
+
+GUESSES = {"Pinyin": guess_pinyin, "WadeGiles": guess_wade_giles, "CantoneseYale": guess_yale, "GR": guess_gr, "MandarinIPA": guess_ipa, "CantoneseIPA": guess_ipa, "ShanghaineseIPA": guess_ipa}
+
+
+def guess_dialect(name: str, text: str) -> dict:
+    """The options of a reading that a text is written with, by what votes for each; readings written in one way have none."""
+    return GUESSES[name](text) if name in GUESSES else {}
+
+
+def guess_column(name: str, c: Column) -> Column:
+    """guess_dialect() of each text, as a map of texts."""
+
+    @F.pandas_udf("map<string,string>")
+    def udf(values: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else {k: str(v) for k, v in guess_dialect(name, x).items()} for x in values], dtype=object)
+
+    return udf(c)
+
+
+def _covered(r: Reading, text: str) -> int:
+    """The most letters of a text that syllables can cover."""
+    total, longest = 0, max((len(nfd(p)) for p in r.plain), default=0) + 3
+    for inside, run in r.runs(nfc(text)):
+        if inside:
+            best = [0] * (len(run) + 1)
+            for at in range(len(run) - 1, -1, -1):
+                best[at] = max([best[at + 1], *(end - at + best[end] for end in range(at + 1, min(len(run), at + longest) + 1) if r.is_entity(run[at:end]))])
+            total += best[0]
+    return total
+
+
 def guess_options(text: str, candidates: Iterable[Reading]) -> dict:
-    """The options of the candidate that reads the most syllables of a text; the first of equal ones."""
-    best, most = {}, -1
-    for r in candidates:
-        try:
-            ways = r.decompositions(text)
-        except ReadingError:
-            continue
-        known = max((sum(len(e) for e in way if r.is_entity(e)) for way in ways[:64]), default=0)
-        if known > most:
-            best, most = r.options, known
-    return dict(best)
+    """The options of the candidate whose syllables cover most letters of a text; the first of equal ones."""
+    candidates = list(candidates)
+    return dict(max(candidates, key=lambda r: _covered(r, text)).options) if candidates else {}

@@ -65,6 +65,19 @@ def syllable_table(parts: DataFrame, finals: Sequence[str]) -> DataFrame:
     return parts.groupBy("initial").pivot("final", list(finals)).agg(F.first("syllable")).orderBy("initial")
 
 
+def stroke_count_mismatches(own: DataFrame, unihan: DataFrame) -> DataFrame:
+    """own: ChineseCharacter, Glyph, StrokeCount; unihan: ChineseCharacter, StrokeCount. Characters none of whose glyphs has Unihan's count:
+    ChineseCharacter, own (all counts, sorted), unihan."""
+    counts = own.groupBy(CH).agg(F.array_sort(F.collect_set("StrokeCount")).alias("own"))
+    both = counts.join(unihan.select(CH, F.col("StrokeCount").alias("unihan")), CH)
+    return both.where(~F.array_contains("own", F.col("unihan")))
+
+
+def not_in_table(parts: DataFrame, finals: Sequence[str]) -> DataFrame:
+    """Syllables that a table of these finals leaves out."""
+    return parts.where(~F.coalesce(F.col("final").isin(*finals), F.lit(False))).select("syllable")
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """table with rows in the place of those of the same keys, as for versions of installed tables."""
     return table.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows)
