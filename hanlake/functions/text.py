@@ -80,6 +80,11 @@ def script_runs(c: str | Column, script: str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(f"([{inside}]|[^{inside}]+)"), 1)
 
 
+def is_surrogate(c: str | Column) -> Column:
+    """Whether a character is half of a pair. Text here is of whole code points, so none of it is."""
+    return in_ranges(c, [(0xD800, 0xDFFF)])
+
+
 _TITLE = r"(?U)^([.˳｡￮₀ₒ]?\W*)(\w)(?s:(.*))$"
 
 

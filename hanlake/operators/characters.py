@@ -137,6 +137,12 @@ class CharacterLookup:
         mine = self.catalog["LocaleCharacterGlyph"].where(has_locale("Locale", locale or self.locale))
         return default_of(keys.select(CH).distinct(), mine, self.catalog["Glyphs"], [CH], "Glyph")
 
+    def glyphs_of_locale(self, glyphs: DataFrame) -> DataFrame:
+        """Of (ChineseCharacter, Glyph) those that are the locale's, or no locale's in particular."""
+        marked = self.catalog["LocaleCharacterGlyph"].select(CH, "Glyph", "Locale")
+        found = glyphs.join(marked, [CH, "Glyph"], "left").where(F.col("Locale").isNull() | has_locale("Locale", self.locale))
+        return found.select(CH, "Glyph").distinct()
+
     def _with_glyph(self, keys: DataFrame) -> DataFrame:
         return keys if "Glyph" in keys.columns else self.default_glyphs(keys)
 
@@ -308,8 +314,7 @@ class CharacterLookup:
         itself = self.catalog["Glyphs"].select(CH, "Glyph", F.col(CH).alias("Component")) if "Glyphs" in self.catalog else lookup.select(CH, "Glyph", F.col(CH).alias("Component")).distinct()
         found = all_slots(lookup.select(CH, "Glyph", "Component").union(itself), slots, [CH, "Glyph"], "slot", "Component")
         if not all_glyphs and "LocaleCharacterGlyph" in self.catalog:
-            marked = self.catalog["LocaleCharacterGlyph"].select(CH, "Glyph", "Locale")
-            found = found.join(marked, [CH, "Glyph"], "left").where(F.col("Locale").isNull() | has_locale("Locale", self.locale)).select(CH, "Glyph")
+            found = self.glyphs_of_locale(found)
         if not with_radical_forms:
             found = found.where(~text.is_radical_form(CH))
         found = self._within(found.distinct())

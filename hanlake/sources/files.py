@@ -71,12 +71,12 @@ def parquet_namespace(spark: SparkSession, folder: str) -> dict:
 
 
 def configured(spark: SparkSession, config: str) -> list[dict]:
-    """Namespaces as a configuration's text lists them: [Tables] folder = a:b, then any [Database <name>] with url and tables."""
+    """Namespaces as a configuration's text lists them: [Tables] folder = a b, then any [Database <name>] with url and tables."""
     parser = configparser.ConfigParser()
     parser.read_string(config)
     found = []
     if parser.has_option("Tables", "folder"):
-        found += [parquet_namespace(spark, f) for f in parser["Tables"]["folder"].split(":") if f]
+        found += [parquet_namespace(spark, f) for f in parser["Tables"]["folder"].split()]
     for section in parser.sections():
         if section.startswith("Database"):
             options = dict(parser[section])
