@@ -664,4 +664,4 @@ def trv04_basic_components(spark, d):
 
 
 # the other modules of queries register themselves
-from . import lookup_queries, table_queries  # noqa: E402, F401
+from . import lookup_queries, reading_queries, table_queries  # noqa: E402, F401
