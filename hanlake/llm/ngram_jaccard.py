@@ -13,7 +13,12 @@ can serve as a pivot. So there are two levels of regions:
    recursively, and |d(x, p) - d(y, p)| > r rules pairs out. Links that would join texts already connected are skipped:
    the result is the components of all links.
 
-A block over ``block_shingles`` is cut into tiles, and each two tiles meet in a task of that bound.
+3. A block over ``block_shingles`` goes through the same steps as tables. Rounds of pivots, a few from each slot of a hash,
+   are compared with all members, in as many tasks as the block has bounds; what they link is connected, and the next pivots
+   come from what isn't yet in the block's largest component. When that rest is within the bound, or shrinks no more, all
+   members stand in the region of their nearest pivot, and the rest is replicated to each region whose pivot is within 2r of its
+   nearest one. A region is dealt in parts of the bound, each of which meets the rest's members there. A group of near copies
+   of any size thus costs its size times the pivots and the rest, not its square.
 
 Defined results: null text, or text without words: no shingles, linked with nothing. Fewer than five words: one
 shingle, the whole sequence. Repeated rows come out as often as they went in. Null doc_id: a member as any other, never
@@ -29,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, RollingHash, keyed, longs, mix, partitions, small_batches, stage, text_bytes, text_slices, trimmed, word_spans
+from .common import LOWER, U64, RollingHash, binaries, keyed, longs, mix, partitions, small_batches, stage, text_bytes, text_slices, trimmed, word_spans
 from .components import connected
 
 SHINGLE_WORDS = 5
-BLOCK_SHINGLES = 8_000_000
+BLOCK_SHINGLES = 2_000_000
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -478,6 +483,163 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield closed()
 
 
+# ---------------------------------------------------------------- level 3: blocks as tables
+
+EDGES = "u long, v long"
+#: Pivots of a block in each round.
+SLOTS = 16
+
+
+def _sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all rows, one after another, and where each row's begin."""
+    raw, offsets = binaries(batch.column("shingles"))
+    return raw.view("<u8"), offsets // 8
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Rows sorted by place, in pieces of one place and kind and a bounded number of shingles; and whether the place is a new one."""
+    now = None
+    for batch in batches:
+        key = np.stack([longs(batch.column("place")), longs(batch.column("kind"))], 1)
+        _, offsets = _sets_of(batch)
+        start = 0
+        while start < batch.num_rows:
+            same = np.flatnonzero((key[start:] != key[start]).any(1))
+            stop = start + (int(same[0]) if len(same) else batch.num_rows - start)
+            stop = max(start + 1, min(stop, int(np.searchsorted(offsets, offsets[start] + 250_000, "right")) - 1))
+            place = int(key[start, 0])
+            yield place != now, batch.slice(start, stop - start)
+            now, start = place, stop
+
+
+def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a place: its pivots (kind 0), then members (kind 1). Out: each member's distances to the pivots, by slot, and those it links to."""
+    pivots: list[tuple[int, int, int, np.ndarray]] = []
+    universe = has = None
+    for fresh, batch in _by_place(batches):
+        if fresh:
+            pivots, universe = [], None
+        values, indptr = _sets_of(batch)
+        n = longs(batch.column("n"))
+        nodes = longs(batch.column("node"))
+        if longs(batch.column("kind"))[0] == 0:
+            pivots += [(int(s), int(node), int(size), values[a:b]) for s, node, size, a, b in zip(longs(batch.column("slot")), nodes, n, indptr, indptr[1:])]
+            continue
+        if universe is None:
+            universe = np.unique(np.concatenate([x for *_, x in pivots]))
+            has = np.zeros((len(universe) + 1, len(pivots)), np.uint8)
+            for k, (*_, x) in enumerate(pivots):
+                has[np.searchsorted(universe, x), k] = 1
+        at = np.minimum(np.searchsorted(universe, values), len(universe) - 1)
+        at[universe[at] != values] = len(universe)
+        both = np.add.reduceat(has[at], indptr[:-1], axis=0, dtype=np.int64)
+        total = n[:, None] + np.array([size for _, _, size, _ in pivots])[None, :]
+        far = np.ones((len(n), SLOTS), "<f4")
+        far[:, [slot for slot, *_ in pivots]] = 1 - both / (total - both)
+        near = 7 * both >= 3 * total
+        pivot_nodes = np.array([node for _, node, *_ in pivots])
+        hits = [pivot_nodes[row] for row in near]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("node"), pa.array([x.tobytes() for x in far], pa.binary()), pa.array(hits, pa.list_(pa.int64()))], names=["block", "node", "far", "hits"])
+
+
+def _regions_of(rounds: int, all_regions: bool):
+    """Adds region: that of the nearest pivot of all rounds; with all_regions each whose pivot is within 2r of that."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            far = np.frombuffer(binaries(batch.column("far"))[0].tobytes(), "<f4").reshape(batch.num_rows, rounds * SLOTS)
+            if all_regions:
+                row, region = np.nonzero(far <= far.min(1, keepdims=True) + 2 * NEAR + 1e-5)
+            else:
+                row, region = np.arange(batch.num_rows), far.argmin(1)
+            taken = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(region.astype(np.int64))], names=[*batch.schema.names, "region"])
+
+    return of
+
+
+def _rest_meets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a place: members of the rest (kind 0), which are held, then other members (kind 1), a piece at a time. Out: links between
+    members of different components."""
+    held: list[pa.RecordBatch] = []
+    for fresh, batch in _by_place(batches):
+        if fresh:
+            held = []
+        if longs(batch.column("kind"))[0] == 0:
+            held.append(batch)
+            continue
+        if not held:
+            continue
+        both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        values, indptr = _sets_of(both)
+        block = _Block([values[a:b] for a, b in zip(indptr, indptr[1:])], longs(both.column("n")))
+        far = np.frombuffer(binaries(both.column("far"))[0].tobytes(), "<f4").reshape(both.num_rows, -1)
+        nodes, label = longs(both.column("node")), longs(both.column("label"))
+        rest = sum(x.num_rows for x in held)
+        others = np.arange(rest, both.num_rows)
+        found = []
+        for i in range(rest):
+            window = others[(label[others] != label[i]) & (np.abs(far[others] - far[i]) <= NEAR + 1e-5).all(1)]
+            if len(window):
+                common, total = block.common(i, window), block.sizes[i] + block.sizes[window]
+                near = window[7 * common >= 3 * total]
+                found.append(np.stack([np.full(len(near), nodes[i]), nodes[near]], 1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+
+
+def _at_places(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "place").sortWithinPartitions("place", "kind")
+
+
+def _join_large(members: DataFrame, sizes: DataFrame, bound: int, parts: int) -> DataFrame:
+    """Links of blocks of any size, enough of them to connect what all links connect. members: block, node, n, shingles; sizes: block, size."""
+    members = stage(members, "large")
+    pieces = sizes.select("block", F.ceil(F.col("size") / bound).cast("long").alias("pieces"))
+    own_edges, far, label, rest = None, None, None, members
+    before, rounds = None, 0
+    while True:
+        slot = F.pmod(F.xxhash64("node", F.lit(rounds)), F.lit(SLOTS))
+        chosen = rest.groupBy("block", slot.alias("slot")).agg(F.max_by(F.struct("node", "n", "shingles"), F.xxhash64("node")).alias("p")).select("block", "slot", "p.*")
+        dealt = chosen.join(pieces, "block").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        to_all = members.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
+        columns = [F.xxhash64("block", "piece").alias("place"), "kind", "block", "node", "n", "slot", "shingles"]
+        both = dealt.withColumn("kind", F.lit(0)).select(columns).unionByName(to_all.withColumns({"kind": F.lit(1), "slot": F.lit(0).cast("long")}).select(columns))
+        found = stage(_at_places(both, parts).mapInArrow(trimmed(_to_pivots), "block long, node long, far binary, hits array<long>"), "pivots")
+        edges = found.select("node", F.explode("hits").alias("v")).where("node != v").select(F.col("node").alias("u"), "v")
+        own_edges = edges if own_edges is None else own_edges.unionAll(edges)
+        here = found.select("block", "node", "far")
+        far = here if far is None else stage(far.join(here.withColumnRenamed("far", "more"), ["block", "node"]).select("block", "node", F.concat("far", "more").alias("far")), "far")
+        rounds += 1
+        roots = connected(own_edges).select("node", F.col("root").alias("label"))
+        label = stage(members.select("block", "node", (F.length("shingles") / 8).cast("long").alias("size")).join(roots, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+        most = label.groupBy("block", "label").agg(F.sum("size").alias("size")).groupBy("block").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+        apart = stage(label.join(most, "block").where("label != main").select("block", "node", "size"), "apart")
+        left = apart.agg(F.sum("size")).first()[0] or 0
+        widest = apart.groupBy("block").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] or 0
+        if not left:
+            return own_edges
+        if widest <= bound or before is not None and left > 0.8 * before:
+            break
+        before, rest = left, members.join(apart.select("node"), "node", "left_semi")
+    rows = members.join(far.select("node", "far"), "node").join(label.select("node", "label"), "node").select("block", "node", "n", "shingles", "far", "label")
+    schema = "block long, node long, n int, shingles binary, far binary, label long, region long"
+    home = rows.mapInArrow(_regions_of(rounds, False), schema)
+    home = stage(home, "home")
+    extent = home.groupBy("block", "region").agg(F.ceil(F.sum(F.length("shingles")) / (8 * bound)).cast("long").alias("pieces"))
+    replicas = stage(rows.join(apart.select("node"), "node", "left_semi").select(rows.columns).mapInArrow(_regions_of(rounds, True), schema), "replicas")
+    shares = replicas.groupBy("block", "region").agg(F.ceil(F.sum(F.length("shingles")) / (8 * bound)).cast("long").alias("shares"))
+    grid = extent.join(shares, ["block", "region"])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pick = lambda n: F.pmod(F.xxhash64("node", F.lit("deal")), F.col(n))
+    columns = [F.xxhash64("block", "region", "piece", "share").alias("place"), "kind", "node", "n", "shingles", "far", "label"]
+    a = replicas.join(grid, ["block", "region"]).withColumn("share", pick("shares")).withColumn("piece", each("pieces")).withColumn("kind", F.lit(0)).select(columns)
+    b = home.join(grid, ["block", "region"]).withColumn("piece", pick("pieces")).withColumn("share", each("shares")).withColumn("kind", F.lit(1)).select(columns)
+    return own_edges.unionAll(_at_places(a.unionByName(b), parts).mapInArrow(trimmed(_rest_meets), EDGES))
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -499,18 +661,14 @@ def ngram_jaccard_components(docs: DataFrame, block_shingles: int = BLOCK_SHINGL
     texts = found.where(F.col("kind") == TEXT).select("doc_id", "node", "k_text", F.col("n").alias("n_shingles"))
     members = found.where(F.col("kind") == MEMBER).select("node", "n", "quota", "shingles")
 
-    edges = members.select("node", "quota", "shingles").mapInArrow(trimmed(_to_regions), REGIONS).repartition(parts, "route").mapInArrow(trimmed(_meet), "u long, v long")
+    edges = members.select("node", "quota", "shingles").mapInArrow(trimmed(_to_regions), REGIONS).repartition(parts, "route").mapInArrow(trimmed(_meet), EDGES)
     blocks = connected(edges).select("node", F.col("root").alias("block"))
-    placed = members.select("node", "n", "shingles").join(blocks, "node")
-    tiles = members.select("node", F.length("shingles").alias("bytes")).join(blocks, "node").groupBy("block").agg(F.ceil(F.sum("bytes") / (4 * block_shingles)).cast("long").alias("tiles"))
-    tiles = tiles.select("block", F.when(F.col("tiles") <= 2, F.lit(1)).otherwise(F.col("tiles")).alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    placed = placed.join(tiles, "block").select("*", own.alias("own"), other.alias("other")).select(
-        "node", "n", "shingles", F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
-    )
-    joined = placed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(trimmed(_join_blocks), "u long, v long")
-    linked = connected(joined.where("u != v"))
+    placed = stage(members.select("node", "n", "shingles").join(blocks, "node"), "placed")
+    sizes = stage(placed.groupBy("block").agg((F.sum(F.length("shingles")) / 8).cast("long").alias("size")).where(F.col("size") > block_shingles), "sizes")
+    small = placed.join(sizes, "block", "left_anti") if (large := not sizes.isEmpty()) else placed
+    joined = small.select("node", "n", "shingles", "block").repartition(parts, "block").sortWithinPartitions("block").mapInArrow(trimmed(_join_blocks), EDGES)
+    edges = joined.where("u != v")
+    linked = connected(edges.unionAll(_join_large(placed.join(sizes.select("block"), "block"), sizes, block_shingles, parts)) if large else edges)
 
     # the components' names: the smallest doc_id over all texts of all their sets
     of_set = texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))

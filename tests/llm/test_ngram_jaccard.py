@@ -95,3 +95,24 @@ def test_common_shingles(spark):
     """Shingles that a task knows to be common don't go to one place, and give the same result."""
     rows = corpus(11)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_jaccard_components(documents(spark, rows), local_common=2).collect()), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("bound", [200, 2_000, 20_000])
+def test_one_large_group_as_tables(spark, bound):
+    """Chains of near copies of a few texts, far over the bound: rounds of pivots, regions and their parts give the same components."""
+    rng = random.Random(bound)
+    words = [f"w{i}" for i in range(60)]
+    chains = [[rng.choice(words) for _ in range(90)] for _ in range(3)]
+    rows = []
+    for i in range(240):
+        t = chains[i % 3]
+        if i % 5 == 0:
+            at = rng.randrange(80)
+            t[at : at + 4] = [rng.choice(words) for _ in range(4)]
+        own = list(t)
+        for _ in range(rng.randrange(3)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    rows += [(500, " ".join(chains[0] + chains[1])), (501, None), (None, rows[0][1])]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_jaccard_components(documents(spark, rows), block_shingles=bound).collect()), key=str)
+    assert got == brute(rows)
