@@ -90,3 +90,168 @@ def test_quality(spark):
     assert quality.quality_scores(documents(spark, [])).collect() == []
     model = quality.posteriors({quality.votes(t or "", (t or "").split()): 1 for _, t in rows})
     assert all(0 <= p <= 1 for p in model.values()) and quality.posteriors({}) == {}
+
+
+# ---------------------------------------------------------------- against plain versions
+
+
+def plain_votes(text):
+    """The seven labellers, one after another."""
+    words, low = text.split(), text.lower()
+    if not words:
+        return [quality.ABSTAIN] * 7
+    upper = sum(c != c.lower() for c in text) / len(text)
+    signs = sum(c in "#*$%&|<>{}\\^~" for c in text) / len(words)
+    again = sum(words[i] == words[i - 1] for i in range(1, len(words))) / len(words)
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    ends = sum(text[i : i + 2] in (". ", ".\n", "? ", "! ") for i in range(len(text))) + (text[-1] in ".!?")
+
+    def vote(share, good, bad):
+        return quality.GOOD if share <= good else quality.BAD if share >= bad else quality.ABSTAIN
+
+    return [
+        vote(upper, 0.15, 0.4), vote(signs, 0.02, 0.3), vote(again, 0.05, 0.3),
+        vote(1 - len(set(triples)) / len(triples), 0.2, 0.6) if len(triples) >= 10 else quality.ABSTAIN,
+        quality.BAD if len(words) >= 60 and ends * 60 < len(words) else quality.GOOD if ends * 30 >= len(words) else quality.ABSTAIN,
+        vote(text.count("!!") / len(words), 0.02, 0.3), vote(text.count(" | ") / len(words), 0.02, 0.3),
+    ]
+
+
+def plain_expectation_maximisation(rows, steps=100):
+    """Over single texts, not over counts of patterns: the chance that each is good."""
+    import math
+
+    good = []
+    for v in rows:
+        bad = v.count(quality.BAD)
+        good.append(0.1 / bad if bad else 0.5 + 0.45 * v.count(quality.GOOD) / len(v))
+    belief = {quality.BAD: (0.2, 1.0), quality.ABSTAIN: (0.5, 0.5), quality.GOOD: (1.0, 0.5)}
+    for _ in range(steps):
+        total = sum(good)
+        prior = (total + 1) / (len(rows) + 2)
+        odds = [math.log(prior / (1 - prior))] * len(rows)
+        for i in range(7):
+            for kind, (a, b) in belief.items():
+                own = [j for j, v in enumerate(rows) if v[i] == kind]
+                if own:
+                    p = (sum(good[j] for j in own) + a) / (total + 1.7)
+                    q = (sum(1 - good[j] for j in own) + b) / (len(rows) - total + 2.0)
+                    for j in own:
+                        odds[j] += math.log(p / q)
+        good = [1 / (1 + math.exp(-max(-30, min(30, x)))) for x in odds]
+    return good
+
+
+def junk(rng, n):
+    rows = []
+    for i in range(n):
+        text = plain(rng, rng.choice([5, 40, 90, 200]))
+        kind = rng.randrange(9)
+        text = text.upper() if kind == 0 else " | ".join(text.split()) if kind == 1 else " ".join(w + "!!" for w in text.split()) if kind == 2 else text
+        rows.append((i, text))
+    return rows + [(n, None), (n + 1, ""), (n + 2, rows[0][1])]
+
+
+def test_weak_labels_against_a_plain_version(spark):
+    rows = junk(random.Random(11), 120)
+    plain_rows = [plain_votes(t or "") for _, t in rows]
+    for (_, t), v in zip(rows, plain_rows):
+        assert quality.votes(t or "", (t or "").split()) == sum(x * 3**i for i, x in enumerate(v))
+    want = plain_expectation_maximisation(plain_rows)
+    got = {r.doc_id: r.weak_label for r in quality.quality_scores(documents(spark, rows)).collect()}
+    assert all(abs(got[i] - w) < 1e-9 for (i, _), w in zip(rows, want))
+
+
+def test_quality_scores_against_a_plain_version(spark):
+    """The scorer is taught posteriors of different texts by steps over plain lists; its scores are those of the query."""
+    import math
+
+    rows = junk(random.Random(12), 60)
+    docs = documents(spark, rows)
+    model = quality.fit(docs)
+    weak = plain_expectation_maximisation([plain_votes(t or "") for _, t in rows])
+    texts = {}
+    for (_, t), w in zip(rows, weak):
+        texts.setdefault(t, w)
+    table = quality._Buckets()
+    feats = [dict(zip(*quality._features((t or "").split(), table))) for t in texts]
+    y = list(texts.values())
+    norm = max(sum(v * v for v in f.values()) for f in feats) + 1
+    mean = min(1 - 1e-3, max(1e-3, sum(y) / len(y)))
+    w, b = {}, math.log(mean / (1 - mean))
+    w_old, b_old = {}, b
+    keys = sorted({k for f in feats for k in f})
+    for step in range(600):
+        push = step / (step + 3)
+        at = {k: w.get(k, 0.0) + push * (w.get(k, 0.0) - w_old.get(k, 0.0)) for k in keys}
+        b_at = b + push * (b - b_old)
+        g = [(1 / (1 + math.exp(-max(-40, min(40, sum(at[k] * v for k, v in f.items()) + b_at)))) - t) / len(y) for f, t in zip(feats, y)]
+        slope = {k: 1e-5 * at[k] for k in keys}
+        for f, x in zip(feats, g):
+            for k, v in f.items():
+                slope[k] += v * x
+        w_old, b_old = w, b
+        w, b = {k: at[k] - 4 / norm * slope[k] for k in keys}, b_at - 4 / norm * sum(g)
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for i, t in rows:
+        f = dict(zip(*quality._features((t or "").split(), table)))
+        want = 1 / (1 + math.exp(-(sum(w[k] * v for k, v in f.items()) + b)))
+        assert abs(got[i].score - want) < 1e-6 and got[i].kept == (want >= 0.5)
+
+
+def test_toxicity_ratios_and_scores_against_a_plain_version(spark):
+    """Counts of n-grams over distinct words of different texts, their shrunk ratios, and scores from the model's weights."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(13)
+    rows = [(plain(rng, 12) + (" dolt fool" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
+    rows += rows[:10] + [(None, 1), ("", 0)]
+    counts = [Counter(), Counter()]
+    grams = {}
+    for text, label in {x for x in rows if x[0] is not None}:
+        for word in set(text.lower().split()):
+            raw = b"\x02" + word.encode() + b"\x03"
+            found = [raw[i : i + n] for n in toxicity.SIZES for i in range(len(raw) - n + 1)]
+            buckets = toxicity.gram_buckets([word])[1].tolist()
+            assert len(found) == len(buckets)
+            for x, bucket in zip(found, buckets):
+                assert grams.setdefault(x, bucket) == bucket
+            counts[label].update(buckets)
+    every = sorted(set(counts[0]) | set(counts[1]))
+    sums = [sum(c[k] + 1 for k in every) for c in counts]
+    ratio = {}
+    for k in every:
+        p, q = counts[1][k] + 1, counts[0][k] + 1
+        r = math.log(p / sums[1]) - math.log(q / sums[0])
+        z = r * r / (1 / p + 1 / q)
+        ratio[k] = r * z * z / (z * z + toxicity.CERTAIN**4)
+    seen = {}
+    original = toxicity.least_loss
+
+    def watched(loss, start, **options):
+        seen["at start"] = loss(start)
+        seen["w"] = original(loss, start, **options)
+        return seen["w"]
+
+    toxicity.least_loss = watched
+    try:
+        model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    finally:
+        toxicity.least_loss = original
+    assert all(abs(model.weights[k] - seen["w"][k] * ratio[k]) < 1e-12 for k in every) and (seen["w"][:-1] != 0).sum() > 0.99 * len(every)
+    # the loss and its slopes where the fit begins, by loops
+    texts = sorted({x for x in rows if x[0] is not None})
+    share = (sum(y for _, y in texts) + 0.5) / (len(texts) + 1)
+    p = share
+    loss = sum(-math.log(p if y else 1 - p) for _, y in texts) / len(texts)
+    slope = Counter()
+    for text, y in texts:
+        for k in {b for w in set(text.lower().split()) for b in toxicity.gram_buckets([w])[1].tolist()}:
+            slope[k] += (p - y) * ratio[k] / len(texts)
+    assert abs(seen["at start"][0] - loss) < 1e-9 and all(abs(seen["at start"][1][k] - slope[k]) < 1e-9 for k in every)
+    docs = documents(spark, [(i, t) for i, (t, _) in enumerate(rows)])
+    for r in toxicity.score(docs.select("doc_id", "text"), model).collect():
+        own = {b for w in set((r.text or "").lower().split()) for b in toxicity.gram_buckets([w])[1].tolist()}
+        z = model.intercept + sum(model.weights[k] for k in own)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.5)
