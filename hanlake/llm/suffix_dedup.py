@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .common import U64, RollingHash, keyed, longs, mix, partitions, plainly_named, small_batches, stage, text_bytes, text_slices, trimmed
 
 LENGTH, GRAM = 400, 64
-BUCKET_RUNS = 50_000
+BUCKET_RUNS = 8_000
 SEGMENT = 1 << 23
 
 RUNS = "c long, f long, k_id long, k_text long, start int, stop int, anchor int"
