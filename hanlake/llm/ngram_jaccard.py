@@ -79,12 +79,13 @@ def set_hashes(values: np.ndarray, indptr: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- level 1: shingles as pivots
 #
 # Rows of all stages are packed: a row holds many sets' shingles for one logical partition, so Spark moves bytes, not
-# rows. A packed row is a count of sets, their ids, sizes and numbers of shingles, then 6 bytes for each shingle (its
-# partition gives the rest of it), and in the way back a byte for its rank.
+# rows. A packed row is a count of sets, their ids and numbers of shingles, then 6 bytes for each shingle (its
+# partition gives the rest of it), and in the way back a byte for its rank. Sizes go to the sets' partitions by themselves,
+# as a set's shingles are spread over the more rows the more partitions there are.
 
 ROUTED = "route int, kind int, node long, doc_id long, k_text long, n int, data binary"
-#: kinds of rows: a text and its set; shingles by partition; shingles known to be common, by set; which those are.
-TEXT, SHINGLES, COMMON, MARKS = 0, 1, 2, 3
+#: kinds of rows: a text and its set; shingles by partition; shingles known to be common, by set; which those are; sizes of sets.
+TEXT, SHINGLES, COMMON, MARKS, SIZES = 0, 1, 2, 3, 4
 FLUSH_SHINGLES, LOCAL_COMMON, RANK_COMMON = 500_000, 64, 255
 #: How many shingles are sorted at once where a partition's rows meet; the others wait in their packed form.
 AT_ONCE = 1_000_000
@@ -106,29 +107,49 @@ def _six(shingles: np.ndarray) -> bytes:
     return np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _pack(sets, sizes, owner, shingles, ranks=None) -> bytes:
-    """owner: for each shingle, its set's place in sets; in order. Only sets with shingles are written."""
+MOST = 65_535
+
+
+def _pack(sets, owner, shingles, ranks=None) -> bytes:
+    """owner: for each shingle, its set's place in sets; in order. Only sets with shingles are written; a long one as several."""
     places, counts = np.unique(owner, return_counts=True)
-    parts = [np.array([len(places)], "<i8"), sets[places].astype("<u8"), sizes[places].astype("<i4"), counts.astype("<i4")]
+    if counts.max(initial=0) > MOST:
+        times = -(-counts // MOST)
+        last = np.cumsum(times) - 1
+        rest = counts - (times - 1) * MOST
+        places, counts = np.repeat(places, times), np.full(times.sum(), MOST)
+        counts[last] = rest
+    parts = [np.array([len(places)], "<i8"), sets[places].astype("<u8"), counts.astype("<u2")]
     return b"".join([x.tobytes() for x in parts] + [_six(shingles)] + ([] if ranks is None else [ranks.astype(np.uint8).tobytes()]))
 
 
 def _unpack(data: bytes, route: int = 0, ranked: bool = False):
-    """(set, size, shingle, rank) of each packed shingle; the shingle's upper bytes are the partition's number."""
+    """(set, shingle, rank) of each packed shingle; the shingle's upper bytes are the partition's number."""
     n = int(np.frombuffer(data, "<i8", 1)[0])
     sets = np.frombuffer(data, "<u8", n, 8)
-    sizes, counts = np.frombuffer(data, "<i4", 2 * n, 8 + 8 * n).reshape(2, n)
-    at, total = 8 + 16 * n, int(counts.sum())
+    counts = np.frombuffer(data, "<u2", n, 8 + 8 * n).astype(np.int64)
+    at, total = 8 + 10 * n, int(counts.sum())
     low = np.zeros((total, 8), np.uint8)
     low[:, :6] = np.frombuffer(data, np.uint8, 6 * total, at).reshape(total, 6)
     shingles = low.view("<u8").ravel() | U64(route) << U64(48)
     ranks = np.frombuffer(data, np.uint8, total, at + 6 * total) if ranked else np.zeros(total, np.uint8)
-    return np.repeat(sets, counts), np.repeat(sizes, counts), shingles, ranks
+    return np.repeat(sets, counts), shingles, ranks
+
+
+def _pack_sizes(sets, sizes) -> bytes:
+    return sets.astype("<u8").tobytes() + sizes.astype("<i4").tobytes()
+
+
+def _unpack_sizes(data: bytes):
+    n = len(data) // 12
+    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<i4", n, 8 * n)
 
 
 def _flush(sets: list, sizes: list, shingles: list, parts: int, local_common: int) -> Iterator[pa.RecordBatch]:
     sets, sizes, values = np.concatenate(sets), np.concatenate(sizes), np.concatenate(shingles)
     owner = np.repeat(np.arange(len(sets)), sizes)
+    home = (sets % U64(parts)).astype(np.int64)
+    yield _rows(np.unique(home), SIZES, [_pack_sizes(sets[home == p], sizes[home == p]) for p in np.unique(home)])
     distinct, back, counts = np.unique(values, return_inverse=True, return_counts=True)
     common = counts[back] > local_common
     if common.any():
@@ -148,7 +169,7 @@ def _flush(sets: list, sizes: list, shingles: list, parts: int, local_common: in
     used, first = np.unique(to, return_index=True)
     ends = np.append(first[1:], len(to))
     for i in range(0, len(used), 64):
-        yield _rows(used[i : i + 64], SHINGLES, [_pack(sets, sizes, owner[a:b], values[a:b]) for a, b in zip(first[i : i + 64], ends[i : i + 64])])
+        yield _rows(used[i : i + 64], SHINGLES, [_pack(sets, owner[a:b], values[a:b]) for a, b in zip(first[i : i + 64], ends[i : i + 64])])
 
 
 def _unpack_common(data: bytes):
@@ -208,35 +229,33 @@ def _by_route(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 def _shared_slice(own: list[bytes], route: int, i: int, slices: int, marked: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     found = []
     for data in own:
-        sets, sizes, shingles, _ = _unpack(data, route)
+        sets, shingles, _ = _unpack(data, route)
         some = (shingles >> U64(8)) % U64(slices) == U64(i) if slices > 1 else slice(None)
-        found.append((sets[some], sizes[some], shingles[some]))
-    sets, sizes, shingles = (np.concatenate(x) for x in zip(*found))
+        found.append((sets[some], shingles[some]))
+    sets, shingles = (np.concatenate(x) for x in zip(*found))
     del found
     order = np.lexsort((sets, shingles))
-    sets, sizes, shingles = sets[order], sizes[order], shingles[order]
+    sets, shingles = sets[order], shingles[order]
     new = np.ones(len(sets), bool)
     new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
-    sets, sizes, shingles = sets[new], sizes[new], shingles[new]
+    sets, shingles = sets[new], shingles[new]
     distinct, back, counts = np.unique(shingles, return_inverse=True, return_counts=True)
     rank = np.minimum(8 * np.log2(counts), RANK_COMMON - 1).astype(np.uint8)
     if len(marked):
         rank[np.isin(distinct, marked)] = RANK_COMMON
     rank = rank[back]
     keep = rank > 0
-    sets, sizes, shingles, rank = sets[keep], sizes[keep], shingles[keep], rank[keep]
+    sets, shingles, rank = sets[keep], shingles[keep], rank[keep]
     to = (sets % U64(parts)).astype(np.int64)
     order = np.lexsort((sets, to))
-    to, sets, sizes, shingles, rank = to[order], sets[order], sizes[order], shingles[order], rank[order]
+    to, sets, shingles, rank = to[order], sets[order], shingles[order], rank[order]
     used, first = np.unique(to, return_index=True)
     ends = np.append(first[1:], len(to))
     for i in range(0, len(used), 64):
         out = []
         for a, b in zip(first[i : i + 64], ends[i : i + 64]):
             one, owner = np.unique(sets[a:b], return_inverse=True)
-            size = np.zeros(len(one), np.int64)
-            size[owner] = sizes[a:b]
-            out.append(int(route).to_bytes(2, "little") + _pack(one, size, owner, shingles[a:b], rank[a:b]))
+            out.append(int(route).to_bytes(2, "little") + _pack(one, owner, shingles[a:b], rank[a:b]))
         yield _rows(used[i : i + 64], SHINGLES, out)
 
 
@@ -247,6 +266,7 @@ def _shared(parts: int):
         for route, packed, texts in _by_route(batches):
             yield from texts
             yield from (_rows([i % parts], COMMON, [d]) for i, (kind, d) in enumerate(packed) if kind == COMMON)
+            yield from (_rows([route], SIZES, [d]) for kind, d in packed if kind == SIZES)
             own = [d for kind, d in packed if kind == SHINGLES]
             if not own:
                 continue
@@ -280,20 +300,32 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members_slice(packed: list[tuple[int, bytes]], i: int, slices: int, kinds: list, names: list[str]) -> Iterator[pa.RecordBatch]:
-    found = []
+    found, known = [], []
     for kind, d in packed:
-        columns = _unpack(d[2:], int.from_bytes(d[:2], "little"), True) if kind == SHINGLES else _unpack_common(d)
+        if kind == SIZES:
+            known.append(_unpack_sizes(d))
+            continue
+        if kind == SHINGLES:
+            columns = _unpack(d[2:], int.from_bytes(d[:2], "little"), True)
+        else:
+            sets, sizes, shingles, rank = _unpack_common(d)
+            columns = sets, shingles, rank
+            known.append((sets, sizes))
         some = (columns[0] >> U64(32)) % U64(slices) == U64(i) if slices > 1 else slice(None)
         found.append([x[some] for x in columns])
-    sets, sizes, shingles, rank = (np.concatenate(x) for x in zip(*found))
+    if not found:
+        return
+    sets, shingles, rank = (np.concatenate(x) for x in zip(*found))
+    size_sets, at = np.unique(np.concatenate([x for x, _ in known]), return_index=True)
+    sizes = np.concatenate([x for _, x in known])[at]
     del found
     order = np.lexsort((shingles, rank, sets))
-    sets, sizes, shingles = sets[order], sizes[order], shingles[order]
+    sets, shingles = sets[order], shingles[order]
     new = np.ones(len(sets), bool)
     new[1:] = (shingles[1:] != shingles[:-1]) | (sets[1:] != sets[:-1])
-    sets, sizes, shingles = sets[new], sizes[new], shingles[new]
+    sets, shingles = sets[new], shingles[new]
     own, first, counts = np.unique(sets, return_index=True, return_counts=True)
-    size = sizes[first].astype(np.int64)
+    size = sizes[np.searchsorted(size_sets, own)].astype(np.int64)
     keep = np.flatnonzero(4 * counts >= 3 * size)
     quota = size // 4 + 1 - (size - counts)
     raw = shingles.astype("<u8").tobytes()

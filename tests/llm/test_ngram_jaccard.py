@@ -116,3 +116,18 @@ def test_one_large_group_as_tables(spark, bound):
     rows += [(500, " ".join(chains[0] + chains[1])), (501, None), (None, rows[0][1])]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.ngram_jaccard_components(documents(spark, rows), block_shingles=bound).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_packed_rows_come_back():
+    """Also a set with more shingles than fit one entry."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sizes = [3, nj.MOST, 1, 2 * nj.MOST + 5, 0, 7]
+    owner = np.repeat(np.arange(6), sizes)
+    sets = rng.integers(1, 2**63, 6).astype(np.uint64)
+    shingles = rng.integers(0, 2**48, len(owner)).astype(np.uint64)
+    ranks = rng.integers(0, 255, len(owner)).astype(np.uint8)
+    got = nj._unpack(nj._pack(sets, owner, shingles, ranks), 5, True)
+    assert (got[0] == sets[owner]).all() and (got[1] == shingles + (np.uint64(5) << np.uint64(48))).all() and (got[2] == ranks).all()
+    assert all((x == y).all() for x, y in zip(nj._unpack_sizes(nj._pack_sizes(sets, np.array(sizes))), (sets, sizes)))
