@@ -151,12 +151,17 @@ def _form(name: str):
     return form
 
 
+def _formed(name: str, c: Column) -> Column:
+    """Text of ASCII only is in all forms; Python sees the other texts alone."""
+    return F.coalesce(_form(name)(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def nfc(c: str | Column) -> Column:
-    return _form("NFC")(col(c))
+    return _formed("NFC", col(c))
 
 
 def nfd(c: str | Column) -> Column:
-    return _form("NFD")(col(c))
+    return _formed("NFD", col(c))
 
 
 #: Vowels with the four tone marks of Pinyin, and the plain vowels.

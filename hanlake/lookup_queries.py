@@ -458,3 +458,60 @@ def jon08_component_stroke_sums(look, spark, d):
     sums = edges.groupBy(CH).agg(F.sum("StrokeCount").alias("whole"), F.count("*").alias("n")).where("n = 2")
     own = counts.select(CH, F.col("StrokeCount").cast("long").alias("own"))
     return sums.join(own, CH, "left").select(F.col(CH).alias("character"), "own", "whole")
+
+
+# ---------------------------------------------------------------- groups, orders and sets that lookups need
+
+
+@lookup("SELECT character, string_agg('⿰' || a || b, ' ' ORDER BY place) AS entries FROM (SELECT DISTINCT ⟦19968 + l_partkey % 2000⟧ AS character, l_linenumber AS place, ⟦20000 + l_linenumber⟧ AS a, ⟦30000 + l_linenumber⟧ AS b FROM {lineitem}) GROUP BY 1")
+def agg01_ordered_groups(look, spark, d):
+    """All decompositions of a character in the order of their numbers."""
+    rows = made(spark, d, "SELECT DISTINCT ⟦19968 + l_partkey % 2000⟧ AS ChineseCharacter, 0 AS Glyph, l_linenumber AS SubIndex, '⿰' || ⟦20000 + l_linenumber⟧ || ⟦30000 + l_linenumber⟧ AS Decomposition FROM {lineitem}")
+    found = CharacterLookup(Catalog({"CharacterDecomposition": rows})).decompositions()
+    return found.select(F.col(CH).alias("character"), F.array_join(F.transform("entries", lambda x: ids.write(x)), " ").alias("entries"))
+
+
+@lookup("""SELECT ChineseCharacter AS character, Glyph AS glyph, string_agg(RadicalIndex || ':' || n, ' ' ORDER BY RadicalIndex) AS forms FROM (
+SELECT ChineseCharacter, Glyph, RadicalIndex, count(*) AS n FROM CharacterRadicalResidualStrokeCount WHERE ChineseCharacter IN (SELECT ChineseCharacter FROM Asked) AND Glyph = 1 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def agg02_nested_groups(look, spark, d):
+    """Radical -> its forms in a character, for characters of a list."""
+    rows = look.radical_residual_maps(asked(spark, d).withColumn("Glyph", F.lit(1)))
+    shown = F.transform(F.map_entries("radicals"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.size(e["value"]).cast("string")))
+    return rows.select(F.col(CH).alias("character"), F.col("Glyph").alias("glyph"), F.array_join(shown, " ").alias("forms"))
+
+
+@lookup("SELECT RadicalIndex AS radical, ResidualStrokeCount AS residual, string_agg(DISTINCT ChineseCharacter, '' ORDER BY ChineseCharacter) AS characters FROM CharacterResidualStrokeCount WHERE RadicalIndex IN (SELECT RadicalIndex FROM AskedRadical) GROUP BY 1, 2")
+def agg05_sets_by_residual_strokes(look, spark, d):
+    from .operators import reports
+
+    rows = reports.characters_by_residual(look, made_table(spark, d, "AskedRadical"), kangxi_only=False)
+    return rows.select(F.col("RadicalIndex").alias("radical"), F.col("ResidualStrokeCount").alias("residual"), F.array_join("characters", "").alias("characters"))
+
+
+@lookup(f"""{_BELOW}, found AS (SELECT DISTINCT t.c FROM b JOIN Heap t ON t.p = b.top WHERE b.p IN (64, 65, 66, 67, 70, 75, 80, 90, 99) AND b.top <> b.p)
+SELECT c AS character FROM found LEFT JOIN StrokeCount s ON s.ChineseCharacter = c AND s.Glyph = 0 ORDER BY s.StrokeCount NULLS FIRST, c LIMIT 10""")
+def srt03_order_by_a_column_not_shown(look, spark, d):
+    """The ten characters of fewest strokes that have one of some components; the strokes aren't in the answer."""
+    look.ordered = True
+    parts = [chr(19968 + i) for i in (64, 65, 66, 67, 70, 75, 80, 90, 99)]
+    own = CharacterLookup(Catalog({"ComponentLookup": look.catalog["ComponentLookup"], "StrokeCount": look.catalog["StrokeCount"], "Glyphs": look.catalog["Glyphs"].limit(0)}), ordered=True)
+    return own.characters_for_components([parts], expand=False).limit(10).select(F.col(CH).alias("character"))
+
+
+@query("SELECT c_custkey, unicode(c) IS NOT NULL AS han FROM (SELECT c_custkey, chr((19968 + c_custkey * 11 % 24000)::INTEGER) AS c FROM customer) WHERE unicode(c) <= 40907")
+def set04_union_of_ranges(spark, d):
+    """The Unicode domain is put together of ranges."""
+    from .plans.catalog import unicode_domain
+
+    rows = made(spark, d, "SELECT c_custkey, ⟦19968 + c_custkey * 11 % 24000⟧ AS ChineseCharacter FROM {customer}")
+    return rows.join(unicode_domain(spark), CH, "left_semi").select("c_custkey", F.lit(True).alias("han"))
+
+
+@lookup("""WITH w AS (SELECT ChineseCharacter, RadicalIndex FROM CharacterResidualStrokeCount), u AS (SELECT ⟦19968 + p_partkey % 2000⟧ AS c, 1 + p_partkey % 214 AS r, p_size AS n FROM {part})
+SELECT c AS character, r AS radical, n AS residual FROM u WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.ChineseCharacter = u.c AND w.RadicalIndex = u.r)""")
+def jon11_unseen_keys(look, spark, d):
+    """Unihan's counts of (character, radical) that the decompositions don't know."""
+    wide = made(spark, d, "SELECT ⟦19968 + p_partkey % 2000⟧ AS ChineseCharacter, (1 + p_partkey % 214) || '.' || p_size AS kRSKangXi FROM {part}")
+    known = look.catalog["CharacterRadicalResidualStrokeCount"]
+    rows = derive.residual_stroke_counts(known, wide).join(derive.residual_stroke_counts(known), [CH, "Glyph", "RadicalIndex"], "left_anti")
+    return rows.select(F.col(CH).alias("character"), F.col("RadicalIndex").alias("radical"), F.col("ResidualStrokeCount").alias("residual"))

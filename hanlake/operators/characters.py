@@ -14,7 +14,7 @@ from ..functions import ids, text
 from ..plans.catalog import CHARACTER as CH
 from ..plans.catalog import Catalog, unicode_domain
 from ..plans.derive import closure, first_per_group, stroke_count_of
-from ..plans.rounds import fixpoint, written
+from ..plans.rounds import fixpoint, sized, written
 from .readings import convert
 
 LOCALES = "TCJKV"
@@ -38,7 +38,7 @@ def default_of(keys: DataFrame, preferred: DataFrame, all_values: DataFrame, on:
 def all_slots(rows: DataFrame, slots: DataFrame, key: Sequence[str], slot: str, value: str) -> DataFrame:
     """Keys that have, for every slot, one of the slot's values: relational division by counting met slots."""
     wanted = slots.select(slot).distinct().count()
-    met = rows.join(F.broadcast(slots.select(slot, value).distinct()), value)
+    met = rows.join(sized(slots.select(slot, value).distinct()), value)
     return met.groupBy(*key).agg(F.count_distinct(slot).alias("_met")).where(F.col("_met") == wanted).drop("_met")
 
 
@@ -171,9 +171,11 @@ class CharacterLookup:
 
     def stroke_forms(self, orders: DataFrame) -> DataFrame:
         """Adds Strokes, an array of stroke characters, null where a stroke is unknown."""
-        pairs = self.catalog["Strokes"].agg(F.map_from_entries(F.collect_list(F.struct("StrokeAbbrev", "Stroke"))).alias("_m"))
-        split = F.split("StrokeOrder", "[ -]")
-        return orders.crossJoin(F.broadcast(pairs)).withColumn("Strokes", F.transform(split, lambda s: F.try_element_at(F.col("_m"), s))).drop("_m")
+        pairs = [tuple(r) for r in self.catalog["Strokes"].select("StrokeAbbrev", "Stroke").limit(1001).collect()]
+        if len(pairs) > 1000:
+            raise ValueError("more than 1000 kinds of strokes")
+        forms = F.create_map(*(F.lit(x) for pair in pairs for x in pair)) if pairs else F.lit(None).cast("map<string,string>")
+        return orders.withColumn("Strokes", F.transform(F.split("StrokeOrder", "[ -]"), lambda s: F.try_element_at(forms, s)))
 
     # radicals
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +34,11 @@ def written(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def sized(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """rows with a hint for joins: broadcast where they are at most ``most`` (counted), else merged by shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows.hint("merge")
+
+
 #: Rounds after which a fixpoint that still finds new rows is taken to go round in circles.
 ROUNDS = 512
 

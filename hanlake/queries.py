@@ -314,43 +314,12 @@ def jon07_component_search(spark, d):
     return ch.all_slots(table(spark, d, "lineitem").select("l_orderkey", "l_returnflag"), slots, ["l_orderkey"], "slot", "l_returnflag")
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 3)")
-def jon11_unseen_keys(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").where("l_linenumber > 3").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-
-
-@query("SELECT l_orderkey, string_agg(l_linenumber || ':' || l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_returnflag) AS entries FROM lineitem GROUP BY 1")
-def agg01_ordered_group(spark, d):
-    g = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(g, lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_returnflag"])), " ").alias("entries"))
-
-
-@query("""SELECT o_custkey, string_agg(o_orderstatus || '=' || keys, ';' ORDER BY o_orderstatus) AS nested
-FROM (SELECT o_custkey, o_orderstatus, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1, 2) GROUP BY 1""")
-def agg02_nested_groups(spark, d):
-    inner = table(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("keys"))
-    nested = F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderstatus", "keys"))))
-    return inner.groupBy("o_custkey").agg(nested.alias("m")).select("o_custkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("nested"))
-
-
-@query("SELECT p_size, string_agg(DISTINCT p_brand, ' ' ORDER BY p_brand) AS brands FROM part GROUP BY 1")
-def agg05_sets_by_count(spark, d):
-    return table(spark, d, "part").groupBy("p_size").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), " ").alias("brands"))
-
-
 @query("SELECT c_nationkey, c_mktsegment AS segment FROM (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS n FROM customer GROUP BY 1, 2) WHERE n = 1")
 def agg10_vote_with_tie_break(spark, d):
     counts = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg((-F.count("*")).alias("votes"))
     return derive.first_per_group(counts, ["c_nationkey"], ["votes", "c_mktsegment"]).select("c_nationkey", F.col("c_mktsegment").alias("segment"))
 
 
-@query("SELECT initial, " + ", ".join(f"min(CASE WHEN final = '{f}' THEN pinyin END) AS f_{f}" for f in ("a", "an", "uo", "ei")) + f" FROM {values(*((s[0], s[2], s[3]) for s in SYLLABLES))} t(pinyin, initial, final) WHERE final IN ('a', 'an', 'uo', 'ei') GROUP BY 1")
-def agg12_syllable_table(spark, d):
-    rows = spark.createDataFrame([(s[0], s[2], s[3]) for s in SYLLABLES], "pinyin string, initial string, final string")
-    finals = ["a", "an", "uo", "ei"]
-    return rows.where(F.col("final").isin(finals)).groupBy("initial").pivot("final", finals).agg(F.min("pinyin")).select("initial", *(F.col(f).alias(f"f_{f}") for f in finals))
-
-
 @query("SELECT l_orderkey, coalesce(min(CASE WHEN l_returnflag = 'N' THEN l_linenumber END), min(l_linenumber)) AS glyph FROM lineitem GROUP BY 1")
 def lkp10_default_glyph(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber").withColumnRenamed("l_linenumber", "glyph")
@@ -366,11 +335,6 @@ def lkp27_three_step_fallback(spark, d):
     return ch.three_step(keys, "k", "v", step("P"), step("F"), keys.where("k % 2 = 0").select("k", F.lit(-1).cast("long").alias("v")))
 
 
-@query("SELECT o_custkey AS k, min(o_totalprice) AS least FROM orders GROUP BY 1 ORDER BY 2, 1 LIMIT 50")
-def srt03_sort_key_beside_distinct(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_totalprice").alias("least")).orderBy("least", "k").limit(50)
-
-
 @query("SELECT p_partkey, p_name FROM (SELECT * FROM part WHERE lower(p_name) LIKE '%ring%' ORDER BY p_name, p_partkey LIMIT 200) WHERE p_size > 10")
 def srt04_limit_then_filter(spark, d):
     return dic.limit_then_filter(table(spark, d, "part"), F.lower("p_name").like("%ring%"), F.col("p_size") > 10, 200, ["p_name", "p_partkey"]).select("p_partkey", "p_name")
@@ -382,11 +346,6 @@ def set02_union_of_three(spark, d):
     return derive.union_distinct(one("customer", "c_nationkey"), one("supplier", "s_nationkey"), one("nation", "n_regionkey + 100"))
 
 
-@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
-def set04_union_all(spark, d):
-    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).unionAll(table(spark, d, "supplier").select("s_nationkey"))
-
-
 # ---------------------------------------------------------------- dictionary search
 
 
