@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stage
+from .common import small_batches, stage, trimmed
 from .linear import fit_shrunk
 
 BUCKETS, SAMPLE, WORDS = 1 << 14, 8_000, 100_000
@@ -127,7 +127,12 @@ class Model:
     intercept: float
 
 
+BALLOTS = "doc_id long, k_text long, draw long, pattern int, buckets array<int>, shares array<double>"
+
+
 def _ballots(share: int):
+    """Votes of all texts, and features of those whose draw is under share."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Buckets()
         for batch in batches:
@@ -139,49 +144,81 @@ def _ballots(share: int):
                 k, v = _features(words, table) if draw < share else (None, None)
                 keys.append(k)
                 values.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("k_text"), pa.array(pattern, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["k_text", "pattern", "buckets", "shares"])
+            arrays = [*(batch.column(c) for c in ("doc_id", "k_text", "draw")), pa.array(pattern, pa.int32()), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "k_text", "draw", "pattern", "buckets", "shares"])
 
     return of
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Votes of all rows, as counts of patterns, and features of a bounded sample reach the driver."""
+ALL = 1 << 30
+
+
+def _cast(docs: DataFrame, share: int) -> DataFrame:
+    """Ballots of docs (doc_id, text), written to the shared folder."""
     small_batches(docs.sparkSession)
-    count = docs.count()
-    share = 1 << 30 if count <= sample else int(sample / count * (1 << 30))
-    drawn = docs.select("text", F.xxhash64("text").alias("k_text"), F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1 << 30)).alias("draw"))
-    ballots = stage(drawn.mapInArrow(_ballots(share), "k_text long, pattern int, buckets array<int>, shares array<double>"), "ballots")
+    drawn = docs.select("doc_id", "text", F.xxhash64("text").alias("k_text"), F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(ALL)).alias("draw"))
+    return stage(drawn.mapInArrow(trimmed(_ballots(share)), BALLOTS), "ballots")
+
+
+def _share(count: int, sample: int) -> int:
+    return ALL if count <= sample else int(sample / count * ALL)
+
+
+def _fit(ballots: DataFrame, share: int) -> Model:
     posterior = posteriors({r["pattern"]: r["count"] for r in ballots.groupBy("pattern").count().collect()})
-    taught = sorted(tuple(r) for r in ballots.where("buckets is not null").dropDuplicates(["k_text"]).drop("k_text").collect())
+    taught = ballots.where(F.col("draw") < share).dropDuplicates(["k_text"]).select("pattern", "buckets", "shares")
+    taught = sorted(tuple(r) for r in taught.collect())
     weights, intercept = fit_shrunk([r[1] for r in taught], [r[2] for r in taught], np.array([posterior[r[0]] for r in taught]), BUCKETS, l2=1e-5, steps=600)
     return Model(posterior, {int(i): float(weights[i]) for i in np.flatnonzero(weights)}, intercept)
 
 
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Votes of all rows, as counts of patterns, and features of a bounded sample reach the driver."""
+    share = _share(docs.count(), sample)
+    return _fit(_cast(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), share), share)
+
+
+def _logit(model: Model, keys, values) -> float:
+    return model.intercept + sum(model.weights.get(k, 0.0) * v for k, v in zip(keys, values))
+
+
+def _verdicts(z: list[float]) -> tuple[pa.Array, pa.Array]:
+    scores = 1 / (1 + np.exp(-np.clip(np.array(z, float), -40, 40)))
+    return pa.array(scores), pa.array(scores >= 0.5)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with ``weak_label`` (posterior of the votes), ``score`` (the scorer's) and ``kept`` (score from 0.5 up)."""
     small_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name not in ("weak_label", "score", "kept")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights = _Buckets(), model.weights
+        table = _Buckets()
         for batch in batches:
             weak, z = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 words = text.split()
                 weak.append(model.posterior.get(votes(text, words)))
-                z.append(model.intercept + sum(weights.get(k, 0.0) * v for k, v in zip(*_features(words, table))))
-            scores = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
+                z.append(_logit(model, *_features(words, table)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in kept] + [pa.array(weak, pa.float64()), pa.array(scores), pa.array(scores >= 0.5)],
+                [batch.column(f.name) for f in kept] + [pa.array(weak, pa.float64()), *_verdicts(z)],
                 names=[*(f.name for f in kept), "weak_label", "score", "kept"],
             )
 
     schema = T.StructType([*kept, *T.StructType.fromDDL("weak_label double, score double, kept boolean")])
-    return docs.select([f.name for f in kept]).mapInArrow(of, schema)
+    return docs.select([f.name for f in kept]).mapInArrow(trimmed(of), schema)
+
 
+def quality_scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, weak_label, score, kept. Each text is read once: the scorer works on the written features."""
+    ballots = _cast(docs.select("doc_id", "text"), ALL)
+    model = _fit(ballots, _share(ballots.count(), sample))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weak = [model.posterior.get(p) for p in batch.column("pattern").to_pylist()]
+            z = [_logit(model, k, v) for k, v in zip(batch.column("buckets").to_pylist(), batch.column("shares").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weak, pa.float64()), *_verdicts(z)], names=["doc_id", "weak_label", "score", "kept"])
 
-def quality_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, weak_label, score, kept."""
-    rows = docs.select("doc_id", "text")
-    return score(rows, fit(rows))
+    return ballots.select("doc_id", "pattern", "buckets", "shares").mapInArrow(trimmed(of), "doc_id long, weak_label double, score double, kept boolean")
