@@ -38,11 +38,11 @@ def format_codepoint(c: str | Column) -> Column:
 
 
 def in_ranges(c: str | Column, ranges: list[tuple[int, int]]) -> Column:
-    """Whether the first character lies in one of the code point ranges, ends included."""
-    code = codepoint(c)
+    """Whether the first character lies in one of the code point ranges, ends included. Text is compared by code points."""
+    one = F.substring(col(c), 1, 1)
     found = F.lit(False)
     for low, high in ranges:
-        found = found | code.between(low, high)
+        found = found | one.between(chr(low), chr(high))
     return found
 
 
@@ -81,8 +81,8 @@ def script_runs(c: str | Column, script: str) -> Column:
 
 
 def is_surrogate(c: str | Column) -> Column:
-    """Whether a character is half of a pair. Text here is of whole code points, so none of it is."""
-    return in_ranges(c, [(0xD800, 0xDFFF)])
+    """Whether a character is half of a pair. Text here is of whole code points, so none of it is; null for null."""
+    return F.when(col(c).isNotNull(), F.lit(False))
 
 
 _TITLE = r"(?U)^([.˳｡￮₀ₒ]?\W*)(\w)(?s:(.*))$"
