@@ -956,88 +956,98 @@ def convert(c: Column, converter) -> Column:
 # ---------------------------------------------------------------- guessing how a text is written
 
 
-def _most(votes: Mapping[str, int], order: Sequence[str], default: str) -> str:
-    """The kind with most votes, of equal ones the first in order; the default without votes."""
-    best = max(order, key=lambda k: (votes.get(k, 0), -order.index(k)))
-    return best if votes.get(best, 0) else default
+#: Apostrophes in the order in which they are looked for, and marks of optional neutral tones.
+APOSTROPHES = ("'", "’", "´", "‘", "`", "ʼ", "ˈ", "′", "ʻ")
+OPTIONAL_MARKS = ("˳", "｡", "￮", "₀", "ₒ")
 
 
-def guess_pinyin(text: str, inventory: Iterable[str] = ()) -> dict:
-    """How Pinyin is written: tone marks as diacritics or numbers, the vowel ü, short forms of ng, zh, ch, sh, apostrophes, r."""
+def _first(signs: Sequence[str], text: str, default: str) -> str:
+    return next((x for x in signs if x in text), default)
+
+
+def _most(votes: Mapping[str, int], default: str) -> str:
+    """The kind with most votes, of equal ones the first; the default without votes."""
+    best = max(votes, key=votes.get)
+    return best if votes[best] else default
+
+
+def _marked(runs: int, diacritics: int, numbers: int, include_toneless: bool) -> str:
+    """Diacritics if more runs have them than have numbers. Without either the text is taken for numbers that were left out, or,
+    with include_toneless, for toneless where under a tenth of all runs has a tone."""
+    if include_toneless and max(diacritics, numbers) * 10 < runs:
+        return "none"
+    return "diacritics" if diacritics > numbers else "numbers"
+
+
+def guess_pinyin(text: str, include_toneless: bool = False) -> dict:
+    """How Pinyin is written: tone marks as diacritics or numbers, the vowel ü, short forms of ng, zh, ch, sh, apostrophes, and,
+    for numbers, r as a syllable of its own or not."""
     text = nfc(text).lower()
     runs = re.findall(r"[a-zêüŋẑĉŝ\u0300-\u036f\u00e0-\u01dc:]+[0-5]?", text)
-    marks = {"diacritics": sum(bool(re.search("[\u0300\u0301\u0304\u030c]", nfd(r))) for r in runs), "numbers": sum(r[-1].isdigit() for r in runs)}
-    kind = _most(marks, ["diacritics", "numbers"], "none" if runs else "diacritics")
-    if kind == "numbers" and marks["numbers"] * 2 < marks["diacritics"]:
-        kind = "diacritics"
-    vowels = {v: len(re.findall(rf"[nl]{re.escape(v)}(?![a-df-mo-z])", text)) for v in ("v", "u:", "ü")}
-    short = bool(re.search("[ŋẑĉŝ]", text))
-    signs = {s: text.count(s) for s in ("'", "’", "´", "‘", "`", "ʼ", "-")}
-    joined = len(re.findall(r"(?<!e)[a-zü][0-5]?r(?:[0-5]|\b)", nfc(re.sub("[\u0300\u0301\u0304\u030c]", "", nfd(text)))))
-    apart = len(re.findall(r"\br5?\b", text))
+    kind = _marked(len(runs), sum(bool(re.search("[\u0300\u0301\u0304\u030c]", nfd(r))) for r in runs), sum(r[-1].isdigit() for r in runs), include_toneless)
+    bare = nfc(re.sub("[\u0300\u0301\u0304\u030c]", "", nfd(text)))
+    vowels = {v: len(re.findall(rf"[nl]{re.escape(v)}(?![a-df-mo-z])", bare)) for v in ("ü", "v", "u:")}
+    joined, apart = len(re.findall(r"(?<!e)[a-zü]r[1-5]", text)), len(re.findall(r"(?<![a-zü])r5?(?![a-zü])", text))
     return {
-        "toneMarkType": kind, "yVowel": _most(vowels, ["ü", "u:", "v"], "ü"), "shortenedLetters": short,
-        "pinyinApostrophe": _most(signs, ["'", "’", "´", "‘", "`", "ʼ", "-"], "'"), "erhua": "oneSyllable" if joined > apart else "twoSyllables",
+        "toneMarkType": kind, "yVowel": _most(vowels, "ü"), "shortenedLetters": bool(re.search("[ŋẑĉŝ]", text)), "pinyinApostrophe": _first(APOSTROPHES, text, "'"),
+        "erhua": "oneSyllable" if kind == "numbers" and joined > apart else "twoSyllables",
     }
 
 
-def guess_wade_giles(text: str, inventory: Iterable[str] = ()) -> dict:
-    """How Wade-Giles is written: the apostrophe of aspiration, tones as plain or raised numbers, ê, ŭ, the final -yi, the vowel ü."""
+def guess_wade_giles(text: str, include_toneless: bool = False) -> dict:
+    """How Wade-Giles is written: the apostrophe of aspiration, tones as plain or raised numbers, the neutral tone as zero, five or
+    nothing, ê, ŭ, ü, and sz for ss at the beginning. Without any tone, the neutral tone is taken to be marked, so that none is given."""
     text = nfc(text).lower()
-    signs = {s: len(re.findall(f"(?:k|p|t|ch|ts|tz){re.escape(s)}", text)) for s in ("’", "'", "‘", "`", "ʻ")}
-    marks = {"superscriptNumbers": len(re.findall("[a-zêŭü][¹²³⁴⁵]", text)), "numbers": len(re.findall("[a-zêŭü][1-5]", text))}
-    e = {"ê": len(re.findall("ê", text)), "e": len(re.findall("(?<![iyü])en|(?<![a-z])e", text))}
-    u = {"ŭ": len(re.findall("(?:ts|tz|s)[‘’'`ʻ]?ŭ", text)), "u": len(re.findall("(?:tz|ss|ts[‘’'`ʻ]?)u(?![a-z])", text))}
+    sign = f"[{''.join(APOSTROPHES)}]?"
+    plain, raised = re.findall("(?<=[a-zêŭǔü])[0-5]", text), re.findall("(?<=[a-zêŭǔü])[⁰¹²³⁴⁵]", text)
+    zero, five = plain.count("0") + raised.count("⁰"), plain.count("5") + raised.count("⁵")
+    final = re.search(f"(?:tz|ss|sz){sign}([ŭǔu])", text)
     return {
-        "wadeGilesApostrophe": _most(signs, ["’", "'", "‘", "`", "ʻ"], "’"),
-        "toneMarkType": _most(marks, ["superscriptNumbers", "numbers"], "none" if re.search("[a-z]", text) else "superscriptNumbers"),
-        "diacriticE": _most(e, ["ê", "e"], "ê"), "zeroFinal": _most(u, ["ŭ", "u"], "ŭ"), "umlautU": "ü" if "ü" in text or not re.search("yu(?![a-z])", text) else "u",
-    }
+        "wadeGilesApostrophe": _first(APOSTROPHES, text, "’"), "toneMarkType": "numbers" if len(plain) > len(raised) else "superscriptNumbers",
+        "neutralToneMark": "zero" if zero > five or not plain and not raised else "five" if five else "none",
+        "diacriticE": "e" if "ê" not in text and re.search(f"(?<![a-z])(?:(?:ch|hs|sh|ts|[pmftnlkhjyw]){sign})?e(?:ng|n|rh)?(?![a-z])", text) else "ê",
+        "zeroFinal": "ŭ" if "ŭ" in text or not final else final[1],
+        "umlautU": "u" if "ü" not in text and re.search(f"hs{sign}u|(?<![a-z])y(?!u)[a-z]*u|ueh|uo(?![a-z])", text) else "ü",
+        "useInitialSz": bool(re.search("(?<![a-z])sz", text)),
+    }
 
 
-def guess_yale(text: str, inventory: Iterable[str] = ()) -> dict:
-    """How Cantonese Yale is written: with diacritics, or numbers (or nothing) behind the syllables."""
-    text = nfd(text.lower())
-    marks = {"diacritics": len(re.findall("[\u0300\u0301\u0304]", text)), "numbers": len(re.findall("[a-z][1-6]", text))}
-    return {"toneMarkType": _most(marks, ["diacritics", "numbers"], "none" if re.search("[a-z]", text) else "diacritics")}
+def guess_yale(text: str, include_toneless: bool = False) -> dict:
+    """How Cantonese Yale is written: with diacritics (an h behind the vowels counts as one), or numbers (or nothing) behind the syllables."""
+    runs = re.findall("[a-z\u0300\u0301\u0304]+[1-6]?", nfd(text.lower()))
+    numbers = sum(r[-1].isdigit() for r in runs)
+    marked = sum(not r[-1].isdigit() and ("h" in r[1:] or bool(re.search("[\u0300\u0301\u0304]", r))) for r in runs)
+    return {"toneMarkType": _marked(len(runs), marked, numbers, include_toneless)}
 
 
-def guess_gr(text: str, inventory: Iterable[str] = ()) -> dict:
+def guess_gr(text: str, include_toneless: bool = False) -> dict:
     """How Gwoyeu Romatzyh is written: its apostrophes, and the mark of an optional neutral tone."""
-    signs = {s: text.count(s) for s in ("’", "'", "´", "‘", "`", "ʼ")}
-    sign = _most(signs, list(signs), "’")
-    marks = {s: len(re.findall(rf"{re.escape(s)}[A-Za-z]", text)) for s in ("˳", "｡", "￮", "₀", "ₒ")}
-    return {"grRhotacisedFinalApostrophe": sign, "grSyllableSeparatorApostrophe": sign, "optionalNeutralToneMarker": _most(marks, list(marks), "˳")}
+    sign = _first(APOSTROPHES, text, "’")
+    return {"grRhotacisedFinalApostrophe": sign, "grSyllableSeparatorApostrophe": sign, "optionalNeutralToneMarker": _first(OPTIONAL_MARKS, text, "˳")}
 
 
-def guess_ipa(text: str, inventory: Iterable[str] = ()) -> dict:
+def guess_ipa(text: str, include_toneless: bool = False) -> dict:
     """How tones are written in IPA: bars, digits of contours or numbers, plain or raised."""
-    bars, plain, raised = len(re.findall("[˥˦˧˨˩]+", text)), re.findall(r"(?<!\d)\d+", text), re.findall("[⁰¹²³⁴⁵⁶⁷⁸⁹]+", text)
-    votes = {
-        "ipaToneBar": bars, "chaoDigits": sum(len(x) > 1 for x in plain), "superscriptChaoDigits": sum(len(x) > 1 for x in raised),
-        "numbers": sum(len(x) == 1 for x in plain), "superscriptNumbers": sum(len(x) == 1 for x in raised),
-    }
-    if votes["chaoDigits"]:
-        votes["chaoDigits"] += votes.pop("numbers")
-    if votes["superscriptChaoDigits"]:
-        votes["superscriptChaoDigits"] += votes.pop("superscriptNumbers")
-    return {"toneMarkType": _most(votes, ["ipaToneBar", "chaoDigits", "superscriptChaoDigits", "numbers", "superscriptNumbers"], "none")}
+    plain, raised = re.findall(r"(?<!\d)[0-9]+", text), re.findall("[⁰¹²³⁴⁵⁶⁷⁸⁹]+", text)
+    many = lambda found: any(len(x) > 1 for x in found)
+    votes = {"ipaToneBar": len(re.findall("[˥˦˧˨˩]+", text)), "chaoDigits" if many(plain) else "numbers": len(plain), "superscriptChaoDigits" if many(raised) else "superscriptNumbers": len(raised)}
+    return {"toneMarkType": _most(votes, "none")}
 
 
 GUESSES = {"Pinyin": guess_pinyin, "WadeGiles": guess_wade_giles, "CantoneseYale": guess_yale, "GR": guess_gr, "MandarinIPA": guess_ipa, "CantoneseIPA": guess_ipa, "ShanghaineseIPA": guess_ipa}
 
 
-def guess_dialect(name: str, text: str) -> dict:
-    """The options of a reading that a text is written with, by what votes for each; readings written in one way have none."""
-    return GUESSES[name](text) if name in GUESSES else {}
+def guess_dialect(name: str, text: str, include_toneless: bool = False) -> dict:
+    """The options of a reading that a text is written with, by what speaks for each; readings written in one way have none."""
+    return GUESSES[name](text, include_toneless) if name in GUESSES else {}
 
 
-def guess_column(name: str, c: Column) -> Column:
+def guess_column(name: str, c: Column, include_toneless: bool = False) -> Column:
     """guess_dialect() of each text, as a map of texts."""
 
     @F.pandas_udf("map<string,string>")
     def udf(values: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else {k: str(v) for k, v in guess_dialect(name, x).items()} for x in values], dtype=object)
+        return pd.Series([None if x is None else {k: str(v) for k, v in guess_dialect(name, x, include_toneless).items()} for x in values], dtype=object)
 
     return udf(c)
 

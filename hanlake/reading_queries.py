@@ -142,7 +142,7 @@ def rdo16_guessed_tone_marks(spark, d):
     r, (numbers, marks) = _numbered(spark, d), _numbers_and_marks()
     rows = r.join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").withColumn("m", rd.convert(F.col("Reading"), rd.respelling(numbers, marks))["value"])
     written = F.when(F.col("p_size") % 3 == 0, F.concat("m", F.lit(" hǎo, Bei"))).when(F.col("p_size") % 3 == 1, F.concat("Reading", F.lit(" hao3!"))).otherwise(F.concat(F.regexp_replace("Reading", r"\d", ""), F.lit(" hao")))
-    return rows.select("p_partkey", rd.guess_column("Pinyin", written)["toneMarkType"].alias("tones"))
+    return rows.select("p_partkey", rd.guess_column("Pinyin", written, include_toneless=True)["toneMarkType"].alias("tones"))
 
 
 @query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'v' WHEN 1 THEN 'u:' ELSE 'ü' END AS vowel, CASE WHEN p_size % 2 = 0 THEN '''' ELSE '’' END AS sign FROM part")

@@ -48,10 +48,11 @@ def test_similar_sequences(spark):
 def test_guessed_dialects():
     g = rd.guess_dialect
     assert g("Pinyin", "Wǒ shì lǜshī")["toneMarkType"] == "diacritics" and g("Pinyin", "lü4shi1")["yVowel"] == "ü" and g("Pinyin", "nu:3ren2")["yVowel"] == "u:"
-    assert g("Pinyin", "wo shi") ["toneMarkType"] == "none" and g("Pinyin", "zher4 nar3")["erhua"] == "oneSyllable" and g("Pinyin", "ẑongguo")["shortenedLetters"]
+    assert g("Pinyin", "wo shi")["toneMarkType"] == "numbers" and g("Pinyin", "wo shi", True)["toneMarkType"] == "none" and g("Pinyin", "zher4 nar3")["erhua"] == "oneSyllable" and g("Pinyin", "ẑongguo")["shortenedLetters"]
     assert g("WadeGiles", "kuo²-yü³")["toneMarkType"] == "superscriptNumbers" and g("WadeGiles", "t'ai2")["wadeGilesApostrophe"] == "'"
     assert g("CantoneseYale", "gwóngdūngwá")["toneMarkType"] == "diacritics" and g("CantoneseYale", "gwong2")["toneMarkType"] == "numbers"
     assert g("MandarinIPA", "pei²¹⁴")["toneMarkType"] == "superscriptChaoDigits" and g("MandarinIPA", "pei3.ma1")["toneMarkType"] == "numbers" and g("MandarinIPA", "pei˧˥")["toneMarkType"] == "ipaToneBar"
+    assert g("WadeGiles", "kuo-yü")["neutralToneMark"] == "zero" and g("WadeGiles", "ti5 kuo2")["neutralToneMark"] == "five" and g("WadeGiles", "tzu3 hsu1") == g("WadeGiles", "tzu3 hsu1") | {"zeroFinal": "u", "umlautU": "u"}
     assert g("GR", "sheau jie'l")["grRhotacisedFinalApostrophe"] == "'" and g("Hangul", "x") == {}
 
 
