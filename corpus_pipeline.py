@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +42,13 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return kept.dropDuplicates(["first_id", "first_hash", "copy"]).drop("first_id", "first_hash", "copy").toDF(*docs.columns)
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat."""
-    return suffix_dedup.drop_repeats(docs)
+#: The stage cuts passages of over 50 words that repeat, besides strings of 400 bytes.
+PASSAGE_WORDS = 51
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 0) -> DataFrame:
+    """All documents, without the strings of 400 bytes that repeat and, if given, the passages of so many words that do."""
+    return suffix_dedup.drop_repeats(docs, words)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", drop_toxic),
     ("quality classifier", keep_quality),
     ("n-gram Jaccard join", one_of_near_copies),
-    ("suffix-array dedup", cut_repeats),
+    ("suffix-array dedup", partial(cut_repeats, words=PASSAGE_WORDS)),
     ("best-fit packing", pack),
 ]
 

@@ -129,3 +129,15 @@ def test_very_long_texts(spark, tmp_path):
 
     assert quality.quality_scores(docs).count() == quality_rules.quality_rules(docs).count() == 4
     assert toxicity.toxicity_scores(docs, spark.read.parquet(f"{d}/labels.parquet")).count() == 4
+
+
+def test_short_passages_of_over_fifty_words_go(spark):
+    """A passage of 51 words has fewer than 400 bytes here; one of 50 words stays."""
+    rng = random.Random(12)
+    for n in (51, 50):
+        passage = " ".join(rng.choice(["one", "two", "six", "ten"]) for _ in range(n))
+        rows = [(i, f"{plain(rng, 40)} a{i} {passage} z{i} {plain(rng, 40)}", "en", "src0", 0) for i in range(5)] + [(9, plain(rng, 100), "en", "src0", 0)]
+        docs = spark.createDataFrame(rows, COLUMNS)
+        assert len(passage.encode()) < 400
+        out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, "").collect()}
+        assert [out[i] for i, *_ in rows] == [t.replace(passage, "") if n > 50 else t for _, t, *_ in rows]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -71,3 +72,29 @@ def test_empty_table_and_texts_kept(spark):
     out = {r.doc_id: r for r in sd.drop_repeats(documents(spark, rows)).collect()}
     assert [out[i].text for i in (1, 2, 3, 4)] == ["ab", "c", None, "short"]
     assert out[1].n_chars == 2 and out[1].source == "src0" and out[1].node == "x"
+
+
+def brute_passages(rows, words, length=400):
+    """Texts without strings of length bytes and passages of so many words that also start anywhere else."""
+    raws = [(t or "").encode() for _, t in rows]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raws]
+    texts = [[r[a:b] for a, b in p] for r, p in zip(raws, places)]
+    strings = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    passages = Counter(tuple(w[i : i + words]) for w in texts for i in range(len(w) - words + 1))
+    out = []
+    for (doc, _), r, p, w in zip(rows, raws, places, texts):
+        gone = {x for i in range(len(r) - length + 1) if strings[r[i : i + length]] > 1 for x in range(i, i + length)}
+        gone |= {x for i in range(len(w) - words + 1) if passages[tuple(w[i : i + words])] > 1 for x in range(p[i][0], p[i + words - 1][1])}
+        out.append((doc, bytes(b for i, b in enumerate(r) if i not in gone).decode("utf-8", "ignore")))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed, words, options", [(1, 51, {}), (6, 51, {"bucket_runs": 0}), (7, 5, {"bucket_runs": 0})])
+def test_passages_of_words_against_brute_force(spark, seed, words, options):
+    rng = random.Random(seed)
+    short = [" ".join(rng.choice(["a", "of", "to", "né", "it's"]) for _ in range(n)) for n in (49, 50, 51, 52, 60)]
+    rows = corpus(seed)
+    rows += [(700 + 10 * i + k, f"x{i}{k} {p if k else p.replace(' ', chr(10), 7)}\ty{k}{i}") for i, p in enumerate(short) for k in range(2)]
+    rows += [(900, None), (901, ""), (None, short[4] + " " + short[4]), (902, "no " * 120), (903, "no " * 50 + "yes")]
+    out = sd.drop_repeats(documents(spark, rows), words, **options).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in out), key=str) == brute_passages(rows, words)
