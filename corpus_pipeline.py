@@ -43,7 +43,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 #: The stage cuts passages of over 50 words that repeat, besides strings of 400 bytes.
-PASSAGE_WORDS = 51
+PASSAGE_WORDS = suffix_dedup.PASSAGE_WORDS
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 0) -> DataFrame:

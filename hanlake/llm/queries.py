@@ -28,9 +28,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repeats: 1 for documents of which bytes were removed, else 0."""
-    found = suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
-    return found.withColumn("repeats", (F.col("n_removed") > 0).cast("int"))
+    """repeats: 1 for documents of which bytes were removed, else 0; behind it what passages of over 50 words that repeat cover."""
+    found = suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), suffix_dedup.PASSAGE_WORDS)
+    repeats = (F.col("n_removed") > 0).cast("int").alias("repeats")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", repeats, "n_passage_bytes", "n_passages")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

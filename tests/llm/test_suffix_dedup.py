@@ -98,3 +98,38 @@ def test_passages_of_words_against_brute_force(spark, seed, words, options):
     rows += [(900, None), (901, ""), (None, short[4] + " " + short[4]), (902, "no " * 120), (903, "no " * 50 + "yes")]
     out = sd.drop_repeats(documents(spark, rows), words, **options).collect()
     assert sorted(((r.doc_id, r.text or "") for r in out), key=str) == brute_passages(rows, words)
+
+
+def counted_passages(rows, words):
+    """(doc_id, bytes, maximal runs) covered by passages of so many words that also start anywhere else."""
+    raws = [(t or "").encode() for _, t in rows]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raws]
+    texts = [[r[a:b] for a, b in p] for r, p in zip(raws, places)]
+    seen = Counter(tuple(w[i : i + words]) for w in texts for i in range(len(w) - words + 1))
+    out = []
+    for (doc, _), p, w in zip(rows, places, texts):
+        gone = {x for i in range(len(w) - words + 1) if seen[tuple(w[i : i + words])] > 1 for x in range(p[i][0], p[i + words - 1][1])}
+        out.append((doc, len(gone), sum(x - 1 not in gone for x in gone)))
+    return out
+
+
+@pytest.mark.parametrize("seed, words, options", [(11, 51, {}), (12, 51, {"bucket_runs": 0}), (13, 5, {})])
+def test_passages_counted_beside_the_removed_bytes(spark, seed, words, options):
+    rows = [*corpus(seed), (900, None), (901, ""), (None, "a b " * 120), (902, "no " * 120), (903, "yes " + "no\n" * 50), (904, "no " * 50 + "yes")]
+    out = sd.repeat_digests(documents(spark, rows), words, **options).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == brute(rows, 400)
+    assert sorted(((r.doc_id, r.n_passage_bytes, r.n_passages) for r in out), key=str) == sorted(counted_passages(rows, words), key=str)
+
+
+def test_query_counts_short_passages_of_over_fifty_words(spark, tmp_path):
+    """Passages of 51 words with fewer than 400 bytes are counted, but the columns of removed bytes don't change."""
+    from hanlake.llm.queries import op5_suffix_dedup
+
+    rng = random.Random(14)
+    own = lambda i: " ".join(f"w{i}x{rng.randrange(10**6)}" for _ in range(30))
+    said, less = (" ".join(rng.choice(["one", "two", "six", "ten"]) for _ in range(n)) for n in (51, 50))
+    rows = [(i, f"{own(i)} {said if i < 3 else less} {own(i)}") for i in range(6)] + [(7, own(7))]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(said) < 400 and sorted(tuple(r)[:5] for r in out.values()) == brute(rows, 400)
+    assert [(out[i].n_passages, out[i].n_passage_bytes, out[i].n_removed, out[i].repeats) for i, _ in rows] == [(1, len(said), 0, 0)] * 3 + [(0, 0, 0, 0)] * 4
