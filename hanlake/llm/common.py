@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     checkpoint() would run the plan twice (once to count, once to write). The files go when the JVM ends.
     """
+    return _written(df, name)[0]
+
+
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """stage(df, name) whose files go at the block's end: nothing that is used later may read it."""
+    rows, delete = _written(df, name)
+    try:
+        yield rows
+    finally:
+        delete()
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], bool]]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hanlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path), lambda: files.delete(hadoop, True)
 
 
 def small_batches(spark: SparkSession) -> None:

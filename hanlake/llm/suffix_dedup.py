@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, RollingHash, keyed, longs, mix, partitions, plainly_named, small_batches, stage, text_bytes, text_slices, trimmed, word_spans
+from .common import U64, RollingHash, keyed, longs, mix, partitions, plainly_named, small_batches, stage, staged, text_bytes, text_slices, trimmed, word_spans
 
 LENGTH, GRAM = 400, 64
 PASSAGE_WORDS = 51  # passages of over 50 words
@@ -216,10 +216,11 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     small_batches(spark)
     n = partitions(spark)
     rows = keyed(docs).select("text", "k_id", "k_text")
-    all_runs = stage(rows.mapInArrow(trimmed(_runs_of(length, gram, view)), RUNS), "runs")
-    buckets = all_runs.groupBy("c").agg(F.count("*").alias("in_bucket"), F.min("f").alias("f1"), F.max("f").alias("f2")).where("in_bucket > 1")
-    buckets = stage(buckets, "buckets")  # so the join below has a plain shuffle on both sides, whose hot buckets can be split
-    shared = stage(all_runs.join(buckets, "c").withColumn("mixed", F.col("f1") != F.col("f2")).drop("f1", "f2", "in_bucket"), "shared")
+    with staged(rows.mapInArrow(trimmed(_runs_of(length, gram, view)), RUNS), "runs") as all_runs:
+        counts = all_runs.groupBy("c").agg(F.count("*").alias("in_bucket"), F.min("f").alias("f1"), F.max("f").alias("f2"))
+        # staged so the join below has a plain shuffle on both sides, whose hot buckets can be split
+        with staged(counts.where("in_bucket > 1"), "buckets") as buckets:
+            shared = stage(all_runs.join(buckets, "c").withColumn("mixed", F.col("f1") != F.col("f2")).drop("f1", "f2", "in_bucket"), "shared")
     as_interval = ["k_id", "k_text", "start", (F.col("stop") + length).cast("int").alias("stop")]
 
     mixed = shared.where("mixed")

@@ -133,3 +133,13 @@ def test_query_counts_short_passages_of_over_fifty_words(spark, tmp_path):
     out = {r.doc_id: r for r in op5_suffix_dedup(spark, str(tmp_path)).collect()}
     assert len(said) < 400 and sorted(tuple(r)[:5] for r in out.values()) == brute(rows, 400)
     assert [(out[i].n_passages, out[i].n_passage_bytes, out[i].n_removed, out[i].repeats) for i, _ in rows] == [(1, len(said), 0, 0)] * 3 + [(0, 0, 0, 0)] * 4
+
+
+def test_runs_go_before_the_result_is_read(spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    found = sd.repeat_digests(documents(spark, corpus(15)), 51)
+    left = {x.name.split("-")[1] for x in set(folder.iterdir()) - before if x.name.startswith("hanlake-")}
+    assert left == {"shared", "wholes", "spans"} and found.count() == 70
