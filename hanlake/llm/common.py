@@ -80,7 +80,8 @@ def sized(rows: DataFrame, most: int) -> DataFrame:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system: Python workers outlive their tasks, beside those of the next stages."""
+    """Gives freed memory and tables of powers back to the system: Python workers outlive their tasks, beside those of the next stages."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
@@ -188,7 +189,7 @@ def powers(base: int, n: int) -> np.ndarray:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         have = np.full(size, base, U64)
         have[0] = 1
-        have = np.multiply.accumulate(have)
+        np.multiply.accumulate(have, out=have)
         _powers[base] = have
     return have[:n]
 
@@ -198,7 +199,9 @@ class RollingHash:
 
     def __init__(self, data: np.ndarray):
         self.prefix = np.zeros(len(data) + 1, U64)
-        np.cumsum(BYTE_VALUES[data] * powers(BASE, len(data)), out=self.prefix[1:])
+        values = BYTE_VALUES[data]
+        values *= powers(BASE, len(data))
+        np.cumsum(values, out=self.prefix[1:])
         self.inverse = powers(_INVERSE, len(data) + 1)
 
     def spans(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -41,6 +41,8 @@ LENGTH, GRAM = 400, 64
 PASSAGE_WORDS = 51  # passages of over 50 words
 BUCKET_RUNS = 8_000
 SEGMENT = 1 << 23
+#: Bytes of text and rows of spans that a task handles at once: some 90 (words: 140) bytes of arrays stand for a byte of text. Longer texts and larger buckets come alone.
+SLICE, PIECE = 1 << 19, 2_000
 CODE = 8
 
 RUNS = "c long, f long, k_id long, k_text long, start int, stop int, anchor int"
@@ -99,7 +101,7 @@ def word_codes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs_of(length: int, gram: int, view):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 2 << 20):
+        for batch in text_slices(batches, "text", SLICE):
             c, f, text, p1, p2, a = runs(*view(batch.column("text")), length, gram)
             k_id, k_text = longs(batch.column("k_id")), longs(batch.column("k_text"))
             yield pa.RecordBatch.from_arrays(
@@ -119,7 +121,7 @@ def _spans_of(length: int, view):
     """The bytes that each chosen run covers."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 2 << 20):
+        for batch in text_slices(batches, "text", SLICE):
             data, offsets = view(batch.column("text"))
             raw = data.tobytes()
             rows = []
@@ -182,7 +184,7 @@ def _whole_classes(batches: Iterator[pa.RecordBatch], column: str, rows: int) ->
 
 def _refine(length: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_classes(batches, "c", 8_000):
+        for rows in _whole_classes(batches, "c", PIECE):
             row, step, _, h = _offset_hashes(rows, length)
             _, back, counts = np.unique(h, return_inverse=True, return_counts=True)
             again = (counts[back] > 1) & (longs(rows.column("n"))[row] == 1)
@@ -195,8 +197,8 @@ def _refine(length: int):
 def _by_offset(length: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                rows = batch.slice(at, 2_000)
+            for at in range(0, batch.num_rows, PIECE):
+                rows = batch.slice(at, PIECE)
                 row, step, _, h = _offset_hashes(rows, length)
                 begin = (longs(rows.column("start"))[row] + step).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -238,7 +240,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     parts = [shared.where("not mixed").select(as_interval), repeated.select(as_interval), small]
     large = spans.where(F.col("runs") > bucket_runs)
     if not large.isEmpty():
-        offsets = large.mapInArrow(_by_offset(length), "h long, n long, k_id long, k_text long, start int")
+        offsets = large.mapInArrow(trimmed(_by_offset(length)), "h long, n long, k_id long, k_text long, start int")
         again = offsets.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
         parts.append(offsets.where("n = 1").join(again, "h").select("k_id", "k_text", "start", (F.col("start") + length).cast("int").alias("stop")))
     covered = parts[0]
@@ -274,7 +276,7 @@ def _cut(raw: bytes, merged: list[tuple[int, int]]) -> bytes:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, "text", 2 << 20):
+    for batch in text_slices(batches, "text", SLICE):
         data, offsets = text_bytes(batch.column("text"))
         raw = data.tobytes()
         out = []

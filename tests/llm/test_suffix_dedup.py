@@ -143,3 +143,24 @@ def test_runs_go_before_the_result_is_read(spark):
     found = sd.repeat_digests(documents(spark, corpus(15)), 51)
     left = {x.name.split("-")[1] for x in set(folder.iterdir()) - before if x.name.startswith("hanlake-")}
     assert left == {"shared", "wholes", "spans"} and found.count() == 70
+
+
+@pytest.mark.parametrize("length, view", [(400, "text_bytes"), (408, "word_codes")])
+def test_a_task_takes_little_memory_and_keeps_no_tables(length, view):
+    """4 MB of texts, in batches of 2 MB; the executor's two workers stand beside a JVM that has filled its heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from hanlake.llm import common
+
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(1000)), pa.array(range(1000))], names=["text", "k_id", "k_text"])
+    common.trim()
+    tracemalloc.start()
+    found = sum(x.num_rows for x in common.trimmed(sd._runs_of(length, 64, getattr(sd, view)))([batch, batch]))
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found > 5000 and peak < 100e6 and kept < 5e6
