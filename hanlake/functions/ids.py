@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import NO_CHARACTER, col
 
 BINARY, TRINARY = "⿰⿱⿴⿵⿶⿷⿸⿹⿺⿻", "⿲⿳"
-_TOKEN = r"([⿰-⿻]|#\d+|.(?:\[\d+\])?)"
+_TOKEN = rf"([⿰-⿻]|#\d+|(?:{NO_CHARACTER}|.)(?:\[\d+\])?)"
 
 
 def is_binary(c: str | Column) -> Column:

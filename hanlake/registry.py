@@ -38,16 +38,22 @@ def values(*rows: tuple) -> str:
 
 # ---------------------------------------------------------------- tables made of the driver's, in SQL that both engines read
 #
-# ⟦n⟧ is the character of code point n; {part} is a driver's table.
+# ⟦n⟧ is the character of code point n, as text.char_of() makes it; {part} is a driver's table.
 
 
 def duck(sql: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", re.sub("⟦(.*?)⟧", r"chr((\1)::INTEGER)", sql))
 
 
+_CHARACTER = (
+    r"CASE WHEN \1 BETWEEN 0 AND 55295 OR \1 BETWEEN 57344 AND 1114111 THEN decode(unhex('0000FEFF' || lpad(hex(CAST(\1 AS BIGINT)), 8, '0')), 'utf-32') "
+    r"ELSE concat('⟦', hex(CAST(\1 AS BIGINT)), '⟧') END"
+)
+
+
 def made(spark: SparkSession, d: str, sql: str) -> DataFrame:
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(re.sub("⟦(.*?)⟧", r"decode(unhex(lpad(hex(CAST(\1 AS BIGINT)), 8, '0')), 'utf-32')", sql), **{n: table(spark, d, n) for n in names})
+    return spark.sql(re.sub("⟦(.*?)⟧", _CHARACTER, sql), **{n: table(spark, d, n) for n in names})
 
 
 def with_tables(tables: dict[str, str], sql: str) -> str:

@@ -97,7 +97,7 @@ def read_seed(spark: SparkSession, folder: str, name: str, bmp_only: bool = Fals
         rows = rows.withColumn(n, F.col(n).cast("int") if kind else F.coalesce(n, F.lit("")))
     if bmp_only:
         if name == "CharacterDecomposition":
-            rows = rows.withColumn("Decomposition", F.regexp_replace("Decomposition", "[\\x{10000}-\\x{10FFFF}]", "？"))
+            rows = rows.withColumn("Decomposition", F.regexp_replace("Decomposition", "[\\x{10000}-\\x{10FFFF}]|⟦[0-9A-F]{6,}⟧", "？"))
         if "ChineseCharacter" in spec.names:
             rows = rows.where(text.codepoint("ChineseCharacter") < 0x10000)
     return assert_unique(rows, spec.keys) if check else rows

@@ -15,6 +15,16 @@ def test_codepoints(spark):
     assert [r.c for r in rows.where(text.is_han("c")).collect()] == list("说説說丷𠃓")
 
 
+def test_numbers_without_a_character(spark):
+    numbers = [0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFEFF, 0x10FFFF, 0x110000, 0x7FFFFFF]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n int").withColumn("c", text.char_of("n")).withColumn("s", F.concat(F.lit("⿰"), "c", "c", F.lit("[2]")))
+    found = rows.select("n", "c", text.codepoint("c").alias("n2"), text.format_codepoint("c").alias("u"), ids.parse("s").alias("p"), (ids.write(ids.parse("s")) == F.col("s")).alias("same")).collect()
+    assert [r.n2 for r in found] == numbers and len({r.c for r in found}) == len(numbers)
+    assert [r.u for r in found] == [f"U+{n:04X}" for n in numbers] and all(r.same for r in found)
+    assert [[(p.char, p.glyph) for p in r.p[1:]] for r in found] == [[(r.c, 0), (r.c, 2)] for r in found]
+    assert [r.c for r in found][1:5:3] == ["⟦D800⟧", "\ufeff"] and one(spark, text.codepoint("a"), a="⟦AB⟧") == [0x27E6]
+
+
 def test_case_and_patterns(spark):
     assert one(spark, text.titlecase("a"), text.titlecase("b"), a="LAO3SHI1", b="˳geh") == ["Lao3shi1", "˳Geh"]
     assert one(spark, text.transfer_case("a", F.lit("guó")), text.transfer_case(F.upper("a"), F.lit("guó")), text.transfer_case(F.lower("a"), F.lit("guó")), a="Kuo") == ["Guó", "GUÓ", "guó"]
