@@ -17,6 +17,7 @@ SMALL = "/root/testdata/sf0.001"
 HEAP = [1104, 2208, 2209, 4416, 4417, 8832, 8833, 17664, 17665, 35328, 35329, 70656, 70657, 22655, 45310, 45311, 547072, 1094144, 1094145]
 CASES = [
     "lkp17_all_stroke_orders",
+    "der22_locale_decompositions",
 ]
 
 
