@@ -18,6 +18,7 @@ HEAP = [1104, 2208, 2209, 4416, 4417, 8832, 8833, 17664, 17665, 35328, 35329, 70
 CASES = [
     "lkp17_all_stroke_orders",
     "der22_locale_decompositions",
+    "src03_seed_table",
 ]
 
 
