@@ -47,3 +47,12 @@ def test_query_equals_its_sql(spark, odd, name):
     sql = re.sub(r"\bchr\(", "char_of(", __spark_entry__.oracle_sql()[name])
     columns = ", ".join(f'"{x}"' for x in rows.columns)
     assert found == Counter(c.execute(f"SELECT {columns} FROM ({sql})").fetchall()) and found
+
+
+def test_basic_plane_only(spark, odd):
+    """Characters beyond the basic plane are left out, which its SQL, made for smaller tables, doesn't say."""
+    folder, c = odd
+    there = lambda n: f"⟦{n:X}⟧" if 0xD800 <= n < 0xE000 else chr(n)
+    parts = c.execute("SELECT p_partkey, p_size FROM part WHERE 19968 + p_partkey < 65536").fetchall()
+    rows = __spark_entry__.queries()["src06_basic_plane_only"](spark, str(folder))
+    assert Counter(map(tuple, rows.collect())) == Counter((there(19968 + k), f"⿰{chr(19968 + n)}" + ("口" if k % 2 else "？")) for k, n in parts)
