@@ -19,6 +19,7 @@ CASES = [
     "lkp17_all_stroke_orders",
     "der22_locale_decompositions",
     "src03_seed_table",
+    "agg09_stroke_count_mismatches",
 ]
 
 
