@@ -20,6 +20,7 @@ CASES = [
     "der22_locale_decompositions",
     "src03_seed_table",
     "agg09_stroke_count_mismatches",
+    "der02_stroke_counts",
 ]
 
 
