@@ -21,6 +21,7 @@ CASES = [
     "src03_seed_table",
     "agg09_stroke_count_mismatches",
     "der02_stroke_counts",
+    "der04_variant_explode",
 ]
 
 
