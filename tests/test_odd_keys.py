@@ -22,6 +22,7 @@ CASES = [
     "agg09_stroke_count_mismatches",
     "der02_stroke_counts",
     "der04_variant_explode",
+    "der05_character_sets",
 ]
 
 
