@@ -23,6 +23,7 @@ CASES = [
     "der02_stroke_counts",
     "der04_variant_explode",
     "der05_character_sets",
+    "der07_glyph_information",
 ]
 
 
