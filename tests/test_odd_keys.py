@@ -24,6 +24,7 @@ CASES = [
     "der04_variant_explode",
     "der05_character_sets",
     "der07_glyph_information",
+    "flt06_not_null",
 ]
 
 
