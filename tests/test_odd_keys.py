@@ -25,6 +25,7 @@ CASES = [
     "der05_character_sets",
     "der07_glyph_information",
     "flt06_not_null",
+    "jon04_glyph_information",
 ]
 
 
