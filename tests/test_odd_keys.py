@@ -26,6 +26,7 @@ CASES = [
     "der07_glyph_information",
     "flt06_not_null",
     "jon04_glyph_information",
+    "jon08_component_stroke_sums",
 ]
 
 
