@@ -27,6 +27,7 @@ CASES = [
     "flt06_not_null",
     "jon04_glyph_information",
     "jon08_component_stroke_sums",
+    "jon06_forms_and_equivalents",
 ]
 
 
