@@ -28,6 +28,7 @@ CASES = [
     "jon04_glyph_information",
     "jon08_component_stroke_sums",
     "jon06_forms_and_equivalents",
+    "lkp26_variant_forms",
 ]
 
 
