@@ -29,6 +29,7 @@ CASES = [
     "jon08_component_stroke_sums",
     "jon06_forms_and_equivalents",
     "lkp26_variant_forms",
+    "lkp26_radical_form",
 ]
 
 
