@@ -30,6 +30,7 @@ CASES = [
     "jon06_forms_and_equivalents",
     "lkp26_variant_forms",
     "lkp26_radical_form",
+    "lkp27_radical_index",
 ]
 
 
