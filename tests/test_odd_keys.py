@@ -31,6 +31,7 @@ CASES = [
     "lkp26_variant_forms",
     "lkp26_radical_form",
     "lkp27_radical_index",
+    "lkp28_representative_characters",
 ]
 
 
