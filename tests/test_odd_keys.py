@@ -32,6 +32,7 @@ CASES = [
     "lkp26_radical_form",
     "lkp27_radical_index",
     "lkp28_representative_characters",
+    "lkp29_is_radical_form",
 ]
 
 
