@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from .rounds import fixpoint, written
+from .rounds import written
 
 CH = "ChineseCharacter"
 
@@ -122,15 +123,26 @@ def component_edges(decomposition: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, source: Sequence[str], target: Sequence[str]) -> DataFrame:
-    """Transitive closure, by doubling of path lengths: each round joins the newest paths with all that are known, on both sides.
+    """Transitive closure, by doubling of path lengths. Pairs whose shortest path has length 2^k, joined with those of shorter
+    paths, give all of up to 2^(k+1) - 1, and joined with themselves the next power: in a tree each pair is made once.
 
-    Cycles end by distinctness. Rounds are written to the shared folder; there are about as many as the longest path has doublings.
+    Cycles end, since no shortest path is longer than there are pairs. Rounds are written to the shared folder; there are about as
+    many as the longest path has doublings.
     """
-    def onto(a: DataFrame, b: DataFrame) -> DataFrame:
-        step = b.select(*(F.col(s).alias(f"_{s}") for s in source), *(F.col(t).alias(f"_{t}") for t in target))
-        return a.join(step, [F.col(t) == F.col(f"_{s}") for s, t in zip(source, target)]).select(*source, *(F.col(f"_{t}").alias(t) for t in target))
+    both = [*source, *target]
 
-    return fixpoint(edges.select(*source, *target).distinct(), lambda known, newest: onto(newest, known).union(onto(known, newest)), [*source, *target])
+    def onto(a: DataFrame, b: DataFrame, *known: DataFrame) -> DataFrame:
+        """Pairs of a way of a and one of b behind it that aren't known."""
+        step = b.select(*(F.col(s).alias(f"_{s}") for s in source), *(F.col(t).alias(f"_{t}") for t in target))
+        found = a.join(step, [F.col(t) == F.col(f"_{s}") for s, t in zip(source, target)]).select(*source, *(F.col(f"_{t}").alias(t) for t in target))
+        return written(found.distinct().join(reduce(DataFrame.union, known), both, "left_anti").select(*both))
+
+    power, shorter = written(edges.select(*both).distinct()), []
+    while not shorter or not power.isEmpty():
+        longer = [onto(power, reduce(DataFrame.union, shorter), power, *shorter)] if shorter else []
+        shorter = [*shorter, power, *longer]
+        power = onto(power, power, *shorter)
+    return reduce(DataFrame.union, shorter)
 
 
 def component_lookup(decomposition: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ CASES = [
     "lkp27_radical_index",
     "lkp28_representative_characters",
     "lkp29_is_radical_form",
+    "flt05_either_component",
 ]
 
 

@@ -104,3 +104,13 @@ def test_build_order(spark):
         Build([Builder("A", ("B",), make("A")), Builder("B", ("A",), make("B"))]).order(["A"])
     with pytest.raises(ValueError):
         Build([Builder("A", (), make("A")), Builder("A", (), fails)])
+
+
+def test_closure_makes_each_pair_of_a_tree_once(spark, monkeypatch):
+    way = spark.createDataFrame([(str(i), 0, str(i + 1), 0) for i in range(21)], f"{CH} string, Glyph int, Component string, ComponentGlyph int")
+    made = []
+    with monkeypatch.context() as m:
+        for name in ("distinct", "dropDuplicates"):
+            m.setattr(type(way), name, lambda self, *a, f=getattr(type(way), name): made.append(self.count()) or f(self, *a))
+        found = derive.closure(way, [CH, "Glyph"], ["Component", "ComponentGlyph"])
+    assert sum(made) == found.count() == found.distinct().count() == 21 * 22 // 2
