@@ -6,6 +6,7 @@ import io
 import re
 import tarfile
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -85,10 +86,20 @@ def read_dictionary(spark: SparkSession, path: str, format: str | Format, member
 
 def newest_file(spark: SparkSession, folder: str, pattern: str = r"handedict-(\d{8})\..*") -> str | None:
     """The path of the file with the latest date in its name."""
+    found = max(((m[1], path) for path in _listed(spark, folder) if (m := re.fullmatch(pattern, path.rpartition("/")[2]))), default=None)
+    return found and found[1]
+
+
+def _listed(spark: SparkSession, folder: str, step: int = 10_000) -> Iterator[str]:
+    """The paths in a folder, fetched many at a time: calls for each file would take longer than the listing."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
-    found = [(m[1], str(f.getPath())) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path) if (m := re.fullmatch(pattern, f.getPath().getName()))]
-    return max(found)[1] if found else None
+    paths = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
+    for i in range(0, len(paths), step):
+        n = min(step, len(paths) - i)
+        some = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, n)
+        jvm.java.lang.System.arraycopy(paths, i, some, 0, n)
+        yield from jvm.org.apache.hadoop.util.StringUtils.join("\0", jvm.java.util.Arrays.asList(some)).split("\0")
 
 
 def parse_records(spark: SparkSession, path: str) -> DataFrame:

@@ -34,6 +34,8 @@ CASES = [
     "lkp28_representative_characters",
     "lkp29_is_radical_form",
     "flt05_either_component",
+    "trv03_closure_of_heap",
+    "src15_newest_file",
 ]
 
 

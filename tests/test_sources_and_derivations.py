@@ -114,3 +114,13 @@ def test_closure_makes_each_pair_of_a_tree_once(spark, monkeypatch):
             m.setattr(type(way), name, lambda self, *a, f=getattr(type(way), name): made.append(self.count()) or f(self, *a))
         found = derive.closure(way, [CH, "Glyph"], ["Component", "ComponentGlyph"])
     assert sum(made) == found.count() == found.distinct().count() == 21 * 22 // 2
+
+
+def test_newest_file_asks_for_many_names_at_once(spark, tmp_path, monkeypatch):
+    for day in range(400):
+        (tmp_path / f"handedict-2010{day:04}.txt").write_text("x")
+    calls = []
+    client = type(spark.sparkContext._gateway._gateway_client)
+    monkeypatch.setattr(client, "send_command", lambda self, *a, f=client.send_command, **k: calls.append(1) and None or f(self, *a, **k))
+    assert dictionaries.newest_file(spark, str(tmp_path)).endswith("handedict-20100399.txt") and len(calls) < 100
+    assert sorted(x[-8:] for x in dictionaries._listed(spark, str(tmp_path), 7)) == [f"{day:04}.txt" for day in range(400)]
