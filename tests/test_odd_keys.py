@@ -36,6 +36,7 @@ CASES = [
     "flt05_either_component",
     "trv03_closure_of_heap",
     "src15_newest_file",
+    "str14_formatted_codepoints",
 ]
 
 
