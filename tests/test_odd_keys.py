@@ -37,6 +37,7 @@ CASES = [
     "trv03_closure_of_heap",
     "src15_newest_file",
     "str14_formatted_codepoints",
+    "lkp35_decomposition_trees",
 ]
 
 
