@@ -38,6 +38,7 @@ CASES = [
     "src15_newest_file",
     "str14_formatted_codepoints",
     "lkp35_decomposition_trees",
+    "lkp12_stroke_counts",
 ]
 
 
