@@ -39,6 +39,7 @@ CASES = [
     "str14_formatted_codepoints",
     "lkp35_decomposition_trees",
     "lkp12_stroke_counts",
+    "lkp16_stroke_order",
 ]
 
 
