@@ -40,6 +40,7 @@ CASES = [
     "lkp35_decomposition_trees",
     "lkp12_stroke_counts",
     "lkp16_stroke_order",
+    "cli04_components_command",
 ]
 
 
