@@ -41,6 +41,7 @@ CASES = [
     "lkp12_stroke_counts",
     "lkp16_stroke_order",
     "cli04_components_command",
+    "cli08_build_command",
 ]
 
 
